@@ -32,7 +32,7 @@ def read_series_csv(
     `schema` must list the file's columns in file order; `columns` keeps a
     subset, which Spark prunes in the parser.
     """
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
     if columns is not None:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
     return nan_to_null(df)
