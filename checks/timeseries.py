@@ -16,23 +16,23 @@ from dayloom.operators.lagged import lag_matrix as lag_matrix_of
 from dayloom.operators.windows import Series, vigor_raw
 
 
-def _window(name, sql, panel, columns):
+def _window(name, sql, panel, columns, digits=6):
     """Register a query that adds window columns to a (series, day, value) panel."""
 
     @query(name, sql)
     def run(spark, sf):
         df = panel(spark, sf).withColumns(columns(BY_DAY))
-        return rounded(df, "value", *columns(BY_DAY))
+        return rounded(rounded(df, "value"), *columns(BY_DAY), digits=digits)
 
     return run
 
 
-def _al(expr, out):
-    return f"with {ALIGNED} select series, day, {r('value')} as value, {r(expr)} as {out} from al"
+def _al(expr, out, digits=6):
+    return f"with {ALIGNED} select series, day, {r('value')} as value, {r(expr, digits)} as {out} from al"
 
 
-def _ff(expr, out):
-    return f"with {FILLED} select series, day, {r('value')} as value, {r(expr)} as {out} from ff"
+def _ff(expr, out, digits=6):
+    return f"with {FILLED} select series, day, {r('value')} as value, {r(expr, digits)} as {out} from ff"
 
 
 def gate(n, value, need=None, x="value"):
@@ -48,7 +48,7 @@ def std(n, need=None, x="value"):
 
 
 _window("lag1", _al(f"lag(value) over {W}", "prev"), aligned, lambda s: {"prev": s.lag("value")})
-_window("first_difference", _al(f"value - lag(value) over {W}", "diff"), aligned, lambda s: {"diff": s.diff("value")})
+_window("first_difference", _al(f"value - lag(value) over {W}", "diff", 3), aligned, lambda s: {"diff": s.diff("value")}, 3)
 _window("log_return", _al(f"{ln('value')} - {ln(f'lag(value) over {W}')}", "ret"), aligned, lambda s: {"ret": s.log_return("value")})
 _window("log_return_ratio", _al(ln(f"(value / lag(value) over {W})"), "ret"), aligned, lambda s: {"ret": s.log_return_ratio("value")})
 _window(
@@ -69,9 +69,9 @@ _window(
     aligned,
     lambda s: {"known": s.backward_fill("value")},
 )
-_window("rolling_mean", _al(mean(3), "ma"), aligned, lambda s: {"ma": s.rolling_mean("value", 3)})
-_window("rolling_mean_filled", _ff(mean(30), "ma"), filled, lambda s: {"ma": s.rolling_mean("value", 30)})
-_window("rolling_std", _ff(std(10), "sd"), filled, lambda s: {"sd": s.rolling_std("value", 10)})
+_window("rolling_mean", _al(mean(3), "ma", 3), aligned, lambda s: {"ma": s.rolling_mean("value", 3)}, 3)
+_window("rolling_mean_filled", _ff(mean(30), "ma", 3), filled, lambda s: {"ma": s.rolling_mean("value", 30)}, 3)
+_window("rolling_std", _ff(std(10), "sd", 3), filled, lambda s: {"sd": s.rolling_std("value", 10)}, 3)
 _window(
     "rolling_zscore",
     _ff(f"(value - {mean(30)}) / ({std(30)} + 1e-9)", "z"),
@@ -112,18 +112,18 @@ _LINEAR = "case when value is not null then value else pv + (nv - pv) * (date_di
 
 @query(
     "interpolate_time",
-    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv)')} as value from nb",
+    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv)', 3)} as value from nb",
 )
 def interpolate_time(spark, sf):
-    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day")), "value")
+    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day")), "value", digits=3)
 
 
 @query(
     "interpolate_time_both",
-    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv, nv)')} as value from nb",
+    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv, nv)', 3)} as value from nb",
 )
 def interpolate_time_both(spark, sf):
-    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day", both=True)), "value")
+    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day", both=True)), "value", digits=3)
 
 
 _RESAMPLED = f"""{OD}, ends as (select series, min(day) as a, max(day) as b from od group by 1),
@@ -221,9 +221,11 @@ def scalar_set(spark, sf):
     )
 
 
-@query("round_even", "select o_orderkey, round_even(o_totalprice / 8, 2) + 0.0 as price from orders")
+@query("round_even", "select l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) + 0.0 as eighth from lineitem")
 def round_even(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", (scalar.round_even(F.col("o_totalprice") / 8, 2) + 0.0).alias("price"))
+    # Eighths are exact doubles, so ties at the third digit are real ties.
+    eighth = scalar.round_even(F.col("l_quantity") / 8, 2) + 0.0
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", eighth.alias("eighth"))
 
 
 # Long series: raw events, whose series are not bounded by a calendar
