@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.basics import filled
 from checks.panels import CUT, EV, FILLED, GROUPS, OD, OW, SHIP, SHIP_WIDE, W, event_rows, ln, orders_daily, orders_wide, r, ship_daily, ship_wide, table
@@ -20,7 +20,10 @@ CALENDAR_DAYS = 2405
 # Profiling
 
 
-def _describe_sql(source, columns, keys="", digits=4, prefix=""):
+def _describe_sql(source, columns, keys="", digits=4, even=False):
+    def r(x, digits):
+        return f"round_even({x}, {digits}) + 0.0" if even else f"round({x}, {digits}) + 0.0"
+
     group = f"{keys}, " if keys else ""
     by = f" group by {keys}" if keys else ""
     return " union all ".join(
@@ -58,7 +61,7 @@ def returns(spark, sf):
     return filled(spark, sf).select("series", "day", BY_DAY.log_return("value").alias("ret"))
 
 
-@query("describe_by_era", _RETURNS + _describe_sql("x", ["ret"], "era"))
+@query("describe_by_era", _RETURNS + _describe_sql("x", ["ret"], "era", even=True))
 def describe_by_era(spark, sf):
     rows = calendar.assign_era(returns(spark, sf), "day", CUT)
     described = profile.describe_by_era(rows, ["ret"])
@@ -287,7 +290,7 @@ _CUMULATED = f"""{SHIP}, lv as (select series, day, sum(qty - 100) over (partiti
     union all select distinct series, 'few' as variable, null, null, 'insufficient data' from ship""",
 )
 def adf_report(spark, sf):
-    level = F.sum(F.col("qty") - 100).over(BY_DAY.forward.rowsBetween(-(2**31), 0))
+    level = F.sum(F.col("qty") - 100).over(BY_DAY.forward.rowsBetween(Window.unboundedPreceding, 0))
     rows = ship_daily(spark, sf).select("series", "day", level.alias("x"), F.when(F.col("day") < "1995-01-10", F.col("qty")).alias("few"))
     out = unit_root.adf_report(rows, ["day"], ["x", "few"], ["series"], max_rows=2499)
     return out.withColumns({"statistic": F.col("statistic") + 0.0, "p_value": F.col("p_value") + 0.0})

@@ -82,8 +82,10 @@ def sum_of_logs(*cols: Column | str) -> Column:
 
 
 def round_even(c: Column | str, digits: int) -> Column:
-    """Half-even rounding, the rule of NumPy and pandas."""
-    return F.bround(_col(c), digits)
+    """Half-even rounding of the scaled double, as NumPy and pandas do it
+    (`bround` rounds the decimal text of the number instead)."""
+    scale = F.lit(10.0**digits)
+    return F.rint(_col(c) * scale) / scale
 
 
 def significance_label(
