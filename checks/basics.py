@@ -273,15 +273,20 @@ def numeric_columns(spark, sf):
 
 
 _CHANGES = [f"p{i}_diff" for i in range(1, 6)]
-_WIDE_DIFF = f"with {OW}, d as (select *, " + ", ".join(f"{p} - lag({p}) over (order by day) as {p}_diff" for p in _P) + " from ow)"
+_WIDE_DIFF = f"""with {ALIGNED}, x as (select *, value - lag(value) over {W} as diff from al),
+d as (select day, {', '.join(f"max(case when series like '{i}-%' then value end) as p{i}, max(case when series like '{i}-%' then diff end) as p{i}_diff" for i in range(1, 6))}
+  from x group by 1)"""
 
 
 def _wide_changes(spark, sf):
-    tall = orders_daily(spark, sf)
-    wide = align.consolidate_wide(tall, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], feature="series")
-    names = dict(zip(wide.columns[1:], _P))
-    by_day = Series([], ["day"])
-    return clean.rename_columns(wide, names).withColumns({f"{p}_diff": by_day.diff(p) for p in _P})
+    both = aligned(spark, sf).withColumn("diff", BY_DAY.diff("value"))
+    short = F.concat(F.lit("p"), F.substring("series", 1, 1))
+    cells = F.array(
+        F.struct(short.alias("feature"), F.col("value").alias("x")),
+        F.struct(F.concat(short, F.lit("_diff")).alias("feature"), F.col("diff").alias("x")),
+    )
+    tall = both.select("day", F.explode(cells).alias("c")).select("day", "c.feature", "c.x")
+    return align.consolidate_wide(tall, [*_P, *_CHANGES], value="x")
 
 
 @query("split_feature_sets_transformed", f"{_WIDE_DIFF} select day, {', '.join(f'{r(c)} as {c}' for c in _CHANGES)} from d")

@@ -64,7 +64,7 @@ def returns(spark, sf):
 @query("describe_by_era", _RETURNS + _describe_sql("x", ["ret"], "era", even=True))
 def describe_by_era(spark, sf):
     rows = calendar.assign_era(returns(spark, sf), "day", CUT)
-    described = profile.describe_by_era(rows, ["ret"])
+    described = profile.describe_by_era(rows, ["ret"], grain="any")
     return described.withColumns({c: F.col(c) + 0.0 for c in _NUMBERS})
 
 
@@ -379,7 +379,7 @@ _EVENT_LAGS = 27
     select series, n, used_lag, n_obs, {r('statistic', 5)} as statistic from u""",
 )
 def long_adf(spark, sf):
-    out = unit_root.adf_test(event_rows(spark, sf), ["series"], ["ts", "event_id"], "value", long=True)
+    out = unit_root.adf_test(event_rows(spark, sf), ["series"], ["ts", "event_id"], "value")
     return rounded(out.select("series", "n", "used_lag", "n_obs", "statistic"), "statistic", digits=5)
 
 
@@ -393,5 +393,5 @@ def long_granger(spark, sf):
     rows = event_rows(spark, sf).select(
         "series", "ts", "event_id", F.col("value").alias("y"), ((F.col("event_id") % 97).cast("double") * F.col("value")).alias("x")
     )
-    out = causality.granger_test(rows, ["series"], ["ts", "event_id"], "y", "x", 3, long=True)
+    out = causality.granger_test(rows, ["series"], ["ts", "event_id"], "y", "x", 3)
     return rounded(rounded(out.drop("problem"), "f_stat", digits=5), "p_value")

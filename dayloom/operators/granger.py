@@ -80,7 +80,7 @@ def granger_test(
     y: str,
     x: str,
     max_lag: int = 5,
-    long: bool = False,
+    long: bool | None = None,
 ) -> DataFrame:
     """SSR F test for every lag 1..max_lag: (keys, lag, n, f_stat, df1, df2,
     p_value, problem). Rows incomplete in (y, x) are deleted first."""
@@ -123,7 +123,7 @@ def granger_tests_by_feature(
     order: Sequence[str],
     keys: Sequence[str] = (),
     max_lag: int = 5,
-    long: bool = False,
+    long: bool | None = None,
 ) -> DataFrame:
     """`granger_test` of every feature against the target, in one job."""
     rows = pair_rows(df, [*keys, *order], target, features)

@@ -15,7 +15,7 @@ import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from dayloom.operators.long_series import ROWS_PER_BLOCK, blocks_with_halo, row_index
+from dayloom.operators.long_series import ROWS_PER_BLOCK, blocks_with_halo, is_day_grain, row_index
 from dayloom.operators.windows import Series
 
 # values: (rows, columns) in order -> (design rows, predecessors of the first one)
@@ -57,15 +57,18 @@ def lagged_products(
     design: Design,
     lags: int,
     reach: int,
-    long: bool = False,
+    long: bool | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """One row per series: n, low, high (of the last column) and `summary`.
 
     With `long`, series are cut into blocks of `rows_per_block` rows with
     `reach` rows of halo; otherwise a series is one group, which a daily
-    calendar bounds. Values are centred per series: the designs hold a constant.
+    calendar bounds. Unless told, rows ordered by days alone count as short.
+    Values are centred per series: the designs hold a constant.
     """
+    if long is None:
+        long = not is_day_grain(df, order)
     if not keys:
         single = df.withColumn("_all_rows", F.lit(0))
         return lagged_products(

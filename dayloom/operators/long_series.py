@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType
 
 from dayloom.operators.windows import Series, interpolated
 from dayloom.session import ensure_checkpoint_dir
@@ -27,6 +28,13 @@ from dayloom.session import ensure_checkpoint_dir
 ROWS_PER_BLOCK = 1 << 17
 
 
+def is_day_grain(df: DataFrame, order: Sequence[str]) -> bool:
+    """Whether rows are ordered by a date alone: with one row per day a series
+    is then no longer than the calendar and may stay in one group."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return all(isinstance(types[c], DateType) for c in order)
+
+
 def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
     """Cut into contiguous pieces of the (key, order) sequence; adds `_piece`."""
     spark = df.sparkSession

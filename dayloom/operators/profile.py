@@ -56,17 +56,11 @@ def rounded_stats(described: DataFrame, digits: int) -> DataFrame:
 
 
 def describe_by_era(
-    df: DataFrame, columns: Sequence[str], era: str = "era", digits: int = 4
+    df: DataFrame, columns: Sequence[str], era: str = "era", digits: int = 4, grain: str = "day"
 ) -> DataFrame:
-    """`describe` for each era label, rounded."""
-    return rounded_stats(describe(df, columns, [era]), digits)
-
-
-def describe_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per statistic, one column per described column."""
-    from dayloom.sources.sinks import describe_to_wide
-
-    return describe_to_wide(describe(df, columns), columns)
+    """`describe` for each era label, rounded. An era of a wide table has one
+    row per day; for a tall panel pass grain='any'."""
+    return rounded_stats(describe(df, columns, [era], grain), digits)
 
 
 def day_extent(df: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,10 +101,10 @@ def column_info(df: DataFrame) -> DataFrame:
     return rows.withColumn("type", types[F.col("feature")])
 
 
-def profile_table(df: DataFrame, order: str, rows: int = 10) -> dict[str, DataFrame]:
+def profile_table(df: DataFrame, order: str, rows: int = 10, grain: str = "any") -> dict[str, DataFrame]:
     """The usual first look: `describe`, `info` and `head` as DataFrames."""
     return {
-        "describe": describe(df, numeric_columns(df)),
+        "describe": describe(df, numeric_columns(df), grain=grain),
         "info": column_info(df),
         "head": limit_head(df, rows, order),
     }

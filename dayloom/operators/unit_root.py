@@ -94,7 +94,7 @@ def adf_test(
     order: Sequence[str],
     value: str,
     max_rows: int | None = None,
-    long: bool = False,
+    long: bool | None = None,
 ) -> DataFrame:
     """Unit-root statistic of each series: (keys, n, statistic, p_value,
     used_lag, n_obs, problem).
