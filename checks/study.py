@@ -218,11 +218,15 @@ _ADF_LONG = "lg as (" + " union all ".join(f"select '{c}' as variable, day, {c}
 
 @query(
     "study_adf_report",
-    f"""with {FEAT}, {_ADF_LONG}, ok as (select variable from lg group by 1 having count(*) >= 20),
-    src as (select lg.* from lg join ok on ok.variable = lg.variable), {adf('u', 'src', ['variable'], 'day', 29)},
+    f"""with {FEAT}, {_ADF_LONG}, names as (select unnest({list(catalog.TRANSFORMED)}) as variable),
+    kind as (select variable, count(*) as n, min(x) as low, max(x) as high from lg group by 1),
+    src as (select lg.* from lg join kind on kind.variable = lg.variable where n >= 20 and low < high),
+    {adf('u', 'src', ['variable'], 'day', 29)},
     rep as (select variable, statistic, {tau_tail('statistic')} as p from u)
-    select variable, round(statistic, 4) + 0.0 as statistic, round(p, 6) + 0.0 as p_value,
-    case when p < 0.05 then 'stationary' else 'not stationary' end as verdict from rep""",
+    select names.variable, round_even(statistic, 4) + 0.0 as statistic, round_even(p, 6) + 0.0 as p_value,
+    case when coalesce(kind.n, 0) < 20 then 'insufficient data' when low = high then 'error: constant series'
+      when p < 0.05 then 'stationary' else 'not stationary' end as verdict
+    from names left join kind on kind.variable = names.variable left join rep on rep.variable = names.variable""",
 )
 def study_adf_report(spark, sf):
     out = unit_root.adf_report(features(spark, sf), ["day"], list(catalog.TRANSFORMED), max_rows=3136)
@@ -239,7 +243,26 @@ def study_granger_by_era(spark, sf):
     return out.withColumn("p_value", F.col("p_value") + 0.0)
 
 
-@query("study_granger_skipped", "select 'retail' as era, 'cb_premium_diff_btc' as feature, 'insufficient rows' as reason")
+# A lag column is constant when the values it can hold, all but the first or
+# last few of the series, are one value.
+_LAG_RANGES = [(5 - k, k) for k in range(1, 6)]
+
+
+@query(
+    "study_granger_skipped",
+    f"""with {FEAT_BOTH}, {_melted('eras', catalog.TARGET, catalog.CAUSALITY_FEATURES, ['era'])},
+    every as (select era, feature from (select distinct era from eras) cross join (select unnest({list(catalog.CAUSALITY_FEATURES)}) as feature)),
+    num as (select *, row_number() over (partition by era, feature order by day) as rn, count(*) over (partition by era, feature) as n from mp),
+    kind as (select era, feature, max(n) as n, """
+    + " or ".join(
+        f"min({c}) filter (where rn > {a} and rn <= n - {z}) = max({c}) filter (where rn > {a} and rn <= n - {z})"
+        for c in "yx"
+        for a, z in _LAG_RANGES
+    )
+    + """ as flat from num group by 1, 2)
+    select every.era, every.feature, case when coalesce(kind.n, 0) <= 16 then 'insufficient rows' else 'constant lag column' end as reason
+    from every left join kind on kind.era = every.era and kind.feature = every.feature where coalesce(kind.n, 0) <= 16 or flat""",
+)
 def study_granger_skipped(spark, sf):
     rows_ = features(spark, sf)
     names = list(catalog.CAUSALITY_FEATURES)
@@ -276,8 +299,9 @@ def _gate(x, n, expr, need=None):
 
 
 def _z(x, n, need=None, eps=" + 1e-9"):
-    spread = f"({_gate(x, n, f'stddev_samp({x}) over {rows(n)}', need)}{eps})"
-    return f"({x} - {_gate(x, n, f'avg({x}) over {rows(n)}', need)}) / nullif({spread}, 0)"
+    spread = _gate(x, n, f"stddev_samp({x}) over {rows(n)}", need)
+    z = f"({x} - {_gate(x, n, f'avg({x}) over {rows(n)}', need)}) / nullif({spread}{eps}, 0)"
+    return f"(case when {spread} = 0 then {x} * 0 else {z} end)" if eps else f"({z})"
 
 
 def _ma(x, n):

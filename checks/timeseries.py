@@ -74,7 +74,7 @@ _window("rolling_mean_filled", _ff(mean(30), "ma", 3), filled, lambda s: {"ma":
 _window("rolling_std", _ff(std(10), "sd", 3), filled, lambda s: {"sd": s.rolling_std("value", 10)}, 3)
 _window(
     "rolling_zscore",
-    _ff(f"(value - {mean(30)}) / ({std(30)} + 1e-9)", "z"),
+    _ff(f"case when {std(30)} = 0 then 0 else (value - {mean(30)}) / ({std(30)} + 1e-9) end", "z"),
     filled,
     lambda s: {"z": s.rolling_zscore("value", 30)},
 )
@@ -86,7 +86,7 @@ _window(
 )
 _window(
     "rolling_zscore_min_periods",
-    _al(f"(value - {mean(365, 30)}) / ({std(365, 30)} + 1e-9)", "z"),
+    _al(f"case when {std(365, 30)} = 0 then value * 0 else (value - {mean(365, 30)}) / ({std(365, 30)} + 1e-9) end", "z"),
     aligned,
     lambda s: {"z": s.rolling_zscore("value", 365, 30)},
 )
@@ -110,20 +110,28 @@ _NEIGHBOURS = """nb as (select *,
 _LINEAR = "case when value is not null then value else pv + (nv - pv) * (date_diff('day', pd, day) * 1.0 / date_diff('day', pd, nd)) end"
 
 
+# Logs, because fractions of cents end in ties that two engines round apart.
+_LOGS = f"{ALIGNED}, lg as (select series, day, ln(value) as value from al)"
+
+
+def _aligned_logs(spark, sf):
+    return aligned(spark, sf).withColumn("value", scalar.safe_ln("value"))
+
+
 @query(
     "interpolate_time",
-    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv)', 3)} as value from nb",
+    f"with {_LOGS}, {_NEIGHBOURS.format(panel='lg')} select series, day, {r(f'coalesce({_LINEAR}, pv)')} as value from nb",
 )
 def interpolate_time(spark, sf):
-    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day")), "value", digits=3)
+    return rounded(_aligned_logs(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day")), "value")
 
 
 @query(
     "interpolate_time_both",
-    f"with {ALIGNED}, {_NEIGHBOURS.format(panel='al')} select series, day, {r(f'coalesce({_LINEAR}, pv, nv)', 3)} as value from nb",
+    f"with {_LOGS}, {_NEIGHBOURS.format(panel='lg')} select series, day, {r(f'coalesce({_LINEAR}, pv, nv)')} as value from nb",
 )
 def interpolate_time_both(spark, sf):
-    return rounded(aligned(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day", both=True)), "value", digits=3)
+    return rounded(_aligned_logs(spark, sf).withColumn("value", BY_DAY.interpolate("value", "day", both=True)), "value")
 
 
 _RESAMPLED = f"""{OD}, ends as (select series, min(day) as a, max(day) as b from od group by 1),

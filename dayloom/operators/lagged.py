@@ -111,6 +111,8 @@ def lagged_products(
         group = group.sort_values("_index")
         values = group[columns].to_numpy(dtype=float)
         halo = int(group["_halo"].sum())
+        if halo == len(values):  # the series ended with the block before
+            return pd.DataFrame(columns=[*keys, "n", "low", "high", "summary", "_part"])
         rows_, first = design(values, halo)
         summary = _summary(rows_, first, lags)
         return finish(key[:-1], values[halo:], summary).assign(_part=key[-1] % _COMBINE_FANIN)

@@ -99,11 +99,14 @@ class Series:
     def rolling_zscore(
         self, c: Column | str, n: int, min_periods: int | None = None, eps: float | None = EPS
     ) -> Column:
-        """Distance from the rolling mean in rolling standard deviations. With
-        eps=None a zero deviation gives NULL."""
+        """Distance from the rolling mean in rolling standard deviations. In a
+        constant window it is 0, not the mean's rounding error over `eps`; with
+        eps=None it is NULL there."""
         spread = self.rolling_std(c, n, min_periods)
         distance = _col(c) - self.rolling_mean(c, n, min_periods)
-        return F.try_divide(distance, spread if eps is None else spread + eps)
+        if eps is None:
+            return F.try_divide(distance, spread)
+        return F.when(spread == 0, _col(c) * 0.0).otherwise(distance / (spread + eps))
 
     def rolling_corr(self, a: str, b: str, n: int) -> Column:
         """Pearson correlation of the last n rows; NULL unless all n pairs are
