@@ -59,8 +59,8 @@ def _solve_udf(lags: int):
     width = 2 * lags + 2
 
     @F.pandas_udf("f_stat double, df2 long, problem string")
-    def solve(n: pd.Series, lag: pd.Series, summary: pd.Series) -> pd.DataFrame:
-        body, heads = unpack(summary, width, lags)
+    def solve(n: pd.Series, lag: pd.Series, body: pd.Series, heads: pd.Series) -> pd.DataFrame:
+        body, heads = unpack(body, heads, width, lags)
         rows, tried = n.to_numpy(), lag.to_numpy()
         f, df2 = np.full(len(n), np.nan), np.zeros(len(n), dtype="int64")
         problem = np.full(len(n), None, dtype=object)
@@ -86,7 +86,7 @@ def granger_test(
     p_value, problem). Rows incomplete in (y, x) are deleted first."""
     products = lagged_products(df, keys, order, [y, x], _design(max_lag), max_lag, max_lag, long)
     tried = F.explode(F.sequence(F.lit(1), F.lit(max_lag)))
-    solved = products.withColumn("lag", tried).withColumn("_s", _solve_udf(max_lag)("n", "lag", "summary"))
+    solved = products.withColumn("lag", tried).withColumn("_s", _solve_udf(max_lag)("n", "lag", "body", "heads"))
     tests = solved.select(
         *keys,
         "lag",

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,14 +40,16 @@ def past(values: np.ndarray, lags: int) -> np.ndarray:
     return sliding_window_view(padded, lags + 1)[:, lags - 1 :: -1] if lags else np.empty((len(values), 0))
 
 
-def _summary(design: np.ndarray, first: int, lags: int) -> np.ndarray:
-    """[matrix of rows with all lags | design rows with 0..lags-1 predecessors]."""
-    width = design.shape[1]
-    heads = np.zeros((lags, width))
-    short = max(0, min(lags - first, len(design)))
+def _summary(design: np.ndarray, first: int, lags: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Matrix of the rows with all lags, and the design rows with fewer
+    predecessors (only the start of a series has those)."""
+    if first >= lags:
+        return (design.T @ design).ravel(), None
+    heads = np.zeros((lags, design.shape[1]))
+    short = min(lags - first, len(design))
     heads[first : first + short] = design[:short]
     body = design[short:]
-    return np.concatenate([(body.T @ body).ravel(), heads.ravel()])
+    return (body.T @ body).ravel(), heads.ravel()
 
 
 def lagged_products(
@@ -60,7 +63,8 @@ def lagged_products(
     long: bool | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """One row per series: n, low, high (of the last column) and `summary`.
+    """One row per series: n, low, high (of the last column), `body` (the matrix
+    of the rows with all lags, flattened) and `heads` (the first design rows).
 
     With `long`, series are cut into blocks of `rows_per_block` rows with
     `reach` rows of halo; otherwise a series is one group, which a daily
@@ -79,50 +83,58 @@ def lagged_products(
         how="any", subset=columns
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "n long, low double, high double, summary array<double>"
+    key_schema = "".join(f"`{k}` {types[k]}, " for k in keys)
+    schema = key_schema + "n long, low double, high double, body array<double>, heads array<double>"
 
-    def finish(key: tuple, values: np.ndarray, summary: np.ndarray) -> pd.DataFrame:
+    def values_of(table: pa.Table, by: str) -> tuple[np.ndarray, np.ndarray]:
+        sequence = np.argsort(table[by].to_numpy(), kind="stable")
+        return np.column_stack([table[c].to_numpy() for c in columns])[sequence], sequence
+
+    def row(key: tuple, values: np.ndarray, body: np.ndarray, heads: np.ndarray | None, **more) -> pa.Table:
         last = values[:, -1]
-        return pd.DataFrame(
-            {
-                **{k: [held] for k, held in zip(keys, key)},
-                "n": [len(values)],
-                "low": [float(last.min())],
-                "high": [float(last.max())],
-                "summary": [summary],
-            }
-        )
+        cells = {k: pa.array([held.as_py()], held.type) for k, held in zip(keys, key)}
+        cells |= {"n": [len(values)], "low": [float(last.min())], "high": [float(last.max())]}
+        doubles = pa.list_(pa.float64())
+        cells |= {"body": pa.array([body], doubles), "heads": pa.array([heads], doubles)}
+        return pa.table(cells | more)
 
     if not long:
+        by = "_order"
+        in_order = F.unix_date(order[0]) if is_day_grain(rows, order) and len(order) == 1 else None
+        if in_order is None:
+            in_order = F.row_number().over(Series(keys, order).forward)
 
-        def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            values = group.sort_values(order)[columns].to_numpy(dtype=float)
-            rows_, first = design(values - values.mean(0), 0)
-            return finish(key, values, _summary(rows_, first, lags))
+        def whole(key: tuple, table: pa.Table) -> pa.Table:
+            values, _ = values_of(table, by)
+            design_rows, first = design(values - values.mean(0), 0)
+            return row(key, values, *_summary(design_rows, first, lags))
 
-        return rows.groupBy(*keys).applyInPandas(whole, schema)
+        return rows.select(*keys, in_order.alias(by), *columns).groupBy(*keys).applyInArrow(whole, schema)
 
+    spark = df.sparkSession
     means = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     indexed = row_index(rows, keys, order, "_index")
     centred = indexed.join(means, keys).withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns})
-    blocks = blocks_with_halo(centred.select(*keys, "_index", *columns), "_index", reach, rows_per_block)
+    blocks = blocks_with_halo(centred.select(*keys, "_index", *columns), "_index", reach, max(rows_per_block, reach))
 
-    def block(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_index")
-        values = group[columns].to_numpy(dtype=float)
-        halo = int(group["_halo"].sum())
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        values, sequence = values_of(table, "_index")
+        halo = int(table["_halo"].to_numpy()[sequence].sum())
+        part = {"_part": [key[-1].as_py() % _COMBINE_FANIN]}
         if halo == len(values):  # the series ended with the block before
-            return pd.DataFrame(columns=[*keys, "n", "low", "high", "summary", "_part"])
-        rows_, first = design(values, halo)
-        summary = _summary(rows_, first, lags)
-        return finish(key[:-1], values[halo:], summary).assign(_part=key[-1] % _COMBINE_FANIN)
-
-    parts = blocks.groupBy(*keys, "_block").applyInPandas(block, schema + ", _part long")
+            return row(key[:-1], values, np.zeros(0), None, **part).slice(0, 0)
+        design_rows, first = design(values, halo)
+        return row(key[:-1], values[halo:], *_summary(design_rows, first, lags), **part)
+
+    # An explicit count keeps adaptive execution from merging blocks by their
+    # few bytes: the work per byte is high here.
+    spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
+    parts = spread.groupBy(*keys, "_block").applyInArrow(block, schema + ", _part long")
     return _combined(_combined(parts, [*keys, "_part"]), keys)
 
 
 def _combined(parts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Add up summaries of a bounded number of parts per group."""
+    """Add up the matrices of a bounded number of parts per group."""
     total = F.aggregate(
         F.slice("_all", 2, F.size("_all")),
         F.get("_all", F.lit(0)),
@@ -134,17 +146,16 @@ def _combined(parts: DataFrame, group: Sequence[str]) -> DataFrame:
             F.sum("n").alias("n"),
             F.min("low").alias("low"),
             F.max("high").alias("high"),
-            F.collect_list("summary").alias("_all"),
+            F.collect_list("body").alias("_all"),
+            F.max("heads").alias("heads"),
         )
-        .select(*group, "n", "low", "high", total.alias("summary"))
+        .select(*group, "n", "low", "high", total.alias("body"), "heads")
     )
 
 
-def unpack(summaries: pd.Series, width: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
+def unpack(body: pd.Series, heads: pd.Series, width: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
     """Matrices (systems, width, width) and head rows (systems, lags, width)."""
-    flat = np.stack([np.asarray(s, dtype=float) for s in summaries])
-    cut = width * width
-    return flat[:, :cut].reshape(-1, width, width), flat[:, cut:].reshape(-1, lags, width)
+    return np.stack(body.to_list()).reshape(-1, width, width), np.stack(heads.to_list()).reshape(-1, lags, width)
 
 
 def with_predecessors(body: np.ndarray, heads: np.ndarray, least: np.ndarray) -> np.ndarray:

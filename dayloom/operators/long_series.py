@@ -25,7 +25,7 @@ from pyspark.sql.types import DateType
 from dayloom.operators.windows import Series, interpolated
 from dayloom.session import ensure_checkpoint_dir
 
-ROWS_PER_BLOCK = 1 << 17
+ROWS_PER_BLOCK = 1 << 15
 
 
 def is_day_grain(df: DataFrame, order: Sequence[str]) -> bool:
@@ -36,12 +36,15 @@ def is_day_grain(df: DataFrame, order: Sequence[str]) -> bool:
 
 
 def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
-    """Cut into contiguous pieces of the (key, order) sequence; adds `_piece`."""
+    """Cut into contiguous pieces of the (key, order) sequence; adds `_piece` and
+    `_at`, the position in the piece, which stays ordered by (key, order)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *keys, *order).withColumn("_piece", F.spark_partition_id())
-    return cut.checkpoint()
+    cut = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The id holds the partition number above its 33 lower bits.
+    in_piece = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut.withColumns({"_piece": F.spark_partition_id(), "_at": in_piece}).checkpoint()
 
 
 def _piece_window(keys: Sequence[str]) -> Series:
@@ -52,12 +55,13 @@ def _piece_window(keys: Sequence[str]) -> Series:
 def _with_offsets(
     pieces: DataFrame, keys: Sequence[str], weight: Column | None = None
 ) -> DataFrame:
-    """Join on the weight of each key's earlier pieces and of the whole key."""
+    """Join on the weight of each key's earlier pieces and of the whole key, and
+    the key's first position in the piece."""
     series = _piece_window(keys)
     before = series.forward.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         pieces.groupBy(*keys, "_piece")
-        .agg(F.sum(F.lit(1) if weight is None else weight).alias("_weight"))
+        .agg(F.sum(F.lit(1) if weight is None else weight).alias("_weight"), F.min("_at").alias("_first"))
         .withColumn("_offset", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_weight").over(Window.partitionBy(*keys)))
         .drop("_weight")
@@ -65,18 +69,19 @@ def _with_offsets(
     return pieces.join(offsets, [*keys, "_piece"])
 
 
-def indexed(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_index") -> DataFrame:
-    """Dense 0-based row index per key over rows cut by `range_pieces`."""
-    inside = F.row_number().over(Series([*keys, "_piece"], order).forward)
+def indexed(pieces: DataFrame, keys: Sequence[str], out: str = "row_index") -> DataFrame:
+    """Dense 0-based row index per key over rows cut by `range_pieces`: rows in
+    earlier pieces plus the position in the own one. The rows are not shuffled
+    again unless the summary is too large to broadcast."""
     rows = _with_offsets(pieces, keys)
-    return rows.withColumn(out, F.col("_offset") + inside - 1).drop("_offset", "_total")
+    return rows.withColumn(out, F.col("_offset") + F.col("_at") - F.col("_first")).drop("_offset", "_total", "_first")
 
 
 def row_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_index", pieces: int | None = None
 ) -> DataFrame:
     """Dense 0-based row index per key, without a whole key in one task."""
-    return indexed(range_pieces(df, keys, order, pieces), keys, order, out).drop("_piece")
+    return indexed(range_pieces(df, keys, order, pieces), keys, out).drop("_piece", "_at")
 
 
 def blocks_with_halo(df: DataFrame, index: str, reach: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -177,7 +182,7 @@ def fill_long(
     else:
         raise ValueError(f"unknown fill method {method!r}")
     return rows.withColumn(out or value, filled).drop(
-        "_piece", "_from_before", "_from_after", "_prev", "_next"
+        "_piece", "_at", "_from_before", "_from_after", "_prev", "_next"
     )
 
 

@@ -79,8 +79,8 @@ def _solve_udf(lags: int):
     width = lags + 3
 
     @F.pandas_udf("statistic double, used_lag int, n_obs long")
-    def solve(n: pd.Series, summary: pd.Series) -> pd.DataFrame:
-        body, heads = unpack(summary, width, lags)
+    def solve(n: pd.Series, body: pd.Series, heads: pd.Series) -> pd.DataFrame:
+        body, heads = unpack(body, heads, width, lags)
         statistic, lag, used = _solve(n.to_numpy(), body, heads, lags)
         out = pd.DataFrame({"statistic": statistic, "used_lag": lag.astype("int32"), "n_obs": used})
         return out.assign(statistic=out["statistic"].astype(object).where(out["statistic"].notna(), None))
@@ -109,7 +109,7 @@ def adf_test(
     lags = max(1, ceil(12.0 * (max(max_rows, MIN_ROWS) / 100.0) ** 0.25))
     products = lagged_products(rows, keys, order, [value], _design(lags), lags, lags + 1, long)
     problem = F.when(F.col("n") < MIN_ROWS, INSUFFICIENT).when(F.col("low") == F.col("high"), CONSTANT)
-    judged = products.withColumn("problem", problem).withColumn("_s", _solve_udf(lags)("n", "summary"))
+    judged = products.withColumn("problem", problem).withColumn("_s", _solve_udf(lags)("n", "body", "heads"))
     sound = F.col("problem").isNull()
     return with_mackinnon_pvalue(
         judged.select(

@@ -102,11 +102,25 @@ class Series:
         """Distance from the rolling mean in rolling standard deviations. In a
         constant window it is 0, not the mean's rounding error over `eps`; with
         eps=None it is NULL there."""
-        spread = self.rolling_std(c, n, min_periods)
-        distance = _col(c) - self.rolling_mean(c, n, min_periods)
-        if eps is None:
-            return F.try_divide(distance, spread)
-        return F.when(spread == 0, _col(c) * 0.0).otherwise(distance / (spread + eps))
+        x, frame = _col(c), self.last_rows(n)
+        need = n if min_periods is None else min_periods
+        # One struct, so that each aggregate stands in the Window node once.
+        stats = F.struct(
+            x.alias("x"),
+            F.count(x).over(frame).alias("n"),
+            F.avg(x).over(frame).alias("mean"),
+            F.stddev_samp(x).over(frame).alias("std"),
+        )
+
+        def score(s: Column) -> Column:
+            distance = s["x"] - s["mean"]
+            if eps is None:
+                z = F.try_divide(distance, s["std"])
+            else:
+                z = F.when(s["std"] == 0, s["x"] * 0.0).otherwise(distance / (s["std"] + eps))
+            return F.when(s["n"] >= need, z)
+
+        return F.get(F.transform(F.array(stats), score), F.lit(0))
 
     def rolling_corr(self, a: str, b: str, n: int) -> Column:
         """Pearson correlation of the last n rows; NULL unless all n pairs are

@@ -91,5 +91,23 @@ def test_single_value_and_empty_groups(spark):
 
 def test_no_single_partition_and_no_key_only_window(rows):
     pieces = long_series.range_pieces(rows, ["series"], ORDER, 4)
-    plan = long_series.indexed(pieces, ["series"], ORDER)._jdf.queryExecution().executedPlan().toString()
+    plan = long_series.indexed(pieces, ["series"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_workers_do_not_need_the_package():
+    """A function sent to a worker loads where the package cannot be imported."""
+    import subprocess
+    import sys
+
+    from dayloom.operators.unit_root import _design
+    from pyspark import cloudpickle
+
+    code = (
+        "import sys, pickle, numpy as np; f = pickle.loads(bytes.fromhex(sys.stdin.read())); "
+        "assert 'dayloom' not in sys.modules; print(f(np.arange(5.0).reshape(-1, 1), 0)[0].shape)"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code], input=cloudpickle.dumps(_design(2)).hex(), text=True, capture_output=True, cwd="/"
+    )
+    assert done.stdout.strip() == "(4, 5)", done.stderr
