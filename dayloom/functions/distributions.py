@@ -20,8 +20,17 @@ TAU_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
 _MAX_TERMS = 500
 _TINY = 1e-300
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(function, values: np.ndarray) -> np.ndarray:
+    return np.array([function(v) for v in values.ravel()], dtype=float).reshape(values.shape)
+
+
+def _lgamma(values: np.ndarray) -> np.ndarray:
+    return _each(math.lgamma, values)
+
+
+def _erfc(values: np.ndarray) -> np.ndarray:
+    return _each(math.erfc, values)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
