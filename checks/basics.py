@@ -111,7 +111,7 @@ _STATS = (
 )
 def write_describe(spark, sf):
     path, features = scratch(spark, "describe"), [f"p{i}" for i in range(1, 6)]
-    sinks.write_describe(describe(orders_wide(spark, sf), features), path, features)
+    sinks.write_describe(describe(orders_wide(spark, sf), features, grain="day"), path, features)
     back = readers.read_series_csv(spark, path, "statistic string, " + ", ".join(f"{f} double" for f in features))
     return rounded(back, *features, digits=4)
 

@@ -41,7 +41,7 @@ _P = [f"p{i}" for i in range(1, 6)]
 
 @query("describe", f"with {OD} " + _describe_sql("od", ["value"], "series"))
 def describe(spark, sf):
-    return rounded(profile.describe(orders_daily(spark, sf), ["value"], ["series"]), *_NUMBERS, digits=4)
+    return rounded(profile.describe(orders_daily(spark, sf), ["value"], ["series"], "day"), *_NUMBERS, digits=4)
 
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -50,7 +50,7 @@ _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query("describe_any_grain", _describe_sql("lineitem", _LINE, "l_returnflag"))
 def describe_any_grain(spark, sf):
     rows = table(spark, sf, "lineitem")
-    return rounded(profile.describe(rows, _LINE, ["l_returnflag"], grain="any"), *_NUMBERS, digits=4)
+    return rounded(profile.describe(rows, _LINE, ["l_returnflag"]), *_NUMBERS, digits=4)
 
 
 _RETURNS = f"""with {FILLED}, x as (select series, day, case when day < date '{CUT}' then 'retail' else 'institutional' end as era,
@@ -64,13 +64,13 @@ def returns(spark, sf):
 @query("describe_by_era", _RETURNS + _describe_sql("x", ["ret"], "era", even=True))
 def describe_by_era(spark, sf):
     rows = calendar.assign_era(returns(spark, sf), "day", CUT)
-    described = profile.describe_by_era(rows, ["ret"], grain="any")
+    described = profile.describe_by_era(rows, ["ret"])
     return described.withColumns({c: F.col(c) + 0.0 for c in _NUMBERS})
 
 
 @query("describe_transposed", f"with {SHIP_WIDE} " + _describe_sql("sw", [g.lower() + "_qty" for g in GROUPS]))
 def describe_transposed(spark, sf):
-    return rounded(profile.describe(ship_wide(spark, sf), [g.lower() + "_qty" for g in GROUPS]), *_NUMBERS, digits=4)
+    return rounded(profile.describe(ship_wide(spark, sf), [g.lower() + "_qty" for g in GROUPS], grain="day"), *_NUMBERS, digits=4)
 
 
 @query("day_extent_by_era", f"with {OD}, e as (select *, case when day < date '{CUT}' then 'retail' else 'institutional' end as era from od) select era, min(day) as first_day, max(day) as last_day, count(day) as days from e group by 1")

@@ -165,7 +165,7 @@ def features(spark, sf) -> DataFrame:
 
 @query("study_describe_by_era", f"with {FEAT} " + _describe_sql("feat", list(catalog.TRANSFORMED), "era", even=True))
 def study_describe_by_era(spark, sf):
-    out = profile.describe_by_era(calendar.assign_era(features(spark, sf), "day"), list(catalog.TRANSFORMED))
+    out = profile.describe_by_era(calendar.assign_era(features(spark, sf), "day"), list(catalog.TRANSFORMED), grain="day")
     return out.withColumns({s: F.col(s) + 0.0 for s in profile.STATISTICS if s != "count"})
 
 

@@ -268,6 +268,16 @@ def long_rolling(spark, sf):
     return rounded(out.select("series", "event_id", "diff", "ma7"), "diff", "ma7")
 
 
+@query(
+    "long_lag_matrix",
+    f"""with {EV} select series, event_id, row_number() over {_WE} as row_number, value, lag(value, 1) over {_WE} as value_lag1,
+    lag(value, 2) over {_WE} as value_lag2 from ev where value is not null""",
+)
+def long_lag_matrix(spark, sf):
+    out = lag_matrix_of(event_rows(spark, sf).drop("sparse"), ["series"], _EVENT_ORDER, ["value"], 2)
+    return out.select("series", "event_id", "row_number", "value", "value_lag1", "value_lag2")
+
+
 _BEFORE = "(partition by series order by ts, event_id rows between unbounded preceding and current row)"
 _AFTER = "(partition by series order by ts, event_id rows between current row and unbounded following)"
 

@@ -144,9 +144,21 @@ def comoments(
     return merge_comoments(_partials_by_block(df, columns, keys), keys)
 
 
+# A centred sum of squares this small next to the squared mean is a constant
+# column seen through rounding.
+_CONSTANT = 1e-24
+
+
+def varies(side: str) -> Column:
+    """Whether column i or j of a pair is more than a constant."""
+    mean = F.col(f"mean_{side}")
+    return F.col(f"ss_{side}") > _CONSTANT * F.col("n") * mean * mean
+
+
 def scatter_matrices(moments: DataFrame, keys: Sequence[str], order: int) -> DataFrame:
     """One row per group: n and the centred cross-product matrix, flattened in
     row order. The list per group has order*(order+1)/2 entries."""
+    moments = moments.withColumn("cp", F.when(varies("i") & varies("j"), F.col("cp")).otherwise(0.0))
     both_halves = F.when(
         F.col("i") != F.col("j"),
         F.array(F.struct("i", "j", "cp"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "cp")),

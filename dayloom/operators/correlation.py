@@ -4,19 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dayloom.operators.calendar import ERA_CUT, ERA_LABELS, assign_era
-from dayloom.operators.comoments import comoments
-
-# A centred sum of squares this small next to the squared mean is a constant
-# column seen through rounding.
-_CONSTANT = 1e-24
-
-
-def _varies(ss: str, mean: str) -> Column:
-    return F.col(ss) > _CONSTANT * F.col("n") * F.col(mean) * F.col(mean)
-
+from dayloom.operators.comoments import comoments, varies
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Correlation of every ordered column pair with pairwise NULL deletion.
@@ -25,7 +16,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str
     """
     names = F.array(*[F.lit(c) for c in columns])
     moments = comoments(df, columns, keys)
-    usable = (F.col("n") >= 2) & _varies("ss_i", "mean_i") & _varies("ss_j", "mean_j")
+    usable = (F.col("n") >= 2) & varies("i") & varies("j")
     r = F.when(
         F.col("i") == F.col("j"), F.when(usable, F.lit(1.0))
     ).otherwise(F.when(usable, F.try_divide(F.col("cp"), F.sqrt(F.col("ss_i")) * F.sqrt(F.col("ss_j")))))

@@ -14,9 +14,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
-
-from dayloom.operators.long_series import ROWS_PER_BLOCK, blocks_with_halo, is_day_grain, row_index
+from pyspark.sql import Column, DataFrame, functions as F
+
+from dayloom.operators.long_series import (
+    ROWS_PER_BLOCK,
+    blocks_with_halo,
+    bounded_windows,
+    is_day_grain,
+    row_index,
+)
 from dayloom.operators.windows import Series
 
 # values: (rows, columns) in order -> (design rows, predecessors of the first one)
@@ -28,10 +34,16 @@ _COMBINE_FANIN = 256
 def lag_matrix(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], p: int) -> DataFrame:
     """Columns lag 1..p of each listed column over the complete rows, with the
     row number they refer to. Lags count rows, so gaps collapse."""
-    series = Series(list(keys), list(order))
     rows = df.dropna(how="any", subset=list(columns))
-    lags = {name: c for column in columns for name, c in series.lags(column, p).items()}
-    return rows.withColumns({"row_number": F.row_number().over(series.forward), **lags})
+
+    def lags(series: Series) -> dict[str, Column]:
+        return {name: c for column in columns for name, c in series.lags(column, p).items()}
+
+    if not is_day_grain(df, order):
+        counted = bounded_windows(rows, keys, order, p, lags, index="row_number")
+        return counted.withColumn("row_number", F.col("row_number") + 1)
+    series = Series(list(keys), list(order))
+    return rows.withColumns({"row_number": F.row_number().over(series.forward), **lags(series)})
 
 
 def past(values: np.ndarray, lags: int) -> np.ndarray:

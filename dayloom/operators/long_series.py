@@ -108,19 +108,20 @@ def bounded_windows(
     *steps: Callable[[Series], Mapping[str, Column]],
     pieces: int | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    index: str = "_index",
 ) -> DataFrame:
-    """Add window columns that look back at most `reach` rows in total.
+    """Add window columns that look back at most `reach` rows in total. The
+    dense row index is kept when `index` gives it a name of its own.
 
     Each step maps a `Series` to named columns; later steps see earlier ones,
     so `reach` is the sum over chained steps (a 7-row mean of differences: 7).
     """
-    index = "_index"
     rows = row_index(df, keys, order, index, pieces)
     blocks = blocks_with_halo(rows, index, reach, rows_per_block)
     series = Series([*keys, "_block"], [index])
     for step in steps:
         blocks = blocks.withColumns(dict(step(series)))
-    return blocks.filter(~F.col("_halo")).drop("_halo", "_block", index)
+    return blocks.filter(~F.col("_halo")).drop("_halo", "_block", "_index")
 
 
 def _known_point(value: str, order: Sequence[str]) -> Column:

@@ -21,13 +21,14 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str =
 
 
 def describe(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), grain: str = "day"
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), grain: str = "any"
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per column.
 
-    One row per (keys, column). `percentile` keeps the distinct values of a
-    group in memory, which is bounded for day-grain series; with grain='any'
-    quartiles come from distributed ranks, still exact.
+    One row per (keys, column). With grain='any' the quartiles come from
+    distributed ranks. `percentile` keeps the distinct values of a group in
+    memory, so it is used only where grain='day' says that a group has one row
+    per day. Both are exact.
     """
     tall = melt(df, keys, columns)
     group = [*keys, "feature"]
@@ -56,10 +57,10 @@ def rounded_stats(described: DataFrame, digits: int) -> DataFrame:
 
 
 def describe_by_era(
-    df: DataFrame, columns: Sequence[str], era: str = "era", digits: int = 4, grain: str = "day"
+    df: DataFrame, columns: Sequence[str], era: str = "era", digits: int = 4, grain: str = "any"
 ) -> DataFrame:
     """`describe` for each era label, rounded. An era of a wide table has one
-    row per day; for a tall panel pass grain='any'."""
+    row per day, so grain='day' suits it; a tall panel needs 'any'."""
     return rounded_stats(describe(df, columns, [era], grain), digits)
 
 

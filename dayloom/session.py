@@ -16,13 +16,21 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Only a new context can take these: checkpoint files are compressed, and go
+# away once nothing on the driver refers to them.
+STATIC_CONF = {
+    "spark.checkpoint.compress": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.ui.enabled": "false",
+}
+
 
 def build_session(app: str = "dayloom", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session with the settings above; `conf` uses `__` for dots."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (STATIC_CONF | RUNTIME_CONF).items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

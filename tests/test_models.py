@@ -96,6 +96,12 @@ def test_ols_drops_a_redundant_column(wide_df):
     assert two["ssr"] == pytest.approx(one["ssr"], rel=1e-8)
 
 
+def test_a_constant_regressor_changes_nothing(wide_df):
+    flat = wide_df.withColumn("k", F.lit(0.1))
+    one, two = regression.ols_ssr(wide_df, "y", ["a", "b"]).first(), regression.ols_ssr(flat, "y", ["a", "k", "b"]).first()
+    assert two["rank"] == one["rank"] and two["ssr"] == pytest.approx(one["ssr"], rel=1e-10)
+
+
 def chow_by_hand(part1, part2, names):
     ssr = lambda p: lstsq(p["y"].to_numpy(), p[names].to_numpy())[1]
     k, split = len(names) + 1, ssr(part1) + ssr(part2)
