@@ -42,15 +42,13 @@ def nonfinite_to_null(c: Column | str) -> Column:
 
 
 def safe_ln(c: Column | str) -> Column:
-    """Natural log; NULL for zero and below."""
-    x = _col(c)
-    return F.when(x > 0, F.ln(x))
+    """Natural log; Spark gives NULL, not an infinity, for zero and below."""
+    return F.ln(_col(c))
 
 
 def log_count(c: Column | str) -> Column:
     """ln(1 + x), the log used for counts; NULL for -1 and below."""
-    x = _col(c)
-    return F.when(x > -1, F.log1p(x))
+    return F.log1p(_col(c))
 
 
 def rowwise_mean(*cols: Column | str) -> Column:

@@ -112,12 +112,13 @@ def lagged_products(
 
     if not long:
         by = "_order"
-        in_order = F.unix_date(order[0]) if is_day_grain(rows, order) and len(order) == 1 else None
-        if in_order is None:
-            in_order = F.row_number().over(Series(keys, order).forward)
+        daily = len(order) == 1 and is_day_grain(rows, order)
+        in_order = F.unix_date(order[0]) if daily else F.row_number().over(Series(keys, order).forward)
 
         def whole(key: tuple, table: pa.Table) -> pa.Table:
-            values, _ = values_of(table, by)
+            values, sequence = values_of(table, by)
+            if (np.diff(table[by].to_numpy()[sequence]) == 0).any():
+                raise ValueError(f"more than one row for a day of series {[k.as_py() for k in key]}")
             design_rows, first = design(values - values.mean(0), 0)
             return row(key, values, *_summary(design_rows, first, lags))
 

@@ -110,6 +110,12 @@ def test_missing_value_rules(spark):
     assert spark.range(1).select(scalar.pct_of_total(F.lit(1.0), F.lit(0.0))).first()[0] is None
 
 
+def test_logs_of_nonpositive_numbers_are_null(spark):
+    df = spark.createDataFrame([(0.0,), (-1.0,), (-2.0,)], "x double")
+    assert [r[0] for r in df.select(scalar.safe_ln("x")).collect()] == [None] * 3
+    assert [r[0] for r in df.select(scalar.log_count("x")).collect()] == [0.0, None, None]
+
+
 def test_rounding_matches_numpy(spark):
     values = [0.125, 0.375, 2.675, 0.09125, -1.005, 1e6 + 0.005]
     df = spark.createDataFrame([(v,) for v in values], "x double")

@@ -246,6 +246,12 @@ def pairs():
 PAIR_SCHEMA = "day date, y double, lead double, free double, flat double, late double, last double"
 
 
+def test_two_rows_for_a_day_are_refused(spark, series):
+    df = tall_series(spark, {"ar": series["ar"]})
+    with pytest.raises(Exception, match="more than one row for a day"):
+        unit_root.adf_test(df.unionByName(df.limit(1)), ["series"], ["day"], "x").collect()
+
+
 @pytest.mark.parametrize("long", [False, True])
 def test_granger(spark, pairs, long):
     df = frame(spark, pairs, PAIR_SCHEMA)
