@@ -30,7 +30,7 @@ def read_sources(spark: SparkSession, folder: str, names: Iterable[str] | None =
 def tall_values(
     sources: Mapping[str, DataFrame], features: Sequence[Feature] = FEATURES, panel: Sequence[str] = ()
 ) -> DataFrame:
-    """(panel, series, day, value) of every feature whose source is given; each
+    """(panel, day, series, value) of every feature whose source is given; each
     source is scanned once however many features it feeds."""
     parts = []
     for name, df in sources.items():
@@ -41,12 +41,9 @@ def tall_values(
         cells = F.array(
             *[F.struct(F.lit(f.level).alias("series"), f.value().cast("double").alias("value")) for f in mine]
         )
-        parts.append(
-            df.select(*panel, parse_day(source.day, source.encoding, source.fmt).alias("day"), F.explode(cells).alias("_c"))
-            .select(*panel, "_c.series", "day", "_c.value")
-            .filter(F.col("day").isNotNull())
-        )
-    return reduce(DataFrame.unionByName, parts)
+        day = parse_day(source.day, source.encoding, source.fmt).alias("day")
+        parts.append(df.select(*panel, day, F.inline(cells)))
+    return reduce(DataFrame.union, parts).filter(F.col("day").isNotNull())
 
 
 def _any_of(features: Iterable[Feature]) -> Column:
