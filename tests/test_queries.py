@@ -33,5 +33,5 @@ def test_entry(spark):
     assert df.columns == ["series", "day", "value", "log_ret"] and df.count() > 0
 
 
-def test_every_query_has_sql():
-    assert set(registered.oracle_sql()) == set(registered.queries())
+def test_every_query_of_the_study_has_sql():
+    assert set(registered.ORACLES) == set(registered.QUERIES)
