@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayloom.llm import decontaminate, token_counts
+from dayloom.llm import decontaminate, secret_scan, sentencepiece_viterbi, token_counts
 from dayloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+@_query("op1_secret_scan")
+def op1(spark, sf_dir):
+    return secret_scan.secret_spans(documents(spark, sf_dir))
+
+
+@_query("op2_sentencepiece")
+def op2(spark, sf_dir):
+    return sentencepiece_viterbi.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
