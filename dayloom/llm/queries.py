@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayloom.llm import decontaminate, secret_scan, sentencepiece_viterbi, token_counts
+from dayloom.llm import decontaminate, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts
 from dayloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,17 @@ def op4(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+@_query("op7_personal_data")
+def op7(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+@_query("op8_quality_rules")
+def op8(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_rules.judged(documents(spark, sf_dir), labels)
+
+
 @_query(
     "op9_decontamination",
     rf"""
