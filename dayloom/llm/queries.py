@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dayloom.llm import decontaminate, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts
+from dayloom.llm import (
+    decontaminate, line_crf, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts, url_filter,
+)
 from dayloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,21 @@ def op4(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+# The rules of the contract, fixed values.
+URL_RULES = [
+    url_filter.Rule(True, "org", "/"),
+    url_filter.Rule(False, "example.org", "/es/"),
+    url_filter.Rule(False, "example.org", "/en/1"),
+    url_filter.Rule(True, "com", "/fr/"),
+    url_filter.Rule(False, "com", "/de/"),
+]
+
+
+@_query("op5_url_filter")
+def op5(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 @_query("op7_personal_data")
 def op7(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
@@ -91,3 +108,8 @@ from listed l left join covered c on l.id = c.id left join found f on l.id = f.i
 def op9(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.contamination(documents(spark, sf_dir), items).drop("items")
+
+
+@_query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    return line_crf.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
