@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import (
-    decontaminate, line_crf, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts, url_filter,
+    decontaminate, jaccard_join, line_crf, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts,
+    url_filter,
 )
 from dayloom.llm.tables import table
 
@@ -42,6 +43,39 @@ def op2(spark, sf_dir):
     return sentencepiece_viterbi.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query(
+    "op3_ngram_jaccard_join",
+    rf"""
+with recursive listed as (
+    select doc_id as id,
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+),
+placed as (
+    select id, array_to_string(w[first:first + 4], ' ') as s
+    from (select id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as first from listed where len(w) > 0)
+),
+shingles as (select distinct id, s from placed),
+sizes as (select id, count(*) as n from shingles group by id),
+common as (
+    select a.id as a, b.id as b, count(*) as n
+    from shingles a join shingles b on a.s = b.s and a.id <> b.id group by a.id, b.id
+),
+links as (
+    select c.a, c.b from common c join sizes x on c.a = x.id join sizes y on c.b = y.id
+    where c.n / (x.n + y.n - c.n) >= 0.8
+),
+reach as (select id as a, id as b from listed union select r.a, l.b from reach r join links l on r.b = l.a),
+lowest as (select a, min(b) as class_id from reach group by a),
+counted as (select a, count(*) as n from links group by a)
+select l.id as doc_id, m.class_id, coalesce(c.n, 0) as n_links
+from listed l join lowest m on l.id = m.a left join counted c on l.id = c.a
+""",
+)
+def op3(spark, sf_dir):
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 @_query("op4_token_counts")
 def op4(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
