@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import (
-    decontaminate, jaccard_join, line_crf, pii, quality_rules, secret_scan, sentencepiece_viterbi, token_counts,
-    url_filter,
+    decontaminate, jaccard_join, line_crf, lm_scores, pii, quality_rules, secret_scan, sentencepiece_viterbi,
+    token_counts, url_filter,
 )
 from dayloom.llm.tables import table
 
@@ -96,6 +96,11 @@ def op5(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+@_query("op6_lm_scores")
+def op6(spark, sf_dir):
+    return lm_scores.scored(documents(spark, sf_dir))[0]
+
+
 @_query("op7_personal_data")
 def op7(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
