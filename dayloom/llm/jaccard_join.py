@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.decontaminate import words_of
 from dayloom.llm.tables import settle, utf8
@@ -348,8 +348,8 @@ def _shingles_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "copy binary, shingles array<bigint>")
 
 
-def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, class_id, n_links), one row for each document."""
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id and copy key of each row with an id; for each copy key: id, n_copies, root of its class, links)."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     marked = settle(fingerprints(docs, id_column, text_column))
     sets = settle(
@@ -385,19 +385,19 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     hung = components(found.select(F.col("copy").alias("a"), F.col("root").alias("b")))
     rooted = (
         sets.select("copy", "id", "n_copies").join(hung.withColumnRenamed("node", "copy"), "copy", "left")
-        .withColumn("root", F.coalesce("root", "copy"))
-    )
-    lowest = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    classes = rooted.join(lowest, "root").join(links, "copy", "left").select(
-        "copy", "class_id", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        .join(links, "copy", "left")
     )
-    worded = marked.where(F.col("copy").isNotNull()).select("id", "copy").join(classes, "copy", "left").select(
-        "id", "class_id", "n_links"
+    return marked.select("id", "copy"), rooted.select(
+        "copy", "id", "n_copies", F.coalesce("root", "copy").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    return _with_rest(docs, marked, worded, id_column)
 
 
-def _with_rest(docs: DataFrame, marked: DataFrame, worded: DataFrame, id_column: str) -> DataFrame:
+def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, class_id, n_links), one row for each document."""
+    marked, rooted = classes(docs, id_column, text_column)
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
+    named = rooted.join(lowest, "root").select("copy", "class_id", (F.col("n_copies") - 1 + F.col("links")).alias("n_links"))
+    worded = marked.where(F.col("copy").isNotNull()).join(named, "copy").select("id", "class_id", "n_links")
     none = F.lit(0).cast("bigint").alias("n_links")
     wordless = marked.where(F.col("copy").isNull()).select("id", F.col("id").alias("class_id"), none)
     nameless = docs.where(F.col(id_column).isNull()).select(
@@ -407,7 +407,34 @@ def _with_rest(docs: DataFrame, marked: DataFrame, worded: DataFrame, id_column:
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of the lowest id in each class, with all their columns; rows without an id stay."""
-    joined = join(docs, id_column, text_column).select(F.col(id_column).alias("__id"), F.col("class_id").alias("__class"))
-    dropped = joined.where(F.col("__id") != F.col("__class")).select("__id").distinct()
-    return docs.join(dropped, docs[id_column] == F.col("__id"), "left_anti")
+    """One row of each class, that of the lowest id, with all its columns; rows without an id or a word stay."""
+    _, rooted = classes(docs, id_column, text_column)
+    kept = rooted.groupBy("root").agg(F.min(F.struct("id", "copy")).alias("first")).select("first.*")
+    judged = F.col(id_column).isNotNull() & F.coalesce(F.col(text_column).rlike("[^\\x00-/:-@\\[-`{-\\x7f]"), F.lit(False))
+    key = _fresh(docs.columns)
+    names = {c: F.col(key[c]) for c in ("id", "copy")}
+    first = kept.select(*(F.col(c).alias(key[c]) for c in ("id", "copy")))
+    keyed = _with_copy_key(docs.where(judged), text_column, key["row"])
+    chosen = keyed.join(
+        first, (keyed[id_column] == names["id"]) & (keyed[key["row"]] == names["copy"]), "left_semi"
+    ).dropDuplicates([id_column, key["row"]])
+    return chosen.select(*docs.columns).unionByName(docs.where(~judged))
+
+
+def _fresh(columns: list[str]) -> dict[str, str]:
+    """Names that no column has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return {c: prefix + c for c in ("id", "copy", "row")}
+
+
+def _with_copy_key(rows: DataFrame, text_column: str, name: str) -> DataFrame:
+    at = rows.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([copy_key(words_of(raw)) for raw in utf8(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, rows.select("*", F.lit(b"").alias(name)).schema)
