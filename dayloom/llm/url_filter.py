@@ -176,17 +176,18 @@ def fit(judged: DataFrame) -> UrlModel:
 
 
 def _threshold(bins: list[tuple[int, int, int]]) -> float:
-    """The lowest bin border that rejects most while it blocks at most `MISTAKES` of the accepted examples."""
+    """The bin border that rejects most while it blocks at most `MISTAKES` of the accepted examples; the middle of ties."""
     good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
     at = {b: (g, r) for b, g, r in bins}
     low = int(-_BOUND / _BIN)
-    best, chosen, kept_out, rejected = 0, low, 0, 0
+    best, chosen, kept_out, rejected = 0, [low], 0, 0
     for border in range(low, -low + 2):
-        if rejected > best and kept_out <= MISTAKES * good:
-            best, chosen = rejected, border
+        if kept_out <= MISTAKES * good and rejected >= best:
+            chosen = [*chosen, border] if rejected == best else [border]
+            best = rejected
         g, r = at.get(border, (0, 0))
         kept_out, rejected = kept_out + g, rejected + r
-    return chosen * _BIN if bad else -_BOUND
+    return chosen[len(chosen) // 2] * _BIN if bad else -_BOUND
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
