@@ -12,11 +12,11 @@ force: first signatures, then, for sets that look similar to another, the shingl
 themselves. The number of runs follows from the target recall, so that a pair at
 the threshold is missed with a probability below 1 - `RECALL`.
 
-Buckets that still are large after `DEPTH` splits hold sets that resemble each
-other; they are cut into blocks and all pairs of blocks are compared, each in a
-task of its own. No pairs are shuffled: a bucket returns, for each of its sets,
+Large buckets whose members agree in half of the places are not split further, as
+no split would part them; they, and what is left after `DEPTH` splits, are cut
+into blocks, and all pairs of blocks are compared, each in a task of its own. No pairs are shuffled: a bucket returns, for each of its sets,
 the number of links and one set it hangs together with. A pair that meets in
-several buckets counts in the one with the lowest number.
+several buckets is looked at in the one with the lowest number.
 
 Result, one row for each document: `class_id`, the lowest id among all documents
 connected by copies and links; `n_links`, the number of other documents linked to
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,7 +41,7 @@ from dayloom.llm.decontaminate import words_of
 from dayloom.llm.tables import settle, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
-RECALL, BRANCHES, DEPTH, LEAF = 0.999999, 2, 6, 512
+RECALL, BRANCHES, DEPTH, LEAF, DENSE = 0.999999, 2, 8, 512, 0.5
 PLACES = 128
 # Of PLACES places, a pair at the threshold agrees in fewer than this with a
 # probability of about 1e-7 (5.4 standard deviations below the mean).
@@ -139,6 +140,10 @@ def leaves(sets: DataFrame) -> DataFrame:
     paths = sets.select("copy", F.posexplode("roots").alias("run", "root")).select(
         "copy", F.xxhash64("run", "root").alias("path")
     )
+    chosen = F.expr(
+        f"transform(sequence(1, {BRANCHES}), k -> "
+        f"struct(k, xxhash64(path, k, places[cast(pmod(xxhash64(path, k), {PLACES}) as int)]) as child))"
+    )
     done = []
     for depth in range(DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -148,17 +153,24 @@ def leaves(sets: DataFrame) -> DataFrame:
             done.append(shared)
             break
         done.append(shared.where(~large))
-        chosen = F.expr(
-            f"transform(sequence(1, {BRANCHES}), k -> "
-            f"xxhash64(path, k, places[cast(pmod(xxhash64(path, k), {PLACES}) as int)]))"
+        split = settle(
+            shared.where(large).join(sets.select("copy", "places"), "copy")
+            .select("copy", "path", "n", F.explode(chosen).alias("c")).select("copy", "path", "n", "c.k", "c.child")
         )
-        paths = shared.where(large).select("copy", "path").join(sets.select("copy", "places"), "copy").select(
-            "copy", F.explode(F.array_distinct(chosen)).alias("path")
+        # The share of pairs that a split keeps together estimates how similar
+        # the members are; a bucket of similar sets is not split any more.
+        together = (
+            split.groupBy("path", "k", "child").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+            .groupBy("path").agg((F.sum(F.col("m") * F.col("m")) / F.first(F.col("n") * F.col("n"))).alias("kept"))
+            .withColumn("dense", F.col("kept") >= DENSE * BRANCHES).select("path", "dense")
         )
-    out = done[0]
+        judged = settle(split.join(together, "path"))
+        done.append(judged.where(F.col("dense") & (F.col("k") == 1)).select("path", "copy", "n"))
+        paths = judged.where(~F.col("dense")).select("copy", F.col("child").alias("path")).distinct()
+    out = done[0].select("path", "copy", "n")
     for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("copy", F.col("path").alias("leaf"), "n")
+        out = out.unionByName(more.select("path", "copy", "n"))
+    return out.withColumnRenamed("path", "leaf")
 
 
 def _tasks(members: DataFrame) -> DataFrame:
@@ -204,13 +216,33 @@ def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
     return column.flatten().to_numpy().astype(kind, copy=False).reshape(-1, width)
 
 
-def _may_pair(sides: np.ndarray, rows: slice) -> np.ndarray:
-    """Which pairs of members (one of `rows`, any later one) this task compares."""
+def _may_pair(group: pa.RecordBatch) -> np.ndarray:
+    """Which pairs (a member, a later one) this task decides on.
+
+    Members on the same side of a pair of blocks meet elsewhere, and so do those
+    that share a leaf with a lower number than this one.
+    """
+    sides = group.column("side").to_numpy()
     n = len(sides)
-    first = np.arange(n)[rows]
-    later = first[:, None] < np.arange(n)[None, :]
-    apart = (sides[rows][:, None] < 0) | (sides[rows][:, None] != sides[None, :])
-    return later & apart
+    mine = np.triu(np.ones((n, n), bool), 1) & ((sides[:, None] < 0) | (sides[:, None] != sides[None, :]))
+    lists = group.column("leaves")
+    owner = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy())
+    values = lists.flatten().to_numpy()
+    lower = values < group.column("leaf")[0].as_py()
+    if not lower.any():
+        return mine
+    distinct, column = np.unique(values[lower], return_inverse=True)
+    several = np.bincount(column) > 1
+    if not several.any():
+        return mine
+    kept = several[column]
+    for at in range(0, int(several.sum()), 4096):
+        place = (np.cumsum(several) - 1)[column[kept]] - at
+        here = (place >= 0) & (place < 4096)
+        member = np.zeros((n, min(4096, int(several.sum()) - at)), np.float32)
+        member[owner[lower][kept][here], place[here]] = 1
+        mine &= (member @ member.T) == 0
+    return mine
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +252,14 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n < 2:
             continue
         places = _matrix(group.column("places"), PLACES, np.int16)
-        sides = group.column("side").to_numpy()
+        mine = _may_pair(group)
         keep = np.zeros(n, bool)
         for at in range(0, n, 32):
             rows = slice(at, min(at + 32, n))
+            if not mine[rows].any():
+                continue
             agree = (places[rows][:, None, :] == places[None, :, :]).sum(2)
-            similar = (agree >= ALIKE) & _may_pair(sides, rows)
+            similar = (agree >= ALIKE) & mine[rows]
             keep[rows] |= similar.any(1)
             keep |= similar.any(0)
         if keep.any():
@@ -268,14 +302,12 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array(list(map(len, sets)), float)
         common = _common(sets)
         linked = common / (sizes[:, None] + sizes[None, :] - common) >= SIMILARITY
-        linked &= _may_pair(rows.column("side").to_numpy(), slice(0, n))
+        linked &= _may_pair(rows)
         lefts, rights = np.nonzero(linked)
         if not len(lefts):
             continue
         copies = rows.column("n_copies").to_numpy()
-        leaf = rows.column("leaf")[0].as_py()
-        lists = [frozenset(x) for x in rows.column("leaves").to_pylist()]
-        links, root = np.zeros(n, np.int64), list(range(n))
+        links, root = linked @ copies + linked.T @ copies, list(range(n))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -284,9 +316,6 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return x
 
         for a, b in zip(lefts.tolist(), rights.tolist()):
-            if len(lists[a]) == 1 or len(lists[b]) == 1 or min(lists[a] & lists[b]) == leaf:
-                links[a] += copies[b]
-                links[b] += copies[a]
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
         touched = np.union1d(lefts, rights).tolist()
