@@ -292,7 +292,7 @@ _CUMULATED = f"""{SHIP}, lv as (select series, day, sum(qty - 100) over (partiti
 def adf_report(spark, sf):
     level = F.sum(F.col("qty") - 100).over(BY_DAY.forward.rowsBetween(Window.unboundedPreceding, 0))
     rows = ship_daily(spark, sf).select("series", "day", level.alias("x"), F.when(F.col("day") < "1995-01-10", F.col("qty")).alias("few"))
-    out = unit_root.adf_report(rows, ["day"], ["x", "few"], ["series"], max_rows=2499)
+    out = unit_root.adf_report(rows, ["day"], ["x", "few"], ["series"])
     return out.withColumns({"statistic": F.col("statistic") + 0.0, "p_value": F.col("p_value") + 0.0})
 
 

@@ -67,14 +67,14 @@ def shipping(spark, sf) -> DataFrame:
     return daily.checkpoint()
 
 
-def raw_tables(spark, sf) -> dict[str, DataFrame]:
+def raw_tables(spark, sf, further: dict | None = None) -> dict[str, DataFrame]:
     daily = shipping(spark, sf)
     return {
         name: daily.filter(F.col("series") == group).select(
             _encoded(catalog.SOURCES[name]).alias(catalog.SOURCES[name].day),
             *[F.expr(expr).alias(column) for column, expr in columns.items()],
         )
-        for name, (group, columns) in STANDINS.items()
+        for name, (group, columns) in (STANDINS | (further or {})).items()
     }
 
 
@@ -82,73 +82,85 @@ def wide_table(spark, sf) -> DataFrame:
     return consolidate.consolidated(raw_tables(spark, sf))
 
 
-# SQL for the same table, feature by feature
-
-_VALUES = {
-    "btc_price_close": "price",
-    "rvi_close": "qty",
-    "total_funding_rate_btc": "("
-    + " + ".join(f"coalesce({e}, 0)" for e in FUNDING.values())
-    + ") / nullif("
-    + " + ".join(f"cast(({e}) is not null as integer)" for e in FUNDING.values())
-    + ", 0)",
-    "btc_log_vol": "ln(1 + qty)",
-    "alt_total_log_vol": "ln(1 + n + disc)",
-    "social_vol_spread": "ln(1 + qty) - ln(1 + n + disc)",
-    "btc_social_volume": "qty",
-    "whale_transaction_count_100k_btc": "qty",
-    "whale_transaction_count_1M_btc": "cast(n as double)",
-}
-
-
-def _value(f: catalog.Feature) -> str:
-    if f.level in _VALUES:
-        return _VALUES[f.level]
-    return next(iter(STANDINS[f.source][1].values()))
-
-
-def _feature_sql(i: int, f: catalog.Feature) -> str:
-    group = STANDINS[f.source][0]
-    x = "v"
-    if f.zero_is_missing:
-        x = "nullif(v, 0)"
-    if f.fill == "zero_before":
-        x = "coalesce(v, 0)"
-    if f.fill == "forward":
-        x = f"last_value({x} ignore nulls) over (order by day rows between unbounded preceding and current row)"
-    before = "fb" if f.grain == "file" else "lag(x) over (order by day)"
-    change = {
-        "log_return": f"{ln('x')} - {ln('b')}",
-        "log_return_shifted": "ln(x + 1) - ln(b + 1)",
-        "difference": "x - b",
-        None: "cast(null as double)",
-    }[f.transform]
-    kept = "true" if f.start is None else f"day {'>=' if f.inclusive else '>'} date '{f.start}'"
-    level, change = ("coalesce(x, 0)", f"coalesce({change}, 0)") if f.fill == "zero_after" else ("x", change)
-    return f"""r{i} as (select cast(day + {SHIFT} as date) as day, cast({_value(f)} as double) as v from ship where series = '{group}'),
+# SQL for the same table. What is expected of each indicator is written out here
+# and not taken from the catalogue:
+# level, change, stand-in group, value, fill, transform, rows before, in use.
+_MEAN_OF_FUNDING = (
+    "(coalesce(disc, 0) + coalesce(tax, 0) + coalesce(case when qty > 100 then disc end, 0) "
+    "+ coalesce(case when n > 3 then tax end, 0)) / nullif(cast(disc is not null as integer) "
+    "+ cast(tax is not null as integer) + cast(case when qty > 100 then disc end is not null as integer) "
+    "+ cast(case when n > 3 then tax end is not null as integer), 0)"
+)
+_FROM_2017 = "day > date '2017-01-02'"
+_FROM_MARKET = "day > date '2017-01-03'"
+_FROM_START = "day > date '2016-12-31'"
+EXPECTED = (
+    ("btc_price_close", "btc_log_ret", "AF", "price", "", "ratio", "file", _FROM_START),
+    ("rvi_close", "rvi_diff", "AF", "qty", "", "step", "day", _FROM_START),
+    ("total_funding_rate_btc", "funding_rate_diff_btc", "AO", _MEAN_OF_FUNDING, "", "step", "file", _FROM_START),
+    ("supply_held_by_miners_btc", "miner_net_pos_change_log", "NF", "price", "", "ratio", "day", _FROM_START),
+    ("supply_on_exchanges_perc_btc", "exchange_supply_diff_btc", "NO", "disc", "", "step", "day", _FROM_START),
+    ("cb_premium_usd", "cb_premium_diff_btc", "RO", "disc - tax", "", "step", "day", "day >= date '2020-03-11'"),
+    ("mvrv_close", "mvrv_diff_btc", "AF", "case when tax > 0.1 then tax end", "", "step", "day", _FROM_2017),
+    ("whale_transaction_count_100k_btc", "whale_100k_log_ret", "AO", "qty", "zero first", "ratio + 1", "day", _FROM_2017),
+    ("whale_transaction_count_1M_btc", "whale_1m_log_ret", "AO", "cast(n as double)", "zero first", "ratio + 1", "day", _FROM_2017),
+    ("transaction_volume_eth", "eth_vol_log_ret", "RF", "nullif(case when qty < 60 then 0.0 else price end, 0)", "last", "ratio", "day", _FROM_2017),
+    ("spx_close", "spx_log_ret", "NF", "hi", "last", "ratio", "day", _FROM_MARKET),
+    ("dxy_close", "dxy_log_ret", "NO", "price", "last", "ratio", "day", _FROM_MARKET),
+    ("nasdaq_close", "nasdaq_log_ret", "RF", "price", "last", "ratio", "day", _FROM_MARKET),
+    ("gold_close", "gold_log_ret", "RO", "price", "last", "ratio", "day", _FROM_MARKET),
+    ("us10y_close", "us10y_diff", "AF", "disc", "last", "step", "day", _FROM_MARKET),
+    ("vix_close", "vix_log_ret", "AO", "price", "last", "ratio", "day", _FROM_MARKET),
+    ("total3_close", "total3_log_ret", "NF", "price", "last", "ratio", "day", _FROM_MARKET),
+    ("ssr", "ssr_diff", "NO", "qty", "last", "step", "day", _FROM_MARKET),
+    ("flippening_close", "flippening_close_diff", "RF", "disc", "last", "step", "day", "day > date '2020-01-01'"),
+    ("btc_social_volume", None, "RO", "qty", "zero last", "", "day", "true"),
+    ("btc_log_vol", None, "RO", "ln(1 + qty)", "zero last", "", "day", "true"),
+    ("alt_total_log_vol", None, "RO", "ln(1 + n + disc)", "zero last", "", "day", "true"),
+    ("social_vol_spread", "vol_acceleration", "RO", "ln(1 + qty) - ln(1 + n + disc)", "zero last", "step", "day", "true"),
+    ("usdt_dominance", "usdt_log_ret", "AF", "hi", "last", "ratio", "day", _FROM_MARKET),
+)
+EXPECTED_USDC = ("usdc_dominance", "usdc_log_ret", "RO", "hi", "last", "ratio", "day", "true")
+_LAST = "last_value(v ignore nulls) over (order by day rows between unbounded preceding and current row)"
+
+
+def _feature_sql(i, level, change, group, value, fill, transform, before, in_use) -> str:
+    x = {"last": _LAST, "zero first": "coalesce(v, 0)"}.get(fill, "v")
+    b = "fb" if before == "file" else "lag(x) over (order by day)"
+    step = {
+        "ratio": f"{ln('x')} - {ln('b')}", "ratio + 1": "ln(x + 1) - ln(b + 1)", "step": "x - b",
+    }.get(transform, "cast(null as double)")
+    held = "coalesce(x, 0)" if fill == "zero last" else "x"
+    step = f"coalesce({step}, 0)" if fill == "zero last" else step
+    return f"""r{i} as (select cast(day + {SHIFT} as date) as day, cast({value} as double) as v from ship where series = '{group}'),
 s{i} as (select *, lag(v) over (order by day) as fb from r{i}),
 a{i} as (select c.day, s.v, s.fb from study_days c left join s{i} s on s.day = c.day),
-x{i} as (select day, fb, {x} as x from a{i}), b{i} as (select day, x, {before} as b from x{i}),
-f{i} as (select day, case when {kept} then {level} end as level, case when {kept} then {change} end as change from b{i})"""
+x{i} as (select day, fb, {x} as x from a{i}), b{i} as (select day, x, {b} as b from x{i}),
+f{i} as (select day, case when {in_use} then {held} end as level, case when {in_use} then {step} end as change from b{i})"""
+
+
+def _cons_sql(expected) -> str:
+    """All expected columns beside the day."""
+    cells = []
+    for i, (level, change, *_) in enumerate(expected):
+        cells.append(f"f{i}.level as {level}")
+        if change:
+            cells.append(f"f{i}.change as {change}")
+    return (
+        f"{SHIP}, {STUDY_DAYS},\n"
+        + ",\n".join(_feature_sql(i, *row) for i, row in enumerate(expected))
+        + ",\ncons as materialized (select c.day, cast(isodow(c.day) in (6, 7) as integer) as is_weekend, "
+        + ", ".join(cells)
+        + " from study_days c "
+        + " ".join(f"left join f{i} on f{i}.day = c.day" for i in range(len(expected)))
+        + ")"
+    )
 
 
-_COLUMNS = [c for c in catalog.CONSOLIDATED_COLUMNS if c not in ("day", "is_weekend")]
-_FROM = {}
-for _i, _f in enumerate(catalog.FEATURES):
-    _FROM[_f.level] = f"f{_i}.level"
-    if _f.change:
-        _FROM[_f.change] = f"f{_i}.change"
+_COLUMNS = [c for level, change, *_ in EXPECTED for c in (level, change) if c]
 
 STUDY_DAYS = f"""study_days as (select cast(unnest(generate_series(date '{calendar.SPINE_START}', date '{calendar.SPINE_END}', interval 1 day)) as date) as day)"""
-CONS = (
-    f"{SHIP}, {STUDY_DAYS},\n"
-    + ",\n".join(_feature_sql(i, f) for i, f in enumerate(catalog.FEATURES))
-    + ",\ncons as materialized (select c.day, cast(isodow(c.day) in (6, 7) as integer) as is_weekend, "
-    + ", ".join(f"{_FROM[c]} as {c}" for c in _COLUMNS)
-    + " from study_days c "
-    + " ".join(f"left join f{i} on f{i}.day = c.day" for i in range(len(catalog.FEATURES)))
-    + ")"
-)
+CONS = _cons_sql(EXPECTED)
 # What the analyses read: cut, and each era labelled.
 FEAT = f"{CONS}, feat as (select *, case when day < date '{calendar.ERA_CUT}' then 'retail' else 'institutional' end as era from cons where day > date '2017-01-03')"
 FEAT_BOTH = f"{FEAT}, eras as (select * from feat union all select * replace ('retail' as era) from feat where day = date '{calendar.ERA_CUT}')"
@@ -174,13 +186,36 @@ def study_correlation_by_era(spark, sf):
     return rounded(correlation.correlation_by_era(features(spark, sf), list(catalog.CORRELATION_FEATURES), "day"), "r")
 
 
+# The first half of the heat map's list, and the second half of the list that
+# ends with the target once more; written out.
+HALF_1 = [
+    "btc_log_ret", "rvi_diff", "funding_rate_diff_btc", "miner_net_pos_change_log", "exchange_supply_diff_btc",
+    "cb_premium_diff_btc", "mvrv_diff_btc", "whale_100k_log_ret", "whale_1m_log_ret", "spx_log_ret", "dxy_log_ret",
+]
+HALF_2 = [
+    "nasdaq_log_ret", "gold_log_ret", "us10y_diff", "vix_log_ret", "total3_log_ret", "ssr_diff", "flippening_close_diff",
+    "social_vol_spread", "vol_acceleration", "usdt_log_ret", "usdc_log_ret", "btc_log_ret",
+]
+FEAT_USDC = (
+    f"{_cons_sql((*EXPECTED, EXPECTED_USDC))}, feat as (select *, case when day < date '{calendar.ERA_CUT}' then 'retail' "
+    f"else 'institutional' end as era from cons where day > date '2017-01-03'), eras as (select * from feat union all "
+    f"select * replace ('retail' as era) from feat where day = date '{calendar.ERA_CUT}')"
+)
+
+
 @query(
     "study_correlation_halves",
-    f"with {FEAT_BOTH} " + " union all ".join(_corr_sql("eras", half, "era") for half in correlation.halves(catalog.CAUSALITY_FEATURES)),
+    f"with {FEAT_USDC} " + " union all ".join(f"select {i} as half, * from ({_corr_sql('eras', half, 'era')})" for i, half in enumerate((HALF_1, HALF_2), 1)),
 )
 def study_correlation_halves(spark, sf):
-    rows_ = features(spark, sf)
-    parts = [correlation.correlation_by_era(rows_, half, "day") for half in correlation.halves(catalog.CAUSALITY_FEATURES)]
+    raw = raw_tables(spark, sf, {"201901_dominance_usdc": ("RO", {"close": "hi"})})
+    rows_ = load_feature_table(consolidate.consolidated(raw, [*catalog.FEATURES, catalog.USDC]))
+    first, _ = correlation.halves(catalog.HEAT_MAP_FEATURES)
+    _, second = correlation.halves([*catalog.HEAT_MAP_FEATURES, catalog.TARGET])
+    parts = [
+        correlation.correlation_by_era(rows_, half, "day").withColumn("half", F.lit(i))
+        for i, half in enumerate((first, second), 1)
+    ]
     return rounded(parts[0].unionByName(parts[1]), "r")
 
 
@@ -229,7 +264,7 @@ _ADF_LONG = "lg as (" + " union all ".join(f"select '{c}' as variable, day, {c}
     from names left join kind on kind.variable = names.variable left join rep on rep.variable = names.variable""",
 )
 def study_adf_report(spark, sf):
-    out = unit_root.adf_report(features(spark, sf), ["day"], list(catalog.TRANSFORMED), max_rows=3136)
+    out = unit_root.adf_report(features(spark, sf), ["day"], list(catalog.TRANSFORMED))
     return out.withColumns({"statistic": F.col("statistic") + 0.0, "p_value": F.col("p_value") + 0.0})
 
 

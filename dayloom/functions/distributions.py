@@ -17,12 +17,16 @@ TAU_SPLIT = -1.61
 TAU_SMALL_P = (2.1659, 1.4412, 0.038269)
 TAU_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
 
-_MAX_TERMS = 500
+# Terms after which a value that has not settled is given up as NaN.
+_MAX_TERMS = 100_000
 _TINY = 1e-300
 
 
 def _each(function, values: np.ndarray) -> np.ndarray:
-    return np.array([function(v) for v in values.ravel()], dtype=float).reshape(values.shape)
+    """A scalar function of an array; once for each distinct value, of which
+    degrees of freedom have few."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return np.array([function(v) for v in distinct.tolist()], dtype=float)[place].reshape(values.shape)
 
 
 def _lgamma(values: np.ndarray) -> np.ndarray:
@@ -35,7 +39,9 @@ def _erfc(values: np.ndarray) -> np.ndarray:
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, evaluated forwards
-    for all rows together until the slowest one has settled."""
+    for all rows that have not settled yet; NaN where it does not."""
+    out = np.full(x.shape, np.nan)
+    left = np.arange(len(x))
     ratio = 1.0 - (a + b) * x / (a + 1.0)
     den = 1.0 / np.where(np.abs(ratio) < _TINY, _TINY, ratio)
     num = np.ones_like(x)
@@ -50,9 +56,14 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             num = np.where(np.abs(num) < _TINY, _TINY, num)
             step = den * num
             value = value * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return value
+        settled = np.abs(step - 1.0) < 1e-15
+        if settled.any():
+            out[left[settled]] = value[settled]
+            left, a, b, x = (v[~settled] for v in (left, a, b, x))
+            den, num, value = den[~settled], num[~settled], value[~settled]
+            if not len(left):
+                break
+    return out
 
 
 def f_upper_tail(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:

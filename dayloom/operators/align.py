@@ -74,10 +74,3 @@ def patch_column(
     series = Series(list(keys), [day])
     filled = joined.withColumn(column, series.forward_fill(column))
     return filled.withColumn(change, series.log_return(column))
-
-
-def with_steps(df: DataFrame, *steps: Mapping[str, Column]) -> DataFrame:
-    """Add columns step by step; a step's columns share one projection."""
-    for step in steps:
-        df = df.withColumns(dict(step))
-    return df

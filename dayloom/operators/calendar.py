@@ -57,12 +57,16 @@ def _day_runs(
         F.concat(F.lit("more than one row for a series on "), F.col("_day").cast("string"))
     ).cast("date")
     last = F.when(F.col("_next") == F.col("_day"), duplicate).otherwise(F.date_sub("_next", 1))
-    first = F.col("_day")
+    unknown = F.raise_error(F.lit("a row of a series has no day")).cast("date")
+    first = F.when(F.col("_day").isNull(), unknown).otherwise(F.col("_day"))
     if start is None:
         last = F.coalesce(last, F.col("_day"))
     else:
         last = F.least(F.coalesce(last, _date(end)), _date(end))
-        first = F.when(F.col("_rank") == 1, _date(start)).otherwise(F.greatest("_day", _date(start)))
+        first = (
+            F.when(F.col("_day").isNull(), unknown).when(F.col("_rank") == 1, _date(start))
+            .otherwise(F.greatest("_day", _date(start)))
+        )
     ranged = marked.withColumns({"_first": first, "_last": last})
     days = F.when(
         F.col("_first") <= F.col("_last"),
@@ -85,7 +89,8 @@ def align_to_spine(
 ) -> DataFrame:
     """Every series on every day of start..end; days without a row are NULL.
 
-    Rows outside the range are lost. A second row for a (series, day) raises.
+    Rows outside the range are lost. A second row for a (series, day) and a row
+    without a day raise.
     """
     return _day_runs(df, keys, day, values, start, end)
 
@@ -96,8 +101,9 @@ def resample_daily(df: DataFrame, keys: Sequence[str], day: str, values: Sequenc
 
 
 def era_label(day: str, cut: str = ERA_CUT, labels: Sequence[str] = ERA_LABELS) -> Column:
-    """Label of the era a day belongs to; the cut day opens the second era."""
-    return F.when(F.col(day) < _date(cut), F.lit(labels[0])).otherwise(F.lit(labels[1]))
+    """Label of the era a day belongs to; the cut day opens the second era, and
+    no day belongs to none."""
+    return F.when(F.col(day) < _date(cut), F.lit(labels[0])).when(F.col(day) >= _date(cut), F.lit(labels[1]))
 
 
 def assign_era(
@@ -108,7 +114,9 @@ def assign_era(
     boundary: str = "second",
     out: str = "era",
 ) -> DataFrame:
-    """Add the era label. With boundary='both' the cut day appears in each era."""
+    """Add the era label. With boundary='both' the cut day appears in each era.
+    Rows without a day are in no era and left out, as by slices of days."""
+    df = df.filter(F.col(day).isNotNull())
     if boundary == "second":
         return df.withColumn(out, era_label(day, cut, labels))
     if boundary != "both":

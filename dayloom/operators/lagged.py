@@ -9,6 +9,8 @@ follows. One row per series (or block of a long series) leaves a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,10 @@ from dayloom.operators.windows import Series
 # values: (rows, columns) in order -> (design rows, predecessors of the first one)
 Design = Callable[[np.ndarray, int], tuple[np.ndarray, int]]
 
+# Matrices one group adds up, and the levels of such groups before the last:
+# enough for 2^24 blocks of a series.
 _COMBINE_FANIN = 256
+_COMBINE_LEVELS = 2
 
 
 def lag_matrix(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], p: int) -> DataFrame:
@@ -43,7 +48,10 @@ def lag_matrix(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns
         counted = bounded_windows(rows, keys, order, p, lags, index="row_number")
         return counted.withColumn("row_number", F.col("row_number") + 1)
     series = Series(list(keys), list(order))
-    return rows.withColumns({"row_number": F.row_number().over(series.forward), **lags(series)})
+    same = reduce(and_, (F.lead(c).over(series.forward) == F.col(c) for c in order))
+    twice = F.raise_error(F.lit("more than one row for a day of a series")).cast("int")
+    number = F.when(F.coalesce(same, F.lit(False)), twice).otherwise(F.row_number().over(series.forward))
+    return rows.withColumns({"row_number": number, **lags(series)})
 
 
 def past(values: np.ndarray, lags: int) -> np.ndarray:
@@ -133,7 +141,7 @@ def lagged_products(
     def block(key: tuple, table: pa.Table) -> pa.Table:
         values, sequence = values_of(table, "_index")
         halo = int(table["_halo"].to_numpy()[sequence].sum())
-        part = {"_part": [key[-1].as_py() % _COMBINE_FANIN]}
+        part = {"_part": [key[-1].as_py() // _COMBINE_FANIN]}
         if halo == len(values):  # the series ended with the block before
             return row(key[:-1], values, np.zeros(0), None, **part).slice(0, 0)
         design_rows, first = design(values, halo)
@@ -143,7 +151,10 @@ def lagged_products(
     # few bytes: the work per byte is high here.
     spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
     parts = spread.groupBy(*keys, "_block").applyInArrow(block, schema + ", _part long")
-    return _combined(_combined(parts, [*keys, "_part"]), keys)
+    for _ in range(_COMBINE_LEVELS):
+        summed = _combined(parts, [*keys, "_part"])
+        parts = summed.withColumn("_part", F.floor(F.col("_part") / _COMBINE_FANIN).cast("long"))
+    return _combined(parts, keys)
 
 
 def _combined(parts: DataFrame, group: Sequence[str]) -> DataFrame:

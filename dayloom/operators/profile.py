@@ -28,8 +28,11 @@ def describe(
     One row per (keys, column). With grain='any' the quartiles come from
     distributed ranks. `percentile` keeps the distinct values of a group in
     memory, so it is used only where grain='day' says that a group has one row
-    per day. Both are exact.
+    per day. Both are exact. With grain='approximate' the quartiles are values
+    of the column near the ranks, from one pass and sketches of bounded size.
     """
+    if grain not in ("any", "day", "approximate"):
+        raise ValueError("grain is 'any', 'day' or 'approximate'")
     tall = melt(df, keys, columns)
     group = [*keys, "feature"]
     basics = [
@@ -39,8 +42,9 @@ def describe(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
-    if grain == "day":
-        quartiles = F.percentile("value", F.array(*[F.lit(p) for p in QUARTILES]))
+    if grain != "any":
+        points = F.array(*[F.lit(p) for p in QUARTILES])
+        quartiles = F.percentile("value", points) if grain == "day" else F.percentile_approx("value", points, 10_000)
         rows = tall.groupBy(*group).agg(*basics, quartiles.alias("_q"))
         rows = rows.withColumns({f"p{int(100 * p)}": F.col("_q")[i] for i, p in enumerate(QUARTILES)})
     else:

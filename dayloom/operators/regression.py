@@ -18,9 +18,6 @@ from dayloom.operators.calendar import ERA_CUT, ERA_LABELS, era_label
 from dayloom.operators.comoments import comoments, merge_comoments, scatter_matrices
 from dayloom.operators.least_squares import Residuals, stacked
 
-POOLED = "pooled"
-
-
 def _fit_udf(order: int):
     """SSR and rank of the last column on all others plus a constant."""
 
@@ -57,20 +54,22 @@ def chow_test(
 ) -> DataFrame:
     """F test that both segments share one regression of y on x.
 
-    `segment` holds one of the two `labels`. The pooled fit comes from the
-    segments' co-moments, not from another pass.
+    Rows whose `segment` is none of the two `labels` are left out. The pooled fit
+    comes from the segments' co-moments, not from another pass; its rows have no
+    segment.
     """
     order, k = len(x) + 1, len(x) + 1
     group = [*keys, segment]
-    by_segment = comoments(df, [*x, y], group, complete_rows=True)
-    both = by_segment.withColumn(segment, F.explode(F.array(F.col(segment), F.lit(POOLED))))
+    by_segment = comoments(df.filter(F.col(segment).isin(list(labels))), [*x, y], group, complete_rows=True)
+    pooled = F.lit(None).cast(by_segment.schema[segment].dataType)
+    both = by_segment.withColumn(segment, F.explode(F.array(F.col(segment), pooled)))
     fits = _fitted(merge_comoments(both, group), group, order)
 
-    def of(label: str, column: str):
-        return F.max(F.when(F.col(segment) == label, F.col(column)))
+    def of(label: str | None, column: str):
+        return F.max(F.when(F.col(segment).eqNullSafe(F.lit(label)), F.col(column)))
 
     sums = fits.groupBy(*keys).agg(
-        of(POOLED, "ssr").alias("ssr_pooled"),
+        of(None, "ssr").alias("ssr_pooled"),
         of(labels[0], "ssr").alias("ssr_1"),
         of(labels[1], "ssr").alias("ssr_2"),
         of(labels[0], "n").alias("n_1"),

@@ -93,20 +93,17 @@ def adf_test(
     keys: Sequence[str],
     order: Sequence[str],
     value: str,
-    max_rows: int | None = None,
     long: bool | None = None,
 ) -> DataFrame:
     """Unit-root statistic of each series: (keys, n, statistic, p_value,
     used_lag, n_obs, problem).
 
-    `max_rows` bounds the rows of any one series (the calendar length) and with
-    it the longest lag; without it one counting job finds the bound.
+    The longest lag tried follows from the rows of the longest series, which one
+    counting job finds.
     """
     rows = df.select(*keys, *order, nonfinite_to_null(F.col(value).cast("double")).alias(value)).dropna(subset=[value])
-    if max_rows is None:
-        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        max_rows = int(counted or 0)
-    lags = max(1, ceil(12.0 * (max(max_rows, MIN_ROWS) / 100.0) ** 0.25))
+    longest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    lags = max(1, ceil(12.0 * (max(int(longest or 0), MIN_ROWS) / 100.0) ** 0.25))
     products = lagged_products(rows, keys, order, [value], _design(lags), lags, lags + 1, long)
     problem = F.when(F.col("n") < MIN_ROWS, INSUFFICIENT).when(F.col("low") == F.col("high"), CONSTANT)
     judged = products.withColumn("problem", problem).withColumn("_s", _solve_udf(lags)("n", "body", "heads"))
@@ -128,13 +125,12 @@ def adf_report(
     columns: Sequence[str] | None = None,
     keys: Sequence[str] = (),
     level: float = 0.05,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """`adf_test` of every numeric column: (keys, variable, statistic, p_value,
     verdict), sorted by p-value with the untested columns last."""
     names = list(columns if columns is not None else [c for c in numeric_columns(df) if c not in {*keys, *order}])
     tall = melt(df, [*keys, *order], names, "variable", "value")
-    tests = adf_test(tall, [*keys, "variable"], order, "value", max_rows)
+    tests = adf_test(tall, [*keys, "variable"], order, "value")
     every = F.explode(F.array(*[F.lit(c) for c in names])).alias("variable")
     panel = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
     verdict = F.coalesce("problem", significance_label("p_value", STATIONARY, NOT_STATIONARY, level), F.lit(INSUFFICIENT))

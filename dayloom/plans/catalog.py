@@ -35,7 +35,6 @@ class Feature:
     start: str | None = None
     inclusive: bool = False
     zero_is_missing: bool = False
-    keep_level: bool = True
 
 
 @dataclass(frozen=True)
@@ -61,17 +60,21 @@ FUNDING_RATES = (
     "DyDx Exchange Funding Rates",
     "Deribit Exchange Funding Rates",
 )
-ALT_TERMS = 'altcoin OR altcoins OR "altcoin season" OR "altcoin pump" OR "altcoin rally"'
-ALT_NAMES = (
-    "ethereum OR eth OR solana OR sol OR cardano OR ada OR polkadot OR dot OR "
-    "ripple OR xrp OR dogecoin OR doge OR memecoin OR shiba"
-)
 SOCIAL_BTC = "Social Volume (btc OR bitcoin)"
-SOCIAL_ALT = f"Social Volume ({ALT_TERMS})"
-SOCIAL_NAMED = f"Social Volume ({ALT_NAMES})"
+SOCIAL_ALT = 'Social Volume (altcoin OR altcoins OR "altcoin season" OR "altcoin pump" OR "altcoin rally")'
+SOCIAL_NAMED = "Social Volume (ethereum OR eth OR solana OR sol OR cardano OR ada OR polkadot OR dot OR ripple OR xrp OR dogecoin OR doge OR memecoin OR shiba)"
 
 _CLOSE_EPOCH = "time bigint, close double"
 _CLOSE_TEXT = "time string, close double"
+_EXCHANGE_SUPPLY_ETH = (
+    "Date string, `Supply on Exchanges (as % of total supply) (ETH)` double, "
+    "`Supply held by top exchange addresses (ETH)` double, "
+    "`Supply held by top addresses (as % of total supply) (ETH)` double"
+)
+_SOCIAL_ETH = (
+    "Date string, `Social Volume AI (ETH)` double, `Social Dominance (ETH)` double, `Social Volume (ETH)` double, "
+    "`Trending Social Rank (ETH)` double"
+)
 
 SOURCES = {
     s.name: s
@@ -96,6 +99,19 @@ SOURCES = {
         Source("201809_Flippening_Ratio_Diff", "time", "iso", _CLOSE_TEXT),
         Source("2012_btc_altcoin_social_metrics", "Date", "iso", f"Date string, `{SOCIAL_BTC}` double, `{SOCIAL_ALT}` double, `{SOCIAL_NAMED}` double"),
         Source("201501_dominance_usdt", "time", "epoch", _CLOSE_EPOCH),
+        # Files of the single recipes, not of the consolidated table.
+        Source("201901_dominance_usdc", "time", "epoch", _CLOSE_EPOCH),
+        Source("2010_whale_transaction_count_btc", "Date", "iso", "Date string"),
+        Source("2010_whale_transaction_count_eth", "Date", "iso", "Date string"),
+        Source("2011_btcS&P500_divergence_rsi_volatilly", "Date", "iso", "Date string, `BTC and S&P 500 Price Divergence` double, `RSI 1d` double"),
+        Source("2015_supply_held_by_exchanges_top_wallets", "Date", "iso", _EXCHANGE_SUPPLY_ETH),
+        Source("2015_supply_held_by_exchanges_top_wallets_2", "Date", "iso", _EXCHANGE_SUPPLY_ETH),
+        Source("2017_eth_social_metrics", "Date", "iso", _SOCIAL_ETH),
+        Source("eth_social_metrics", "Date", "iso", _SOCIAL_ETH),
+        Source("201501_DXY", "time", "epoch", _CLOSE_EPOCH),
+        Source("201501_NASDAQ", "time", "epoch", _CLOSE_EPOCH),
+        Source("2015_institutional_Eth_accumulation", "Date", "iso", "Date string, `Social Volume` double"),
+        Source("2012_flippening_especulacao_ganancia", "Date", "iso", "Date string"),
     )
 }
 
@@ -126,6 +142,9 @@ FEATURES = (
     Feature("usdt_dominance", "201501_dominance_usdt", _column("close"), "usdt_log_ret", "log_return", "forward", start="2017-01-03"),
 )
 
+# Joined on for the heat maps; not in the consolidated table.
+USDC = Feature("usdc_dominance", "201901_dominance_usdc", _column("close"), "usdc_log_ret", "log_return", "forward")
+
 TARGET = "btc_log_ret"
 
 # Column order of the consolidated table.
@@ -154,6 +173,12 @@ TRANSFORMED = (
 
 # Features tested for causality, and compared in heat maps.
 CAUSALITY_FEATURES = tuple(f for f in TRANSFORMED if f not in ("btc_log_ret", "alt_total_log_vol"))
+HEAT_MAP_FEATURES = (
+    "btc_log_ret", "rvi_diff", "funding_rate_diff_btc", "miner_net_pos_change_log", "exchange_supply_diff_btc",
+    "cb_premium_diff_btc", "mvrv_diff_btc", "whale_100k_log_ret", "whale_1m_log_ret", "spx_log_ret", "dxy_log_ret",
+    "nasdaq_log_ret", "gold_log_ret", "us10y_diff", "vix_log_ret", "total3_log_ret", "ssr_diff",
+    "flippening_close_diff", "social_vol_spread", "vol_acceleration", "usdt_log_ret", "usdc_log_ret",
+)
 CORRELATION_FEATURES = (
     "btc_log_ret", "spx_log_ret", "nasdaq_log_ret", "dxy_log_ret", "us10y_diff", "vix_log_ret",
     "total3_log_ret", "cb_premium_diff_btc", "ssr_diff", "funding_rate_diff_btc",

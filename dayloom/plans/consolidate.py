@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dayloom.functions.scalar import is_weekend, log_count, safe_ln, zero_to_null
-from dayloom.operators.calendar import SPINE_END, SPINE_START, align_to_spine
+from dayloom.operators.calendar import SPINE_END, SPINE_START, align_to_spine, calendar_spine
 from dayloom.operators.windows import Series
 from dayloom.plans.catalog import CONSOLIDATED_COLUMNS, FEATURES, SOURCES, Feature
 from dayloom.sources.readers import parse_day, read_series_csv
@@ -27,11 +27,30 @@ def read_sources(spark: SparkSession, folder: str, names: Iterable[str] | None =
     return {n: read_series_csv(spark, f"{folder}/{n}.csv", s.schema) for n, s in wanted.items()}
 
 
+def rejected_rows(sources: Mapping[str, DataFrame], panel: Sequence[str] = ()) -> DataFrame:
+    """(source, panel, day_text) of the rows whose day cannot be read."""
+    parts = []
+    for name, df in sources.items():
+        source = SOURCES[name]
+        bad = df.filter(parse_day(source.day, source.encoding, source.fmt).isNull())
+        parts.append(bad.select(F.lit(name).alias("source"), *panel, F.col(f"`{source.day}`").cast("string").alias("day_text")))
+    return reduce(DataFrame.union, parts)
+
+
 def tall_values(
-    sources: Mapping[str, DataFrame], features: Sequence[Feature] = FEATURES, panel: Sequence[str] = ()
+    sources: Mapping[str, DataFrame],
+    features: Sequence[Feature] = FEATURES,
+    panel: Sequence[str] = (),
+    bad_days: str = "raise",
 ) -> DataFrame:
     """(panel, day, series, value) of every feature whose source is given; each
-    source is scanned once however many features it feeds."""
+    source is scanned once however many features it feeds.
+
+    A day that cannot be read raises; with bad_days='drop' such rows are left
+    out, and `rejected_rows` lists them.
+    """
+    if bad_days not in ("raise", "drop"):
+        raise ValueError("bad_days is 'raise' or 'drop'")
     parts = []
     for name, df in sources.items():
         source = SOURCES[name]
@@ -41,9 +60,13 @@ def tall_values(
         cells = F.array(
             *[F.struct(F.lit(f.level).alias("series"), f.value().cast("double").alias("value")) for f in mine]
         )
-        day = parse_day(source.day, source.encoding, source.fmt).alias("day")
-        parts.append(df.select(*panel, day, F.inline(cells)))
-    return reduce(DataFrame.union, parts).filter(F.col("day").isNotNull())
+        day = parse_day(source.day, source.encoding, source.fmt)
+        if bad_days == "raise":
+            text = F.coalesce(F.col(f"`{source.day}`").cast("string"), F.lit("NULL"))
+            day = F.coalesce(day, F.raise_error(F.concat(F.lit(f"{name}: no day in "), text)).cast("date"))
+        rows = df.select(*panel, day.alias("day"), F.inline(cells))
+        parts.append(rows if bad_days == "raise" else rows.filter(F.col("day").isNotNull()))
+    return reduce(DataFrame.union, parts)
 
 
 def _any_of(features: Iterable[Feature]) -> Column:
@@ -88,9 +111,7 @@ def prepared(
     in_use = F.lit(True)
     for f in features:
         if f.start is not None:
-            first = F.lit(f.start).cast("date")
-            late = F.col("day") >= first if f.inclusive else F.col("day") > first
-            in_use = F.when(F.col("series") == f.level, late).otherwise(in_use)
+            in_use = F.when(F.col("series") == f.level, _in_use(f)).otherwise(in_use)
     steps = aligned.withColumn("_clean", cleaned).withColumn("level", filled).withColumn("_before", before)
     result = steps.withColumn("change", change).withColumns(
         {c: F.when(zero_after, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in ("level", "change")}
@@ -104,23 +125,45 @@ def consolidated(
     panel: Sequence[str] = (),
     start: str = SPINE_START,
     end: str = SPINE_END,
+    bad_days: str = "raise",
 ) -> DataFrame:
     """One row per (panel, day) of the calendar with every level and change.
 
     Cuts blank cells rather than drop rows, so every calendar day is present
-    without joining the spine back.
+    without joining the spine back. A source without rows counts as one without
+    values: its zero-filled features are 0.
     """
-    return widen(prepared(tall_values(sources, features, panel), features, panel, start, end), features, panel)
+    rows = prepared(tall_values(sources, features, panel, bad_days), features, panel, start, end)
+    if not panel:
+        # Each day once more, without a value: also there if no source has rows.
+        days = calendar_spine(rows.sparkSession, start, end)
+        blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("series", "level", "change")]
+        rows = rows.unionByName(days.select("day", *blank))
+    return widen(rows, features, panel, sources)
 
 
-def widen(rows: DataFrame, features: Sequence[Feature] = FEATURES, panel: Sequence[str] = ()) -> DataFrame:
-    """(series, day, level, change) rows to one wide row per day."""
+def _in_use(f: Feature) -> Column:
+    if f.start is None:
+        return F.lit(True)
+    first = F.lit(f.start).cast("date")
+    return F.col("day") >= first if f.inclusive else F.col("day") > first
+
+
+def widen(
+    rows: DataFrame, features: Sequence[Feature] = FEATURES, panel: Sequence[str] = (), given: Iterable[str] = ()
+) -> DataFrame:
+    """(series, day, level, change) rows to one wide row per day. Features that
+    are filled with zeros are so too where a `given` source has no rows at all."""
     cells = []
     for f in features:
         mine = F.col("series") == f.level
-        cells.append(F.max(F.when(mine, F.col("level"))).alias(f.level))
+        level, change = F.max(F.when(mine, F.col("level"))), F.max(F.when(mine, F.col("change")))
+        if f.source in set(given) and f.fill in ("zero_before", "zero_after"):
+            empty = level.isNull() & _in_use(f)
+            level, change = F.when(empty, 0.0).otherwise(level), F.when(empty, 0.0).otherwise(change)
+        cells.append(level.alias(f.level))
         if f.change is not None:
-            cells.append(F.max(F.when(mine, F.col("change"))).alias(f.change))
+            cells.append(change.alias(f.change))
     wide = rows.groupBy(*panel, "day").agg(*cells).withColumn("is_weekend", is_weekend("day"))
     ordered = [c for c in CONSOLIDATED_COLUMNS if c in wide.columns]
     rest = [c for c in wide.columns if c not in {*ordered, *panel}]

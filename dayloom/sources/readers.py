@@ -27,15 +27,18 @@ def read_series_csv(
     schema: StructType | str,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read header CSV with a declared schema (never inferred).
+    """Read header CSV with declared types (never inferred).
 
-    `schema` must list the file's columns in file order; `columns` keeps a
-    subset, which Spark prunes in the parser.
+    Columns are found by the names in the header: the file may hold more of
+    them, in any order. What cannot be read as the declared type is NULL.
+    `columns` keeps a subset; Spark parses only what is used. Several files must
+    share one header.
     """
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').csv(path)
-    if columns is not None:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return nan_to_null(df)
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = spark.read.option("header", True).option("escape", '"').csv(path)
+    kept = [f for f in declared.fields if columns is None or f.name in columns]
+    typed = text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in kept])
+    return nan_to_null(typed if columns is None else typed.select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def parse_day(column: str, encoding: str, fmt: str = "yyyy-MM-dd") -> Column:
@@ -64,5 +67,10 @@ def load_feature_table(df: DataFrame, day: str = "day", after: str = "2017-01-03
 def read_feature_table(
     spark: SparkSession, path: str, day: str = "day", after: str = "2017-01-03"
 ) -> DataFrame:
-    """`load_feature_table` over a Parquet table written by `write_table`."""
-    return load_feature_table(spark.read.parquet(path), day, after)
+    """`load_feature_table` over a table written by `write_table`, as Parquet or,
+    where the path says so, as CSV; all columns but the day are then numbers."""
+    if not path.rstrip("/").endswith(".csv"):
+        return load_feature_table(spark.read.parquet(path), day, after)
+    text = spark.read.option("header", True).csv(path)
+    typed = text.select(*[F.col(f"`{c}`").try_cast("date" if c == day else "double").alias(c) for c in text.columns])
+    return load_feature_table(nan_to_null(typed), day, after)
