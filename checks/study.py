@@ -7,12 +7,15 @@ encoding, moved into the study's calendar.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from checks.panels import (
-    EVENTS_END, EVENTS_START, END, OHLC, SHIP, START, W, events_ohlc, ln, r, rows, ship_daily, table,
+    EVENTS_END, EVENTS_START, END, OHLC, SHIP, START, W, events_ohlc, ln, r, rows, scratch, ship_daily, table,
 )
-from checks.registry import query, rounded
+from checks.registry import query, r6, rounded
 from checks.sql_models import adf, f_tail, granger, ols, tau_tail
 from checks.profiling import _chow_out, _chow_sql, _corr_sql, _describe_sql, _melted, _report_sql, _vif_sql
 from dayloom.functions import scalar
@@ -21,7 +24,8 @@ from dayloom.operators import granger as causality
 from dayloom.operators import unit_root
 from dayloom.plans import catalog, consolidate, variants
 from dayloom.session import ensure_checkpoint_dir
-from dayloom.sources.readers import load_feature_table
+from dayloom.sources import sinks
+from dayloom.sources.readers import load_feature_table, parse_day
 
 SHIFT = 8034  # days from the test data's first shipping week to the calendar's
 
@@ -527,3 +531,49 @@ def market_noise(spark, sf):
 def filled_log_return(spark, sf):
     out = variants.filled_log_return(ship_daily(spark, sf), BY, "day", "price", START, END, "1995-01-03")
     return rounded(out, "price", "log_ret")
+
+
+# Files of the single recipes: from CSV, with a further column in front and the
+# others in reverse order, to typed days and values.
+RECIPE_FILES = {
+    "201901_dominance_usdc": ("AF", 1), "2010_whale_transaction_count_btc": ("AO", 0),
+    "2010_whale_transaction_count_eth": ("NF", 0), "2011_btcS&P500_divergence_rsi_volatilly": ("NO", 2),
+    "2015_supply_held_by_exchanges_top_wallets": ("RF", 3), "2015_supply_held_by_exchanges_top_wallets_2": ("RO", 3),
+    "2017_eth_social_metrics": ("AF", 4), "eth_social_metrics": ("AO", 4), "201501_DXY": ("NF", 1),
+    "201501_NASDAQ": ("NO", 1), "2015_institutional_Eth_accumulation": ("RF", 1),
+    "2012_flippening_especulacao_ganancia": ("RO", 0),
+}
+
+
+@query(
+    "recipe_files",
+    f"with {SHIP} "
+    + " union all ".join(
+        f"select '{name}' as source, count(*) as n, min(day) + {SHIFT} as first_day, max(day) + {SHIFT} as last_day, "
+        f"{r(f'coalesce(sum({width} * price), 0)', 2)} as total from ship where series = '{group}'"
+        for name, (group, width) in RECIPE_FILES.items()
+    ),
+)
+def recipe_files(spark, sf):
+    folder, daily = scratch(spark, "recipes"), shipping(spark, sf)
+    for name, (group, _) in RECIPE_FILES.items():
+        source = catalog.SOURCES[name]
+        fields = StructType.fromDDL(source.schema).fields
+        columns = [
+            (_encoded(source) if f.name == source.day else F.col("price")).alias(f.name) for f in reversed(fields)
+        ]
+        on_file = daily.filter(F.col("series") == group).select(F.lit("x").alias("not declared"), *columns)
+        sinks.write_table(on_file.coalesce(1), f"{folder}/{name}.csv", "csv")
+    parts = []
+    for name, df in consolidate.read_sources(spark, folder, RECIPE_FILES).items():
+        source = catalog.SOURCES[name]
+        values = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in df.columns if c != source.day]
+        day = parse_day(source.day, source.encoding, source.fmt)
+        total = F.sum(sum(values, F.lit(0.0)))
+        parts.append(
+            df.agg(
+                F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+                r6(total, 2).alias("total"),
+            ).withColumn("source", F.lit(name))
+        )
+    return reduce(DataFrame.unionByName, parts)
