@@ -17,8 +17,6 @@ spans. Spans that begin at the same place are ordered as `KINDS` lists them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -180,10 +178,3 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.col("id").alias(id_column), *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"),
     )
-
-
-def has_personal_data(text: Column, at_least: float = THRESHOLD) -> Column:
-    """Whether a text holds a span with at least this score."""
-    digits = text.rlike("[0-9]")
-    found = (F.exists(_proposed(text, digits, k, i), lambda s: s["score"] >= at_least) for i, k in enumerate(KINDS))
-    return reduce(or_, found)

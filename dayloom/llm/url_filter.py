@@ -122,9 +122,6 @@ class UrlModel:
         return sums / np.diff(np.append(begins, len(numbers)))
 
 
-_KEPT = "text string, accepted boolean"
-
-
 def _count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(context number, accepted, count), summed over each batch."""
     for batch in batches:
