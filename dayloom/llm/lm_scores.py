@@ -44,7 +44,7 @@ from dayloom.llm.tables import crc32, settle, utf8
 
 FOLDS, HELD_OUT = 7, 2
 CONTEXTS = 65_534  # frequent words that are contexts of their own
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
 SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.75
 STEPS = 16  # of a power of ten
@@ -57,7 +57,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Chunk:
-    """Texts as numbers of words: distinct hashes in ascending order, all tokens, tokens and training flag of each text."""
+    """Texts as numbers of words: distinct hashes, frequent ones first; all tokens; tokens and training flag of each text."""
 
     hashes: np.ndarray
     tokens: np.ndarray
@@ -75,8 +75,12 @@ class Chunk:
             lengths.append(len(words) + 1)
         hashes = np.array([_END, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
         hashes, place = np.unique(hashes, return_inverse=True)
-        tokens = place.astype(np.int32)[np.concatenate(parts)]
-        return cls(hashes, tokens, np.array(lengths, np.int64), np.array(training, bool))
+        tokens = place[np.concatenate(parts)]
+        # Low numbers for frequent words: these compress.
+        order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return cls(hashes[order], rank[tokens], np.array(lengths, np.int64), np.array(training, bool))
 
     def token_training(self) -> np.ndarray:
         return np.repeat(self.training, self.lengths)
@@ -151,8 +155,11 @@ class Pairs:
         before = np.empty(len(chunk.tokens), np.int64)
         before[1:] = numbers[chunk.tokens[:-1]]
         before[np.cumsum(chunk.lengths) - chunk.lengths] = _START
-        keys, of_token = np.unique(chunk.tokens.astype(np.int64) * _WIDTH + before, return_inverse=True)
-        word, context = keys // _WIDTH, keys % _WIDTH
+        by_hash = np.argsort(chunk.hashes)
+        rank = np.empty(len(by_hash), np.int64)
+        rank[by_hash] = np.arange(len(by_hash))
+        keys, of_token = np.unique(rank[chunk.tokens] * _WIDTH + before, return_inverse=True)
+        word, context = by_hash[keys // _WIDTH], keys % _WIDTH
         counts = np.bincount(of_token, chunk.token_training(), len(keys)).astype(np.int64)
         spread = np.where(numbers[word] == _OTHER, 0, context).astype(np.uint64)
         mixed = (chunk.hashes[word] ^ (spread * _ODD)) * _ODD
@@ -234,7 +241,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, count) of the training words of each chunk."""
-    for _, chunk in _chunks(batches):
+    for packed in (payload for batch in batches for payload in batch.column(0)):
+        chunk = Chunk.unpack(packed.as_py())
         counts = np.bincount(chunk.tokens, chunk.token_training(), len(chunk.hashes)).astype(np.int64)
         some = counts > 0
         yield pa.RecordBatch.from_arrays(
@@ -242,9 +250,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contexts_of(texts: DataFrame) -> Contexts:
+def contexts_of(chunks: DataFrame) -> Contexts:
     """The bounded tables of the corpus: sums, and its most frequent words (ties by hash)."""
-    counted = settle(texts.mapInArrow(_count_words, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")))
+    counted = settle(chunks.select("payload").mapInArrow(_count_words, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")))
     ends = F.sum(F.when(F.col("hash") == int(_END), F.col("n")))
     sums = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), ends.alias("ends")).first()
     top = counted.orderBy(F.desc("n"), "hash").limit(CONTEXTS).toArrow()
@@ -254,55 +262,68 @@ def contexts_of(texts: DataFrame) -> Contexts:
     return Contexts(hashes[order], counts[order], tokens, sums.words, sums.ends or 0, tokens // SHARD_TOKENS + 1)
 
 
+def _encode(kind: pa.DataType):
+    """Chunks, numbered by task and place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for serial, (ids, chunk) in enumerate(_chunks(batches)):
+            number = TaskContext.get().partitionId() << 32 | serial
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()), pa.array([-1], pa.int64()), pa.array([ids], kind),
+                    pa.array([chunk.pack()], pa.binary()),
+                ],
+                names=["chunk", "shard", "ids", "payload"],
+            )
+
+    return run
+
+
 _ROUTED = "chunk bigint, shard bigint, payload binary"
 
 
-def _route(shared, kind: str):
-    """Rows of a chunk: itself with its ids (shard -1), and its pairs for each shard."""
+def _ask(shared):
+    """The pairs of each chunk, one row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for serial, (ids, chunk) in enumerate(_chunks(batches)):
-            number = TaskContext.get().partitionId() << 32 | serial
-            pairs = Pairs.of(chunk, tables)
-            cuts = np.flatnonzero(np.append(True, pairs.shard[1:] != pairs.shard[:-1])).tolist() + [len(pairs.shard)]
-            shards, payloads = [-1], [chunk.pack()]
-            for begin, end in zip(cuts, cuts[1:]):
-                word = pairs.word[begin:end]
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                shards.append(int(pairs.shard[begin]))
-                payloads.append(_packed(
-                    chunk.hashes[word[first]], np.diff(np.append(first, len(word))).astype(np.int32),
-                    pairs.context[begin:end].astype(np.int32), pairs.counts[begin:end],
-                ))
-            for at in range(0, len(shards), 64):
-                part = slice(at, at + 64)
-                n = len(shards[part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * n, pa.int64()), pa.array(shards[part], pa.int64()),
-                        pa.array([ids] + [None] * (n - 1) if not at else [None] * n, kind),
-                        pa.array(payloads[part], pa.binary()),
-                    ],
-                    names=["chunk", "shard", "ids", "payload"],
-                )
+        for batch in batches:
+            for number, packed in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
+                chunk = Chunk.unpack(packed.as_py())
+                pairs = Pairs.of(chunk, tables)
+                cuts = np.flatnonzero(np.append(True, pairs.shard[1:] != pairs.shard[:-1])).tolist() + [len(pairs.shard)]
+                shards, payloads = [], []
+                for begin, end in zip(cuts, cuts[1:]):
+                    word = pairs.word[begin:end]
+                    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                    shards.append(int(pairs.shard[begin]))
+                    payloads.append(_packed(
+                        chunk.hashes[word[first]], np.diff(np.append(first, len(word))).astype(np.int32),
+                        pairs.context[begin:end].astype(np.int32), pairs.counts[begin:end].astype(np.int32),
+                    ))
+                for at in range(0, len(shards), 64):
+                    part = slice(at, at + 64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number] * len(shards[part]), pa.int64()), pa.array(shards[part], pa.int64()),
+                            pa.array(payloads[part], pa.binary()),
+                        ],
+                        names=["chunk", "shard", "payload"],
+                    )
 
     return run
 
 
-def _answer(shared):
-    """Of each shard: answers to the chunks, its trie (chunk -1), and its words' share in each context (chunk -2)."""
+def _answer(shared, tries: bool = False):
+    """Of each shard, answers to the chunks and in how many pairs each context is (chunk -1); or else its trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for group in groups(batches, "shard"):
             chunks, shard = group.column("chunk").to_pylist(), group.column("shard")[0].as_py()
-            asked = [_unpacked(p.as_py(), np.uint64, np.int32, np.int32, np.int64) for p in group.column("payload")]
-            trie_data, kinds = _trie_of(asked, tables)
-            trie = Trie(trie_data)
-            payloads = [_packed(*trie.lookup(hashes, pairs, contexts)) for hashes, pairs, contexts, _ in asked]
-            chunks += [-1, -2]
-            payloads += [trie_data, kinds]
+            asked = [_unpacked(p.as_py(), np.uint64, np.int32, np.int32, np.int32) for p in group.column("payload")]
+            payloads, trie_data, kinds = _answers(asked, tables)
+            chunks, payloads = ([-1], [trie_data]) if tries else ([*chunks, -1], [*payloads, kinds])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chunks, pa.int64()), pa.array([shard] * len(chunks), pa.int64()), pa.array(payloads, pa.binary())],
                 names=["chunk", "shard", "payload"],
@@ -311,18 +332,34 @@ def _answer(shared):
     return run
 
 
-def _trie_of(asked: list, tables: Contexts) -> tuple[bytes, bytes]:
-    """The trie of all training pairs, and in how many pairs each context is."""
-    hashes = np.concatenate([np.repeat(h, p)[n > 0] for h, p, _, n in asked])
-    contexts = np.concatenate([c[n > 0] for _, _, c, n in asked]).astype(np.int64)
-    counts = np.concatenate([n[n > 0] for _, _, _, n in asked])
+def _answers(asked: list, tables: Contexts) -> tuple[list[bytes], bytes, bytes]:
+    """(answer to each chunk, trie of all training pairs, in how many of them each context is).
+
+    All chunks' pairs are put in order once, and looked up in one pass over the trie.
+    """
+    hashes = np.concatenate([np.repeat(h, p) for h, p, _, _ in asked])
+    contexts = np.concatenate([c for _, _, c, _ in asked]).astype(np.int64)
     order = np.lexsort((contexts, hashes))
-    hashes, contexts, counts = hashes[order], contexts[order], counts[order]
-    new = np.append(True, (hashes[1:] != hashes[:-1]) | (contexts[1:] != contexts[:-1])) if len(hashes) else np.zeros(0, bool)
-    begins = np.flatnonzero(new)
-    counts = np.add.reduceat(counts, begins) if len(begins) else counts
-    kinds, n = np.unique(contexts[begins], return_counts=True)
-    return Trie.build(hashes[begins], contexts[begins], counts, tables), _packed(kinds, n.astype(np.int64))
+    hashes, contexts = hashes[order], contexts[order]
+    new_word = np.append(True, hashes[1:] != hashes[:-1])
+    new = new_word | np.append(True, contexts[1:] != contexts[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    counts = np.bincount(place, np.concatenate([n for _, _, _, n in asked])).astype(np.int64)
+    hashes, contexts, new_word = hashes[new], contexts[new], new_word[new]
+    trained = counts > 0
+    trie_data = Trie.build(hashes[trained], contexts[trained], counts[trained], tables)
+    words = np.flatnonzero(new_word)
+    known, codes = Trie(trie_data).lookup(hashes[words], np.diff(np.append(words, len(hashes))), contexts)
+    word_of = np.cumsum(new_word) - 1
+    answers, at = [], 0
+    for _, pairs, of_chunk, _ in asked:
+        mine = place[at : at + len(of_chunk)]
+        at += len(of_chunk)
+        firsts = mine[np.cumsum(pairs) - pairs]
+        answers.append(_packed(known[word_of[firsts]], codes[mine]))
+    kinds, n = np.unique(contexts[trained], return_counts=True)
+    return answers, trie_data, _packed(kinds, n.astype(np.int64))
 
 
 def _spread_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,26 +413,25 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """(one row of scores for each document, the tries of all shards as (shard, trie))."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     spark, id_type = docs.sparkSession, texts.schema["id"].dataType.simpleString()
-    tables = contexts_of(texts)
-    shared = spark.sparkContext.broadcast(tables)
     arrow_id = _arrow_type(texts)
-    routed = settle(
-        texts.mapInArrow(_route(shared, pa.list_(arrow_id)), f"chunk bigint, shard bigint, ids array<{id_type}>, payload binary")
+    chunks = settle(
+        texts.mapInArrow(_encode(pa.list_(arrow_id)), f"chunk bigint, shard bigint, ids array<{id_type}>, payload binary")
     )
-    asked = routed.where(F.col("shard") >= 0).select("chunk", "shard", "payload")
-    answered = settle(
-        asked.repartition(tables.shards, "shard").sortWithinPartitions("shard").mapInArrow(_answer(shared), _ROUTED)
+    tables = contexts_of(chunks)
+    shared = spark.sparkContext.broadcast(tables)
+    asked = (
+        chunks.select("chunk", "payload").mapInArrow(_ask(shared), _ROUTED)
+        .repartition(tables.shards, "shard").sortWithinPartitions("shard")
     )
+    answered = settle(asked.mapInArrow(_answer(shared), _ROUTED))
     kinds = (
-        answered.where(F.col("chunk") == -2).select("payload").mapInArrow(_spread_kinds, "context bigint, n bigint")
+        answered.where(F.col("chunk") == -1).select("payload").mapInArrow(_spread_kinds, "context bigint, n bigint")
         .groupBy("context").agg(F.sum("n").alias("n")).toArrow()
     )
     per_context = np.zeros(len(tables.totals))
     per_context[kinds["context"].to_numpy()] = kinds["n"].to_numpy()
     freed = spark.sparkContext.broadcast(per_context)
-    together = routed.where(F.col("shard") < 0).unionByName(
-        answered.where(F.col("chunk") >= 0), allowMissingColumns=True
-    )
+    together = chunks.unionByName(answered.where(F.col("chunk") >= 0), allowMissingColumns=True)
     scores = (
         together.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(
             _finish(shared, freed, arrow_id),
@@ -403,7 +439,8 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             "base_score double, score double",
         ).withColumnRenamed("id", id_column)
     )
-    return scores, answered.where(F.col("chunk") == -1).select("shard", F.col("payload").alias("trie"))
+    tries = asked.mapInArrow(_answer(shared, True), _ROUTED).select("shard", F.col("payload").alias("trie"))
+    return scores, tries
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:
