@@ -132,22 +132,21 @@ def _known_point(value: str, order: Sequence[str]) -> Column:
 
 
 def _carried(
-    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, forward: bool
+    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, directions: Sequence[str]
 ) -> DataFrame:
-    """Per (key, piece): the nearest known point in the pieces before or after."""
+    """Per (key, piece): the nearest known points in the pieces before and after,
+    `_from_before` and `_from_after`, from one summary for both directions."""
     position = F.when(F.col(value).isNotNull(), F.struct(*order))
-    nearest = (F.max_by if forward else F.min_by)(_known_point(value, order), position)
+    point = _known_point(value, order)
     series = _piece_window(keys)
-    side = series.forward if forward else series.backward
-    name = "_from_before" if forward else "_from_after"
-    return (
-        pieces.groupBy(*keys, "_piece")
-        .agg(nearest.alias("_nearest"))
-        .withColumn(
-            name,
-            F.last("_nearest", ignorenulls=True).over(side.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .drop("_nearest")
+    sides = {"_from_before": (F.max_by, series.forward), "_from_after": (F.min_by, series.backward)}
+    summary = pieces.groupBy(*keys, "_piece").agg(*[sides[d][0](point, position).alias(f"{d}_own") for d in directions])
+    return summary.select(
+        *keys, "_piece",
+        *[
+            F.last(f"{d}_own", ignorenulls=True).over(sides[d][1].rowsBetween(Window.unboundedPreceding, -1)).alias(d)
+            for d in directions
+        ],
     )
 
 
@@ -165,13 +164,12 @@ def fill_long(
     cut = range_pieces(df, keys, order, pieces)
     local = Series([*keys, "_piece"], order)
     point = _known_point(value, order)
-    rows = cut
+    directions = {"forward": ["_from_before"], "backward": ["_from_after"]}.get(method, ["_from_before", "_from_after"])
+    rows = cut.join(_carried(cut, keys, order, value, directions), [*keys, "_piece"])
     prev = nxt = None
     if method != "backward":
-        rows = rows.join(_carried(cut, keys, order, value, True), [*keys, "_piece"])
         prev = F.coalesce(local.forward_fill(point), F.col("_from_before"))
     if method != "forward":
-        rows = rows.join(_carried(cut, keys, order, value, False), [*keys, "_piece"])
         nxt = F.coalesce(local.backward_fill(point), F.col("_from_after"))
     if method == "forward":
         filled = prev.getField("x")
