@@ -30,7 +30,7 @@ class Kind:
     name: str
     pattern: str
     hint: str  # texts without a match of this hold no span
-    score: float  # of a confirmed span with no word nearby
+    score: int  # of a confirmed span with no word nearby, in percent
     context: str  # words that raise the score
 
     def confirmed(self, value: Column) -> Column:
@@ -82,27 +82,27 @@ _CHECKS = {
 
 BASE = (
     Kind(
-        "email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8,
+        "email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 80,
         r"e-?mail|contact|write to|correo|courriel",
     ),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server"),
-    Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", r"[0-9](?:[\x20-]?[0-9]){11}", 0.9, r"card|visa|mastercard|karte|carte|tarjeta"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 60, r"(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server"),
+    Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", r"[0-9](?:[\x20-]?[0-9]){11}", 90, r"card|visa|mastercard|karte|carte|tarjeta"),
     Kind(
-        "phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7,
-        r"phone|call|\btel|mobile|fax|\bruf|appel|llama",
+        "phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 70,
+        r"phone|call|(?:^|[^a-z])tel|mobile|fax|appel|llama",
     ),
 )
 ADDED = (
     Kind(
         "iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", "[A-Z]{2}[0-9]{2}",
-        0.9, r"iban|account|konto|compte|cuenta",
+        90, r"iban|account|konto|compte|cuenta",
     ),
-    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", 0.3, r"\bssn\b|social security"),
-    Kind("local_phone", r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}", r"\([0-9]", 0.3, r"phone|call|\btel|mobile|fax"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]-[0-9]", 30, r"(?:^|[^a-z])ssn(?:[^a-z]|$)|social security"),
+    Kind("local_phone", r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}", r"\([0-9]", 30, r"phone|call|(?:^|[^a-z])tel|mobile|fax"),
 )
 KINDS = BASE + ADDED
-CONTEXT_WEIGHT, CONTEXT_BEFORE, CONTEXT_AFTER = 0.3, 40, 20
-THRESHOLD = 0.5
+CONTEXT_WEIGHT, CONTEXT_BEFORE, CONTEXT_AFTER = 30, 40, 20
+THRESHOLD = 50
 
 
 def _proposed(text: Column, digits: Column, kind: Kind, number: int) -> Column:
@@ -126,11 +126,11 @@ def _proposed(text: Column, digits: Column, kind: Kind, number: int) -> Column:
             " ", F.substr(text, first + 1, span["start"] - first),
             F.substr(text, span["end"] + 1, F.lit(CONTEXT_AFTER)),
         )
-        bonus = F.when(F.lower(near).rlike(kind.context), CONTEXT_WEIGHT).otherwise(0.0)
-        score = F.least(F.lit(kind.score) + bonus, F.lit(1.0))
+        bonus = F.when(F.lower(near).rlike(kind.context), CONTEXT_WEIGHT).otherwise(0)
+        score = F.least(F.lit(kind.score) + bonus, F.lit(100))
         return F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), score.alias("score"))
 
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:int>>)")
     found = let(
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
         lambda m: F.when(F.size(m) == 0, none).otherwise(
@@ -157,7 +157,7 @@ def _count(spans: Column, number: int) -> Column:
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: base counts and digest, all spans, and their scores in the same order."""
+    """One row for each document: base counts and digest, all spans, and their scores in percent in the same order."""
     text = F.col("text")
     digits = F.col("digits")
     plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -176,5 +176,6 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     counts = [_count(base, i).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     return spans.select(
         F.col("id").alias(id_column), *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"),
+        _joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

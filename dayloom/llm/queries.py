@@ -101,7 +101,76 @@ def op6(spark, sf_dir):
     return lm_scores.scored(documents(spark, sf_dir))[0]
 
 
-@_query("op7_personal_data")
+# The patterns of the contract and of the further kinds, and which matches count, in SQL.
+_LUHN = """length(d) between 12 and 19 and list_sum(list_transform(range(1, length(d) + 1),
+    lambda i: substr(reverse(d), i, 1)::int * (2 - i % 2)
+        - case when substr(reverse(d), i, 1)::int * (2 - i % 2) > 9 then 9 else 0 end)) % 10 = 0"""
+_MOD97 = """list_reduce(list_prepend(0, list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(v, 1, 4), ''),
+    lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)),
+    lambda acc, x: (acc * case when x > 9 then 100 else 10 end + x) % 97) = 1"""
+_PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 80, "e-?mail|contact|write to|correo|courriel"),
+    (
+        "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 and coalesce(try_cast(ltrim(p, '0') as int), 0) <= 255))", 60,
+        "(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server",
+    ),
+    ("card", r"[0-9]([\x20-]?[0-9])+", _LUHN, 90, "card|visa|mastercard|karte|carte|tarjeta"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15", 70, "phone|call|(?:^|[^a-z])tel|mobile|fax|appel|llama"),
+    (
+        "iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)", _MOD97, 90,
+        "iban|account|konto|compte|cuenta",
+    ),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "true", 30, "(?:^|[^a-z])ssn(?:[^a-z]|$)|social security"),
+    ("local_phone", r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}", "true", 30, "phone|call|(?:^|[^a-z])tel|mobile|fax"),
+)
+_SPANS = ",\n".join(
+    f"""m{k} as (
+    select id, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g
+    from texts where regexp_matches(t, '{pattern}')
+),
+p{k} as (
+    select id, t, m[i] as v, regexp_replace(m[i], '[^0-9]', '', 'g') as d,
+        list_sum(list_transform(g[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as s
+    from (select *, unnest(range(1, len(m) + 1)) as i from m{k})
+),
+s{k} as (
+    select id, s::bigint as s, {k} as kind, '{name}' as name, (s + length(v))::bigint as e,
+        least(100, {score} + case when regexp_matches(
+            lower(substr(t, greatest(s - 40, 0)::bigint + 1, least(s, 40)::bigint) || ' ' || substr(t, (s + length(v))::bigint + 1, 20)),
+            '{context}') then 30 else 0 end) as score
+    from p{k} where {check}
+)"""
+    for k, (name, pattern, check, score, context) in enumerate(_PERSONAL)
+)
+
+
+@_query(
+    "op7_personal_data",
+    f"""
+with texts as (select doc_id as id, coalesce(text, '') as t from documents),
+{_SPANS},
+base as (select * from s0 union all select * from s1 union all select * from s2 union all select * from s3),
+added as (
+    select * from (select * from s4 union all select * from s5 union all select * from s6) a
+    where score >= 50 and not exists (select 1 from base b where b.id = a.id and b.s <= a.s and a.e <= b.e)
+),
+spans as (select * from base union all select * from added),
+counts as (
+    select id, count(*) filter (kind = 0) as n_email, count(*) filter (kind = 1) as n_ip,
+        count(*) filter (kind = 2) as n_card, count(*) filter (kind = 3) as n_phone,
+        string_agg(name || ':' || s || ':' || e, ',' order by s, kind) filter (kind < 4) as base,
+        string_agg(name || ':' || s || ':' || e, ',' order by s, kind) as spans,
+        string_agg(score::int::varchar, ',' order by s, kind) as scores
+    from spans group by id
+)
+select t.id as doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
+    coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+    coalesce(scores, '') as scores
+from texts t left join counts c on t.id = c.id
+""",
+)
 def op7(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
 
