@@ -12,14 +12,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _utc_day(seconds: Column) -> Column:
+    """Day of epoch seconds, whatever the session's time zone."""
+    days = F.floor(seconds / F.lit(86400)).try_cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
 def day_from_epoch(c: Column | str) -> Column:
     """Epoch seconds to a UTC day."""
-    return F.to_date(F.timestamp_seconds(_col(c)))
+    return _utc_day(_col(c))
 
 
 def day_from_iso(c: Column | str) -> Column:
-    """ISO text, with or without an offset, to a UTC day; bad text gives NULL."""
-    return F.to_date(F.try_to_timestamp(_col(c)))
+    """ISO text to a UTC day, text without an offset to its own day; bad text
+    gives NULL. The session's time zone plays no part."""
+    moment = F.try_to_timestamp(_col(c))
+    with_offset = F.rlike(_col(c), F.lit(r"[T ][0-9:.]+ *([Zz]|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"))
+    return F.when(with_offset, _utc_day(F.floor(F.unix_micros(moment) / 1_000_000))).otherwise(F.to_date(moment))
 
 
 def day_from_local(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:

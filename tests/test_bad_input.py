@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dayloom.functions import scalar
 from dayloom.functions.distributions import f_upper_tail
 from dayloom.operators import calendar, comoments, lagged, profile, regression, unit_root
 from dayloom.plans import catalog, consolidate
@@ -131,3 +132,20 @@ def test_groups_in_many_tasks_equal_pandas(spark):
         part = want.get_group((r.g or "none", r.h))
         assert r.n == len(part)
         assert r.cp == pytest.approx(((part.x - part.x.mean()) * (part.y - part.y.mean())).sum(), abs=1e-6)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_days_do_not_depend_on_the_sessions_zone(spark, zone):
+    df = spark.createDataFrame(
+        [(0, "2020-01-02"), (86_399, "2020-01-02T00:30:00"), (-1, "2020-01-02T23:30:00-05:00"), (86_400, "2020-01-02 00:30:00+09:00"), (None, "soon")],
+        "s bigint, t string",
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = df.select(scalar.day_from_epoch("s").alias("a"), scalar.day_from_iso("t").alias("b")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    first = datetime.date(1970, 1, 1)
+    assert [r.a for r in rows] == [first, first, datetime.date(1969, 12, 31), datetime.date(1970, 1, 2), None]
+    assert [r.b for r in rows] == [DAY, DAY, datetime.date(2020, 1, 3), datetime.date(2020, 1, 1), None]
