@@ -15,7 +15,7 @@ the threshold is missed with a probability below 1 - `RECALL`.
 Large buckets whose members agree in half of the places are not split further, as
 no split would part them; they, and what is left after `DEPTH` splits, are cut
 into blocks, and all pairs of blocks are compared, each in a task of its own. No pairs are shuffled: a bucket returns, for each of its sets,
-the number of links and one set it hangs together with. A pair that meets in
+the number of links and the part of the bucket it hangs together with. A pair that meets in
 several buckets is looked at in the one with the lowest number.
 
 Result, one row for each document: `class_id`, the lowest id among all documents
@@ -35,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from dayloom.llm.decontaminate import words_of
-from dayloom.llm.tables import settle, utf8
+from dayloom.llm.tables import sent_if_small, settle, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL, BRANCHES, DEPTH, LEAF, DENSE = 0.999999, 2, 8, 512, 0.5
@@ -288,7 +288,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member with a link: links that count here, and a member it hangs together with."""
+    """For each member with a link: its links here, and the number of the members it hangs together with."""
     for group in groups(batches, "task"):
         keys = group.column("copy").to_pylist()
         # A row that is there twice brings its set twice.
@@ -318,16 +318,40 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(lefts.tolist(), rights.tolist()):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        touched = np.union1d(lefts, rights).tolist()
+        touched = np.union1d(lefts, rights)
+        task = np.uint64(group.column("task")[0].as_py() % 2**64)
+        hung = np.array([find(t) for t in touched.tolist()], np.uint64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([keys[t] for t in touched], pa.binary()), pa.array(links[touched]),
-                pa.array([keys[find(t)] for t in touched], pa.binary()),
+                pa.array([keys[t] for t in touched.tolist()], pa.binary()), pa.array(links[touched]),
+                pa.array(_mixed(_mixed(hung + np.uint64(1)) ^ task).view(np.int64)),
             ],
-            names=["copy", "links", "root"],
+            names=["copy", "links", "part"],
         )
 
 
+def rooted_links(found: DataFrame) -> DataFrame:
+    """(copy, links, root) from (copy, links, part): members of one part hang together.
+
+    A part lies in one task and so has a bounded number of members, and a copy is
+    in few parts. Twice, the lowest key goes from each part to its members and on
+    to their other parts; what this leaves apart, in long chains, is joined by
+    `components` over the keys that are left.
+    """
+    label = F.col("copy")
+    rows = found.withColumn("label", label)
+    for _ in range(2):
+        rows = rows.withColumn("label", F.min("label").over(Window.partitionBy("part")))
+        rows = rows.withColumn("label", F.min("label").over(Window.partitionBy("copy")))
+    rows = settle(rows.withColumn("low", F.min("label").over(Window.partitionBy("part"))))
+    total = rows.groupBy("copy").agg(F.sum("links").alias("links"), F.min("label").alias("root"))
+    apart = rows.where(F.col("label") != F.col("low")).select(F.col("label").alias("a"), F.col("low").alias("b"))
+    if apart.isEmpty():
+        return total
+    hung = components(apart).select(F.col("node").alias("root"), F.col("root").alias("lowest"))
+    return total.join(hung, "root", "left").select("copy", "links", F.coalesce("lowest", "root").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the lowest node that each node is connected with; large and small stars in turn."""
 
@@ -403,19 +427,14 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             f"task bigint, side int, leaf bigint, copy binary, id {kind}, n_copies bigint, leaves array<bigint>",
         )
     )
-    wanted = candidates.select("id", "copy").distinct()
-    shingles = _shingles_of(texts.join(wanted, "id").select("copy", "text"))
+    wanted = settle(candidates.select("id", "copy").distinct())
+    shingles = _shingles_of(texts.join(sent_if_small(wanted), "id").select("copy", "text"))
     found = settle(
         candidates.join(shingles, "copy").repartition("task").sortWithinPartitions("task")
         .select("task", "side", "leaf", "copy", "n_copies", "leaves", "shingles")
-        .mapInArrow(verified, "copy binary, links bigint, root binary")
-    )
-    links = found.groupBy("copy").agg(F.sum("links").alias("links"))
-    hung = components(found.select(F.col("copy").alias("a"), F.col("root").alias("b")))
-    rooted = (
-        sets.select("copy", "id", "n_copies").join(hung.withColumnRenamed("node", "copy"), "copy", "left")
-        .join(links, "copy", "left")
+        .mapInArrow(verified, "copy binary, links bigint, part bigint")
     )
+    rooted = sets.select("copy", "id", "n_copies").join(rooted_links(found), "copy", "left")
     return marked.select("id", "copy"), rooted.select(
         "copy", "id", "n_copies", F.coalesce("root", "copy").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
     )
@@ -437,17 +456,23 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each class, that of the lowest id, with all its columns; rows without an id or a word stay."""
-    _, rooted = classes(docs, id_column, text_column)
-    kept = rooted.groupBy("root").agg(F.min(F.struct("id", "copy")).alias("first")).select("first.*")
+    marked, rooted = classes(docs, id_column, text_column)
+    kept = settle(rooted.groupBy("root").agg(F.min(F.struct("id", "copy")).alias("first")).select("first.*"))
+    repeated = marked.groupBy("id", "copy").agg(F.count("*").alias("n")).where(F.col("n") > 1).join(kept, ["id", "copy"])
+    repeated = settle(repeated.select("id", "copy"))
     judged = F.col(id_column).isNotNull() & F.coalesce(F.col(text_column).rlike("[^\\x00-/:-@\\[-`{-\\x7f]"), F.lit(False))
     key = _fresh(docs.columns)
-    names = {c: F.col(key[c]) for c in ("id", "copy")}
-    first = kept.select(*(F.col(c).alias(key[c]) for c in ("id", "copy")))
     keyed = _with_copy_key(docs.where(judged), text_column, key["row"])
-    chosen = keyed.join(
-        first, (keyed[id_column] == names["id"]) & (keyed[key["row"]] == names["copy"]), "left_semi"
-    ).dropDuplicates([id_column, key["row"]])
-    return chosen.select(*docs.columns).unionByName(docs.where(~judged))
+
+    def of(pairs: DataFrame, how: str) -> DataFrame:
+        named = pairs.select(F.col("id").alias(key["id"]), F.col("copy").alias(key["copy"]))
+        same = (F.col(id_column) == F.col(key["id"])) & (F.col(key["row"]) == F.col(key["copy"]))
+        return keyed.join(sent_if_small(named), same, how)
+
+    once = of(kept.join(repeated, ["id", "copy"], "left_anti"), "left_semi")
+    if not repeated.isEmpty():
+        once = once.unionByName(of(repeated, "left_semi").dropDuplicates([id_column, key["row"]]))
+    return once.select(*docs.columns).unionByName(docs.where(~judged))
 
 
 def _fresh(columns: list[str]) -> dict[str, str]:

@@ -21,6 +21,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Short rows (a few ids) that are small enough to be sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(short_rows: DataFrame) -> DataFrame:
+    """Rows of a few ids, marked for a broadcast if there are few; else Spark joins by a shuffle."""
+    few = short_rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(short_rows) if few else short_rows
+
+
 def crc_of(id_column: Column) -> Column:
     """crc32 of the id as text; of the empty text where it is null."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary"))
