@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dayloom.llm.tables import per_row, texts
+from dayloom.llm.tables import per_row, slices, texts
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
@@ -277,7 +277,7 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
     length_at = docs.columns.index(length_column) if length_column else None
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for full in batches for part in slices(full)):
             columns = list(batch.columns)
             new = [None if t is None else redacted(t) for t in columns[at].to_pylist()]
             columns[at] = pa.array(new, columns[at].type)

@@ -52,6 +52,17 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+# Batches are worked on in slices of about this many bytes.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows, so that what is made of one does not grow with long texts."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def per_row(
     df: DataFrame, keep: list[str], reads: list[str], compute: Callable[[], Callable[..., Iterable]], schema: str
 ) -> DataFrame:
@@ -67,7 +78,7 @@ def per_row(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = compute()
-        for batch in batches:
+        for batch in (part for full in batches for part in slices(full)):
             out = work(*(batch.column(len(keep) + i) for i in range(len(reads))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=[*keep, *names])
 
@@ -80,7 +91,7 @@ def rows_where(df: DataFrame, reads: list[str], verdict: Callable[[], Callable[.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = verdict()
-        for batch in batches:
+        for batch in (part for full in batches for part in slices(full)):
             yield batch.filter(pa.array(judge(*(batch.column(i) for i in places)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
