@@ -44,7 +44,7 @@ from dayloom.llm.tables import crc32, settle, utf8
 
 FOLDS, HELD_OUT = 7, 2
 CONTEXTS = 65_534  # frequent words that are contexts of their own
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.75
 STEPS = 16  # of a power of ten
