@@ -1,23 +1,30 @@
 """Language-model scores from n-gram tries in Elias-Fano form.
 
-The model predicts a word from the one before it. Contexts are the most frequent
-training words, each on its own, all others together, and the start of a text.
-The probability of a word is its discounted share in the context, plus what the
-discount has freed there times the word's add-one share in the corpus:
+The model predicts a word from the one before it. Every training word is a context
+of its own, and so is the start of a text. The probability of a word is its
+discounted share in the context, plus what the discount has freed there times the
+word's add-one share in the corpus:
 
     p(w | k) = (n(k, w) - D) / n(k)  [if seen]  +  D * T(k) / n(k) * (c(w) + 1) / (N + V + 1)
 
-How it runs: texts are cut into chunks of bounded size. A chunk sends each pair
-of (word, context) in it once, with its training count, to the shard of that
-pair: the counts of all texts, however often a pair occurs, arrive as one row for
-each chunk and shard. Rare words are sharded by the word, frequent ones by word
-and context, so that no word fills a shard. A shard sums the counts and builds
-its trie: the words' hashes, pointers to where each word's contexts begin,
-cumulative counts, and the contexts, all as monotone Elias-Fano sequences in one
-mapped buffer, and one byte for the quantised probability of each pair. It then
-answers the chunks' pairs, in order, by successor search: first for the word,
-then for the context among those of the word. Chunks put the answers together
-with what all texts share: the few bounded tables of the contexts.
+After a context without training text it is the share in the corpus alone.
+
+How it runs: the most frequent words are numbered, in a table of bounded size that
+all tasks hold with their counts; it saves bytes and spreads hot words, and changes
+no score. All other words go by their hashes. Texts are cut into chunks of bounded
+size. A chunk sends each pair of (word, context) in it once, with its training
+count, to the shard of that pair: the counts of all texts, however often a pair
+occurs, arrive as one row for each chunk and shard. A pair after a rare word goes
+to the shard of that context, and the rare word's own count with it; else a rare
+word's pair goes to the shard of the word, and pairs of two frequent words are
+spread by both, so that no word fills a shard. A shard sums the counts, and so
+knows n(k) and T(k) of its rare words, and builds its trie: the hashes of rare
+words with cumulative n and T, the words, pointers to where each word's contexts
+begin, and the contexts, all as monotone Elias-Fano sequences in one mapped
+buffer, and one byte for the quantised probability of each pair. It then answers
+the chunks' pairs, in order, by successor search: first for the word, then for the
+context among those of the word, with n and T of its rare words. Chunks put the
+answers together with what all texts share: N, V, and n and T of the numbered words.
 
 Probabilities in the trie have steps of 1/16 in log10. Null and empty texts hold
 the end token alone. With no training text at all, every count is 0. Ids may
@@ -43,13 +50,16 @@ from dayloom.llm.jaccard_join import groups
 from dayloom.llm.tables import crc32, settle, utf8
 
 FOLDS, HELD_OUT = 7, 2
-CONTEXTS = 65_534  # frequent words that are contexts of their own
+FREQUENT = 65_534  # words that are numbered: all tasks hold their counts
+# Where set, only so many frequent words are numbered and contexts of their own, and all others are one context.
+CONTEXTS: int | None = None
 CHUNK_BYTES = 12_000_000
 SHARD_TOKENS = 3_000_000
 DISCOUNT = 0.75
 STEPS = 16  # of a power of ten
 _START, _OTHER, _FIRST = 0, 1, 2
-_WIDTH = 1 << 17  # above the number of contexts
+_WIDTH = 1 << 17  # above the numbers of frequent words; from here on, places in a list of rare words
+_LOW = (1 << 32) - 1
 _END = np.uint64(1)  # the hash that stands for the end of a text
 _UNSEEN = 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,28 +133,40 @@ class Contexts:
     words: int
     ends: int
     shards: int
+    pooled: bool  # whether all other words are one context
 
     def __post_init__(self) -> None:
         self.totals = np.zeros(_FIRST + len(self.hashes))
         self.totals[_START] = self.ends
         self.totals[_FIRST:] = self.counts
-        known_end = _END in self.hashes
-        self.totals[_OTHER] = self.tokens - self.counts.sum() - (0 if known_end else self.ends)
+        if self.pooled:
+            known_end = _END in self.hashes
+            self.totals[_OTHER] = self.tokens - self.counts.sum() - (0 if known_end else self.ends)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each word, its context."""
+        """Of each word, its number; `_OTHER` for rare words."""
         if not len(self.hashes):
             return np.full(len(hashes), _OTHER)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[place] == hashes, place + _FIRST, _OTHER)
 
+    def shard(self, mixed: np.ndarray) -> np.ndarray:
+        return ((mixed * _ODD >> np.uint64(32)) % np.uint64(self.shards)).astype(np.int64)
+
 
 @dataclass
 class Pairs:
-    """The distinct (word, context) pairs of a chunk, ordered by shard, word and context."""
+    """The rare words of a chunk in order of shard and hash, and its distinct (word, context) pairs in order of shard, word and context.
+
+    A word is its number, or `_WIDTH` and its place among the chunk's rare hashes.
+    """
 
+    hashes: np.ndarray  # of the rare words, ascending
+    own: np.ndarray  # places of the rare words, in order of shard
+    own_shard: np.ndarray
+    own_counts: np.ndarray  # in training texts
     shard: np.ndarray
-    word: np.ndarray  # place among the chunk's hashes
+    word: np.ndarray
     context: np.ndarray
     counts: np.ndarray  # in training texts
     of_token: np.ndarray  # of each token, its pair
@@ -152,69 +174,118 @@ class Pairs:
     @classmethod
     def of(cls, chunk: Chunk, shared: Contexts) -> Pairs:
         numbers = shared.numbers(chunk.hashes)
+        rare = np.flatnonzero(numbers == _OTHER)
+        rare = rare[np.argsort(chunk.hashes[rare])]
+        hashes = chunk.hashes[rare]
+        words = numbers.astype(np.int64)
+        words[rare] = _WIDTH + np.arange(len(rare))
         before = np.empty(len(chunk.tokens), np.int64)
-        before[1:] = numbers[chunk.tokens[:-1]]
+        before[1:] = (numbers if shared.pooled else words)[chunk.tokens[:-1]]
         before[np.cumsum(chunk.lengths) - chunk.lengths] = _START
-        by_hash = np.argsort(chunk.hashes)
-        rank = np.empty(len(by_hash), np.int64)
-        rank[by_hash] = np.arange(len(by_hash))
-        keys, of_token = np.unique(rank[chunk.tokens] * _WIDTH + before, return_inverse=True)
-        word, context = by_hash[keys // _WIDTH], keys % _WIDTH
-        counts = np.bincount(of_token, chunk.token_training(), len(keys)).astype(np.int64)
-        spread = np.where(numbers[word] == _OTHER, 0, context).astype(np.uint64)
-        mixed = (chunk.hashes[word] ^ (spread * _ODD)) * _ODD
-        shard = ((mixed >> np.uint64(32)) % np.uint64(shared.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        training = chunk.token_training()
+        keys, of_token = np.unique(words[chunk.tokens] << 32 | before, return_inverse=True)
+        word, context = keys >> 32, keys & _LOW
+        counts = np.bincount(of_token, training, len(keys)).astype(np.int64)
+        own_counts = np.bincount(chunk.tokens, training, len(chunk.hashes)).astype(np.int64)[rare]
+        mixed = (word * _WIDTH + context).astype(np.uint64)
+        for part in (word, context):
+            by_hash = part >= _WIDTH
+            mixed[by_hash] = hashes[part[by_hash] - _WIDTH]
+        shard, own_shard = shared.shard(mixed), shared.shard(hashes)
+        own, order = np.argsort(own_shard, kind="stable"), np.argsort(shard, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return cls(shard[order], word[order], context[order], counts[order], rank[of_token])
+        return cls(
+            hashes, own, own_shard[own], own_counts[own], shard[order], word[order], context[order], counts[order],
+            rank[of_token],
+        )
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, the rare words and pairs for it), in order of the shards."""
+        for shard in np.union1d(self.shard, self.own_shard):
+            own = slice(*np.searchsorted(self.own_shard, [shard, shard + 1]))
+            mine = slice(*np.searchsorted(self.shard, [shard, shard + 1]))
+            word, context = self.word[mine], self.context[mine]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            # Words of other shards come along before a context of this one.
+            listed = np.unique(np.concatenate([self.own[own], word[word >= _WIDTH] - _WIDTH]))
+            counts = np.full(len(listed), -1, np.int32)
+            counts[np.searchsorted(listed, self.own[own])] = self.own_counts[own]
+            yield int(shard), _packed(
+                self.hashes[listed], counts, _renumbered(word[first], listed).astype(np.int32),
+                np.diff(np.append(first, len(word))).astype(np.int32), _renumbered(context, listed).astype(np.int32),
+                self.counts[mine].astype(np.int32),
+            )
+
+
+def _renumbered(words: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Words whose places are in one list, by their places in the ascending part of it that `listed` gives."""
+    return np.where(words < _WIDTH, words, _WIDTH + np.searchsorted(listed, words - _WIDTH))
 
 
 # The trie of a shard
 
 class Trie:
-    """Words, their contexts and quantised probabilities in one mapped buffer."""
+    """Rare words with n and T as contexts, and words, their contexts and quantised probabilities in one mapped buffer."""
 
     def __init__(self, data: bytes):
         self.memory = mmap.mmap(-1, max(len(data), 1))
         self.memory.write(data)
-        self.words = elias_fano.Sequence(self.memory)
-        self.pointers = elias_fano.Sequence(self.memory, self.words.end)
-        self.totals = elias_fano.Sequence(self.memory, self.pointers.end)
-        self.contexts = elias_fano.Sequence(self.memory, self.totals.end)
-        self.codes = np.frombuffer(self.memory, np.uint8, len(self.contexts), self.contexts.end)
+        at, levels = 0, []
+        for _ in range(6):
+            levels.append(elias_fano.Sequence(self.memory, at))
+            at = levels[-1].end
+        self.hashes, self.totals, self.kinds, self.words, self.pointers, self.contexts = levels
+        self.codes = np.frombuffer(self.memory, np.uint8, len(self.contexts), at)
+        self.width = _WIDTH + len(self.hashes)
 
     @staticmethod
-    def build(hashes: np.ndarray, contexts: np.ndarray, counts: np.ndarray, shared: Contexts) -> bytes:
-        """From training pairs in order of hash and context."""
-        new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, bool)
+    def build(
+        hashes: np.ndarray, totals: np.ndarray, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
+        shared: Contexts,
+    ) -> bytes:
+        """From rare words with their counts, and training pairs, both in order."""
+        new = np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)
         begins = np.flatnonzero(new)
-        pointers = np.append(begins, len(hashes))
-        totals = np.append(0, np.cumsum(counts))[pointers]
         # The contexts of a word stand after those of the word before: one monotone sequence.
-        places = contexts + (np.cumsum(new) - 1) * _WIDTH
-        share = np.log10((counts - DISCOUNT) / np.maximum(shared.totals[contexts], 1))
+        places = contexts + (np.cumsum(new) - 1) * (_WIDTH + len(hashes))
+        rare = contexts >= _WIDTH
+        kinds = np.bincount(contexts[rare] - _WIDTH, minlength=len(hashes))
+        whole = np.empty(len(contexts))
+        whole[rare] = totals[contexts[rare] - _WIDTH]
+        whole[~rare] = shared.totals[contexts[~rare]]
+        share = np.log10((counts - DISCOUNT) / np.maximum(whole, 1))
         codes = np.clip(np.rint(-share * STEPS), 0, _UNSEEN - 1).astype(np.uint8)
-        parts = [elias_fano.encode(a) for a in (hashes[begins], pointers, totals, places)]
-        return b"".join([*parts, codes.tobytes()])
-
-    def lookup(self, hashes: np.ndarray, pairs: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count of each word, code of each pair) for words in ascending order with `pairs` contexts each."""
-        counts = np.zeros(len(hashes), np.int64)
+        levels = (
+            hashes, np.append(0, np.cumsum(totals)), np.append(0, np.cumsum(kinds)), words[begins],
+            np.append(begins, len(words)), places,
+        )
+        return b"".join([*map(elias_fano.encode, levels), codes.tobytes()])
+
+    def rare_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word or -1, n, T) of ascending hashes."""
+        words = np.full(len(hashes), -1, np.int64)
+        both = np.zeros((2, len(hashes)), np.int64)
+        if len(self.hashes):
+            place, known = self.hashes.successors(hashes)
+            words[known] = _WIDTH + place[known]
+            for out, level in zip(both, (self.totals, self.kinds)):
+                out[known] = np.diff(level.slice(0, len(level)).astype(np.int64))[place[known]]
+        return words, both[0], both[1]
+
+    def lookup(self, words: np.ndarray, pairs: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The code of each pair, for words in ascending order with `pairs` contexts each; -1 for what no training text has."""
         codes = np.full(len(contexts), _UNSEEN, np.uint8)
         if not len(self.words):
-            return counts, codes
-        place, known = self.words.successors(hashes)
-        if known.any():
-            first, last = int(place[known][0]), int(place[known][-1]) + 1
-            ends = self.totals.slice(first, last + 1).astype(np.int64)
-            counts[known] = np.diff(ends)[place[known] - first]
-        of_pair = np.repeat(known, pairs)
-        wanted = np.repeat(place, pairs)[of_pair] * _WIDTH + contexts[of_pair]
-        found, equal = self.contexts.successors(wanted.astype(np.uint64))
-        seen = np.flatnonzero(of_pair)[equal]
-        codes[seen] = self.codes[found[equal]]
-        return counts, codes
+            return codes
+        place, found = np.full(len(words), -1, np.int64), words >= 0
+        place[found], equal = self.words.successors(words[found].astype(np.uint64))
+        found[found] = equal
+        asked = np.flatnonzero(np.repeat(found, pairs) & (contexts >= 0))
+        wanted = np.repeat(place, pairs)[asked] * self.width + contexts[asked]
+        at, equal = self.contexts.successors(wanted.astype(np.uint64))
+        codes[asked[equal]] = self.codes[at[equal]]
+        return codes
 
 
 # Spark
@@ -255,11 +326,12 @@ def contexts_of(chunks: DataFrame) -> Contexts:
     counted = settle(chunks.select("payload").mapInArrow(_count_words, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")))
     ends = F.sum(F.when(F.col("hash") == int(_END), F.col("n")))
     sums = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), ends.alias("ends")).first()
-    top = counted.orderBy(F.desc("n"), "hash").limit(CONTEXTS).toArrow()
+    top = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT if CONTEXTS is None else CONTEXTS).toArrow()
     hashes, counts = top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
     tokens = sums.tokens or 0
-    return Contexts(hashes[order], counts[order], tokens, sums.words, sums.ends or 0, tokens // SHARD_TOKENS + 1)
+    shards = tokens // SHARD_TOKENS + 1
+    return Contexts(hashes[order], counts[order], tokens, sums.words, sums.ends or 0, shards, CONTEXTS is not None)
 
 
 def _encode(kind: pa.DataType):
@@ -289,24 +361,12 @@ def _ask(shared):
         tables = shared.value
         for batch in batches:
             for number, packed in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
-                chunk = Chunk.unpack(packed.as_py())
-                pairs = Pairs.of(chunk, tables)
-                cuts = np.flatnonzero(np.append(True, pairs.shard[1:] != pairs.shard[:-1])).tolist() + [len(pairs.shard)]
-                shards, payloads = [], []
-                for begin, end in zip(cuts, cuts[1:]):
-                    word = pairs.word[begin:end]
-                    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                    shards.append(int(pairs.shard[begin]))
-                    payloads.append(_packed(
-                        chunk.hashes[word[first]], np.diff(np.append(first, len(word))).astype(np.int32),
-                        pairs.context[begin:end].astype(np.int32), pairs.counts[begin:end].astype(np.int32),
-                    ))
-                for at in range(0, len(shards), 64):
-                    part = slice(at, at + 64)
+                questions = Pairs.of(Chunk.unpack(packed.as_py()), tables).questions()
+                while part := list(itertools.islice(questions, 64)):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([number] * len(shards[part]), pa.int64()), pa.array(shards[part], pa.int64()),
-                            pa.array(payloads[part], pa.binary()),
+                            pa.array([number] * len(part), pa.int64()), pa.array([s for s, _ in part], pa.int64()),
+                            pa.array([p for _, p in part], pa.binary()),
                         ],
                         names=["chunk", "shard", "payload"],
                     )
@@ -315,13 +375,13 @@ def _ask(shared):
 
 
 def _answer(shared, tries: bool = False):
-    """Of each shard, answers to the chunks and in how many pairs each context is (chunk -1); or else its trie."""
+    """Of each shard, answers to the chunks and in how many pairs each numbered context is (chunk -1); or else its trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for group in groups(batches, "shard"):
             chunks, shard = group.column("chunk").to_pylist(), group.column("shard")[0].as_py()
-            asked = [_unpacked(p.as_py(), np.uint64, np.int32, np.int32, np.int32) for p in group.column("payload")]
+            asked = [_unpacked(p.as_py(), np.uint64, *[np.int32] * 5) for p in group.column("payload")]
             payloads, trie_data, kinds = _answers(asked, tables)
             chunks, payloads = ([-1], [trie_data]) if tries else ([*chunks, -1], [*payloads, kinds])
             yield pa.RecordBatch.from_arrays(
@@ -333,33 +393,40 @@ def _answer(shared, tries: bool = False):
 
 
 def _answers(asked: list, tables: Contexts) -> tuple[list[bytes], bytes, bytes]:
-    """(answer to each chunk, trie of all training pairs, in how many of them each context is).
+    """(answer to each chunk, trie of all training pairs, in how many of them each numbered context is).
 
     All chunks' pairs are put in order once, and looked up in one pass over the trie.
     """
-    hashes = np.concatenate([np.repeat(h, p) for h, p, _, _ in asked])
-    contexts = np.concatenate([c for _, _, c, _ in asked]).astype(np.int64)
-    order = np.lexsort((contexts, hashes))
-    hashes, contexts = hashes[order], contexts[order]
-    new_word = np.append(True, hashes[1:] != hashes[:-1])
-    new = new_word | np.append(True, contexts[1:] != contexts[:-1])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    counts = np.bincount(place, np.concatenate([n for _, _, _, n in asked])).astype(np.int64)
-    hashes, contexts, new_word = hashes[new], contexts[new], new_word[new]
-    trained = counts > 0
-    trie_data = Trie.build(hashes[trained], contexts[trained], counts[trained], tables)
-    words = np.flatnonzero(new_word)
-    known, codes = Trie(trie_data).lookup(hashes[words], np.diff(np.append(words, len(hashes))), contexts)
-    word_of = np.cumsum(new_word) - 1
+    hashes = np.unique(np.concatenate([a[0] for a in asked]))
+    totals = np.zeros(len(hashes), np.int64)
+    keys, owned = [], []
+    for listed, own, words, pairs, contexts, _ in asked:
+        places = np.searchsorted(hashes, listed)
+        owned.append(places[own >= 0])
+        totals[owned[-1]] += own[own >= 0]
+        names = np.append(np.arange(_WIDTH), _WIDTH + places)
+        keys.append(np.repeat(names[words], pairs) << 32 | names[contexts])
+    keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([a[5] for a in asked]), len(keys)).astype(np.int64)
+    words, contexts, trained = keys >> 32, keys & _LOW, counts > 0
+    used = totals > 0
+    for part in (words[trained], contexts[trained]):
+        used[part[part >= _WIDTH] - _WIDTH] = True
+    kept = np.append(np.arange(_WIDTH), _WIDTH + np.cumsum(used) - 1)
+    trie_data = Trie.build(
+        hashes[used], totals[used], kept[words[trained]], kept[contexts[trained]], counts[trained], tables
+    )
+    trie = Trie(trie_data)
+    rare, n, kinds = trie.rare_words(hashes)
+    names = np.append(np.arange(_WIDTH), rare)
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    codes = trie.lookup(names[words[first]], np.diff(np.append(first, len(words))), names[contexts])
     answers, at = [], 0
-    for _, pairs, of_chunk, _ in asked:
-        mine = place[at : at + len(of_chunk)]
+    for mine, (_, _, _, _, of_chunk, _) in zip(owned, asked):
+        answers.append(_packed(n[mine], kinds[mine], codes[place[at : at + len(of_chunk)]]))
         at += len(of_chunk)
-        firsts = mine[np.cumsum(pairs) - pairs]
-        answers.append(_packed(known[word_of[firsts]], codes[mine]))
-    kinds, n = np.unique(contexts[trained], return_counts=True)
-    return answers, trie_data, _packed(kinds, n.astype(np.int64))
+    numbered, times = np.unique(contexts[trained & (contexts < _WIDTH)], return_counts=True)
+    return answers, trie_data, _packed(numbered, times.astype(np.int64))
 
 
 def _spread_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +436,15 @@ def _spread_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], names=["context", "n"])
 
 
+def _of_words(words: np.ndarray, numbered: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Of each word, what belongs to its number or to its place among the rare words."""
+    by_number = words < _WIDTH
+    out = np.empty(len(words))
+    out[by_number] = numbered[words[by_number]]
+    out[~by_number] = rare[words[~by_number] - _WIDTH]
+    return out
+
+
 def _finish(shared, freed, kind: str):
     """Scores of the texts of each chunk, from its tokens and the shards' answers in order."""
 
@@ -382,25 +458,23 @@ def _finish(shared, freed, kind: str):
             payloads = group.column("payload").to_pylist()
             chunk = Chunk.unpack(payloads[0])
             pairs = Pairs.of(chunk, tables)
-            answers = [_unpacked(p, np.int64, np.uint8) for p in payloads[1:]]
-            codes = np.concatenate([a[1] for a in answers])
-            # Counts of words come in the order of the shards; frequent words are in several.
-            first = np.append(True, (pairs.word[1:] != pairs.word[:-1]) | (pairs.shard[1:] != pairs.shard[:-1]))
-            counts = np.zeros(len(chunk.hashes), np.int64)
-            counts[pairs.word[first]] = np.concatenate([a[0] for a in answers])
-            numbers = tables.numbers(chunk.hashes)
-            frequent = numbers >= _FIRST
-            counts[frequent] = tables.counts[numbers[frequent] - _FIRST]
+            answers = [_unpacked(p, np.int64, np.int64, np.uint8) for p in payloads[1:]]
+            n, freed_here = np.zeros((2, len(pairs.own)), np.int64)
+            n[pairs.own] = np.concatenate([a[0] for a in answers])
+            freed_here[pairs.own] = np.concatenate([a[1] for a in answers])
+            codes = np.concatenate([a[2] for a in answers])
+            counts = _of_words(pairs.word, tables.totals, n)
             base = (counts + 1.0) / whole
-            likely = shares[codes] + loose[pairs.context] * base[pairs.word]
+            rare_loose = np.where(n > 0, DISCOUNT * freed_here / np.maximum(n, 1), 1.0)
+            likely = shares[codes] + _of_words(pairs.context, loose, rare_loose) * base
             begins = np.cumsum(chunk.lengths) - chunk.lengths
-            known = (counts > 0)[chunk.tokens]
+            known = (counts > 0)[pairs.of_token]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, kind), pa.array(~chunk.training), pa.array(chunk.lengths),
                     pa.array(np.add.reduceat(known.astype(np.int64), begins)),
                     pa.array(np.full(len(ids), tables.tokens, np.int64)),
-                    pa.array(np.add.reduceat(np.log10(base)[chunk.tokens], begins)),
+                    pa.array(np.add.reduceat(np.log10(base)[pairs.of_token], begins)),
                     pa.array(np.add.reduceat(np.log10(likely)[pairs.of_token], begins)),
                 ],
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -174,6 +174,39 @@ def test_language_model(spark, monkeypatch, contexts):
     assert sum(len(M.Trie(t).contexts) for t in data) == sum(1 for _ in set_of_pairs(texts, contexts))
 
 
+def scores_of(spark, texts):
+    docs = odd_rows.documents(spark, [t for _, t in texts], [i for i, _ in texts])
+    rows = M.scored(docs)[0].select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return {r.doc_id: tuple(r)[1:] for r in rows.collect()}
+
+
+def assert_scores(got, texts):
+    want = model_by_brute_force(texts, None)  # no limit: every word is a context
+    assert len(got) == len(want)
+    for (i, _), w in zip(texts, want):
+        assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:])
+
+
+def test_all_words_are_contexts_of_their_own(spark):
+    rng = random.Random(13)
+    # More words than are numbered, so that pairs of each kind occur; the last of them all equally rare.
+    vocabulary = [f"w{i}" for i in range(M.__dict__.get("FREQUENT", 65_534) + 3000)]
+    texts = [(i, " ".join(vocabulary[i::40])) for i in range(40)]
+    texts += [(40 + i, " ".join(rng.choices(vocabulary, k=3000)) + " new words only") for i in range(10)]
+    assert_scores(scores_of(spark, texts), texts)
+
+
+@pytest.mark.parametrize("frequent", [0, 1, 8])
+def test_numbered_words_change_no_score(spark, monkeypatch, frequent):
+    monkeypatch.setattr(M, "FREQUENT", frequent)
+    monkeypatch.setattr(M, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(M, "SHARD_TOKENS", 300)
+    rng = random.Random(4)
+    vocabulary = ["The", "the", "é", *map(str, range(60))]
+    texts = [(i, " ".join(rng.choices(vocabulary[: rng.choice([3, 63])], k=rng.randint(0, 60)))) for i in range(90)]
+    assert_scores(scores_of(spark, texts), texts)
+
+
 def set_of_pairs(texts, contexts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = [(t or "").translate(lower).split() + [None] for i, t in texts if M.crc32(i) % 7 != 2]
