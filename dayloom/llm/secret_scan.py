@@ -7,6 +7,11 @@ harmlessly named literal that ends up in `db_password` is found where it was
 written. A literal is reported where the most sensitive target that it reaches,
 weighed by how much the literal looks like a secret, passes a threshold.
 
+A run of three or more backticks is a mark, as at Markdown's fences. A backtick
+that is not closed on its line opens a string only where a value may stand; else
+it is a mark. What is inside backticks and triple quotes is lexed again for
+assignments of its own; a literal there may lie inside another that is reported.
+
 Offsets count code points, ends are exclusive. Null and empty texts have no
 spans. A literal inside a base span is not reported again; spans that begin at
 the same place are ordered as kinds are listed in `KINDS`.
@@ -66,7 +71,8 @@ def base_spans(text: str) -> list[Span]:
 
 _LEXEMES = re.compile(
     r"""
-    (?P<string>\"\"\"(?:\\.|[^\\])*?\"\"\" | '''(?:\\.|[^\\])*?''' |
+    (?P<fence>`{3,})
+    | (?P<string>\"\"\"(?:\\.|[^\\])*?\"\"\" | '''(?:\\.|[^\\])*?''' |
         "(?:\\.|[^"\\\n])*" | (?<!\w)'(?:\\.|[^'\\\n])*' | `(?:\\.|[^`\\])*`)
     | (?P<name>[^\W\d]\w*(?:[.-]\w+)*)
     | (?P<number>\d[\w.]*)
@@ -99,6 +105,29 @@ def _string_body(lexeme: Lexeme) -> Lexeme:
     return Lexeme("literal", lexeme.text[quote:-quote], lexeme.start + quote, lexeme.end - quote)
 
 
+def _lexemes(text: str) -> list[Lexeme]:
+    out: list[Lexeme] = []
+    at = 0
+    while True:
+        for m in _LEXEMES.finditer(text, at):
+            if m.lastgroup == "string" and m.group()[0] == "`" and _stray(text, m, out):
+                at = m.start() + 1
+                out.append(Lexeme("mark", "`", m.start(), at))
+                break
+            out.append(Lexeme(m.lastgroup, m.group(), *m.span()))
+        else:
+            return out
+
+
+def _stray(text: str, string: re.Match, before: list[Lexeme]) -> bool:
+    """Whether the first of two backticks is none that opens a string."""
+    body = string.group()[1:-1]
+    if body.rstrip(" \t")[-1:] in ("=", ":", "+") and text[string.end() : string.end() + 1].isalnum():
+        return True  # the second one opens a value
+    value = before and (before[-1].kind in ("assign", "plus") or before[-1].text in ("(", "[", "{", ","))
+    return "\n" in body and not value
+
+
 def assignments(text: str) -> list[Assignment]:
     """(target, operands) pairs in the order of the text.
 
@@ -106,9 +135,23 @@ def assignments(text: str) -> list[Assignment]:
     `"name": value`, `name => value`, `name: value`; a value is a chain of
     literals and names joined by `+`, or an unquoted run up to white space.
     """
-    lexemes = [Lexeme(m.lastgroup, m.group(), *m.span()) for m in _LEXEMES.finditer(text)]
+    return [pair for _, pair in sorted(_placed(text), key=lambda x: x[0])]
+
+
+def _placed(text: str) -> list[tuple[int, Assignment]]:
+    """(place of the sign, pair) of the text and of its strings in backticks and triple quotes."""
+    lexemes = _lexemes(text)
+    found = []
+    for lexeme in lexemes:
+        if lexeme.kind == "string" and (lexeme.text[0] == "`" or lexeme.text[:3] in ('"""', "'''")):
+            body = _string_body(lexeme)
+            if "=" not in body.text and ":" not in body.text:
+                continue
+            for place, (target, operands) in _placed(body.text):
+                moved = tuple(o._replace(start=o.start + body.start, end=o.end + body.start) for o in operands)
+                found.append((place + body.start, Assignment(target, moved)))
     lexemes.append(Lexeme("line", "\n", len(text), len(text)))
-    found, at = [], 0
+    at = 0
     while at + 1 < len(lexemes):
         at += 1
         sign, left = lexemes[at], lexemes[at - 1]
@@ -120,8 +163,8 @@ def assignments(text: str) -> list[Assignment]:
         if sign.text == ":" and lexemes[min(at + 2, len(lexemes) - 1)].text == "=":
             continue  # the type of an annotated name; its value follows
         if operands:
-            found.append(Assignment(_string_body(left).text if left.kind == "string" else left.text, operands))
-            at = value  # what a value holds is no assignment of its own
+            found.append((sign.start, Assignment(_string_body(left).text if left.kind == "string" else left.text, operands)))
+            at = value  # what a value holds is no assignment of this level
     return found
 
 

@@ -42,6 +42,23 @@ def test_constants_reach_sensitive_names():
     assert literals('{"privateKey": "mF9s8d7f6g5h"}') == ["mF9s8d7f6g5h"]
 
 
+def test_code_in_markdown_is_lexed():
+    code = 'k = "Zx9!qq-Lm2$Tt7"\ndb_pwd = k\n'
+    for text in (
+        f"Use it so:\n```\n{code}```\nand so on", f"```python\n{code}```\n", f"````\n{code}````", f"```\n{code}",
+        f"a stray ` mark\n{code}and one more ` here", f"note: ` stray\n{code}x ` y", f'doc = """\n{code}"""\n',
+        f"'''\n{code}'''", f"sql = `\n{code}`", f"one ` two\n```\n{code}```\n",
+    ):
+        assert literals(text) == ["Zx9!qq-Lm2$Tt7"], text
+        assert "Zx9!qq" not in S.redacted(text)
+    assert literals('write `db_pwd = "Zx9!qq-Lm2$Tt7"` there') == ["Zx9!qq-Lm2$Tt7"]
+    assert literals("a ` b\ndb_pwd = `Zx9!qq-Lm2$Tt7`\n") == ["Zx9!qq-Lm2$Tt7"]
+    assert literals("a ` b, db_pwd = `Zx9!qq-Lm2$Tt7`\n") == ["Zx9!qq-Lm2$Tt7"]
+    [(target, (part,))] = S.assignments("query = `select a\nfrom b`\n")
+    assert (target, part.text, part.start) == ("query", "select a\nfrom b", 9)
+    assert literals("```\ngreeting = `hello`\n```\n`name: x`") == []
+
+
 def test_harmless_literals_stay():
     for text in (
         'greeting = "hello there friend"', 'token_url = "https//example"', "auth: changeme", 'password = "${FROM_ENV}"',
