@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.tables import crc32, crc_of, per_row, rows_where, utf8
 
-# Labelled rows that the field is trained on, those of the lowest hashes; texts
-# of the sample with more lines are left out, not cut.
-SAMPLE_ROWS, SAMPLE_LINES = 4000, 500
+# Labelled rows that the field is trained on, those of the lowest hashes, and all
+# their lines together; the text that reaches this bound gives its first lines.
+SAMPLE_ROWS, SAMPLE_LINES = 4000, 400_000
+_WORD = r"[^ \t\n\x0B\f\r]"
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
 LIMIT = 0.7
 PART_BYTES = 2_000_000
@@ -160,31 +161,56 @@ def train(samples: list[tuple[np.ndarray, int]], rounds: int = 200, rate: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> LineField:
-    """The field from labelled rows outside the held-out fold; at most `SAMPLE_ROWS` of them."""
+    """The field from labelled rows outside the held-out fold; at most `SAMPLE_ROWS` of them, and `SAMPLE_LINES` lines."""
     key = F.col(id_column)
     usable = (
         labels.where(F.col("quality").isNotNull() & key.isNotNull() & (crc_of(key) % HELD_OUT_FOLDS != HELD_OUT))
         .groupBy(key.alias("id")).agg(F.min("quality").alias("quality"))
         .select("id", (F.col("quality") > 0).cast("int").alias("label"), F.xxhash64("id").alias("draw"))
     )
-    chosen = usable.orderBy("draw", "id").limit(SAMPLE_ROWS)  # bounded, and so small enough to broadcast
-    joined = docs.select(key.alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    worded = docs.select(key.alias("id"), F.col(text_column).alias("text")).where(F.col("text").rlike(_WORD))
+    # Bounded, and so small enough to broadcast.
+    chosen = usable.join(worded.select("id"), "id", "left_semi").orderBy("draw", "id").limit(SAMPLE_ROWS)
+    joined = worded.join(F.broadcast(chosen), "id").select("label", "draw", F.xxhash64("text").alias("mark"), "text")
+
+    def count():
+        return lambda text: [pa.array([sum(1 for line in raw.split(b"\n") if line.split()) for raw in utf8(text)], pa.int64())]
+
+    counted = (
+        per_row(joined, ["draw", "mark"], ["text"], count, "lines bigint").orderBy("draw", "mark").limit(SAMPLE_ROWS)
+        .collect()
+    )
+    limit: dict[tuple[int, int], int] = {}
+    rest, rows = SAMPLE_LINES, 0
+    for row in counted:
+        if rest <= 0:
+            break
+        place = (row.draw, row.mark)
+        limit[place] = max(limit.get(place, 0), min(row.lines, rest))
+        rest, rows = rest - row.lines, rows + 1
+    shared = docs.sparkSession.sparkContext.broadcast(limit)
 
     def compute():
-        def work(text):
-            rows = []
-            for raw in utf8(text):
-                features = line_features([raw])[0]
-                rows.append(features.tobytes() if 0 < len(features) <= SAMPLE_LINES else None)
-            return [pa.array(rows, pa.binary())]
+        limits = shared.value
+
+        def work(draw, mark, text):
+            out = []
+            for place, raw in zip(zip(draw.to_pylist(), mark.to_pylist()), utf8(text)):
+                out.append(line_features([raw])[0][: limits[place]].tobytes() if place in limits else None)
+            return [pa.array(out, pa.binary())]
 
         return work
 
     sampled = (
-        per_row(joined, ["label", "draw"], ["text"], compute, "features binary").where(F.col("features").isNotNull())
-        .orderBy("draw", "features").limit(SAMPLE_ROWS).collect()
+        per_row(joined, ["label", "draw", "mark"], ["draw", "mark", "text"], compute, "features binary")
+        .where(F.col("features").isNotNull()).orderBy("draw", "mark").limit(max(rows, 1)).collect()
     )
-    return train([(np.frombuffer(r.features).reshape(-1, FEATURES), r.label) for r in sampled])
+    samples, rest = [], SAMPLE_LINES
+    for row in sampled:
+        features = np.frombuffer(row.features).reshape(-1, FEATURES)[:rest]
+        rest -= len(features)
+        samples.append((features, row.label))
+    return train(samples)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

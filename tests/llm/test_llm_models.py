@@ -296,3 +296,22 @@ def test_classifier_on_odd_rows(spark):
     assert L.quality_scores(odd_rows.empty(spark), known).count() == 0
     kept = L.good_documents(docs, known)
     assert kept.schema == docs.schema and kept.count() <= 8
+
+
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    texts, marks = quality_corpus(60, 6)
+    long = [(t + "\n") * (600 // t.count("\n") if "\n" in t else 600) for t in texts]
+    learnt = []
+    train = L.train
+    monkeypatch.setattr(L, "train", lambda samples: learnt.append(samples) or train(samples, rounds=5))
+    known = odd_rows.labels(spark, [*enumerate(marks), *((i, 1) for i in range(1000, 1400))])
+    L.fit(odd_rows.documents(spark, long), known)
+    in_training = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learnt[-1]) == len(in_training) and all(len(f) > 500 for f, _ in learnt[-1])
+    # Labels without a document, or with an empty one, take no place in the sample.
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 20)
+    L.fit(odd_rows.documents(spark, [*long, *[" \n", None] * 30]), odd_rows.labels(spark, [*enumerate(marks), *((i, 1) for i in range(60, 1400))]))
+    assert len(learnt[-1]) == 20
+    monkeypatch.setattr(L, "SAMPLE_LINES", 1500)
+    L.fit(odd_rows.documents(spark, long), known)
+    assert sum(len(f) for f, _ in learnt[-1]) == 1500
