@@ -24,7 +24,8 @@ begin, and the contexts, all as monotone Elias-Fano sequences in one mapped
 buffer, and one byte for the quantised probability of each pair. It then answers
 the chunks' pairs, in order, by successor search: first for the word, then for the
 context among those of the word, with n and T of its rare words. Chunks put the
-answers together with what all texts share: N, V, and n and T of the numbered words.
+answers together with what all texts share: N, V, and n and T of the numbered words. A trie
+lives in the memory of the task that asks it; none is kept on disk.
 
 Probabilities in the trie have steps of 1/16 in log10. Null and empty texts hold
 the end token alone. With no training text at all, every count is 0. Ids may
@@ -484,7 +485,7 @@ def _finish(shared, freed, kind: str):
 
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row of scores for each document, the tries of all shards as (shard, trie))."""
+    """(one row of scores for each document, the tries of all shards as (shard, trie), built anew when asked for)."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     spark, id_type = docs.sparkSession, texts.schema["id"].dataType.simpleString()
     arrow_id = _arrow_type(texts)
