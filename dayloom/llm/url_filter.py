@@ -8,8 +8,9 @@ models' log-likelihoods per character, against a threshold calibrated on example
 that the models have not seen.
 
 Characters are read as one of a fixed set of symbols, so that counts, models and
-what is broadcast have one size whatever the data. Null URLs and those without
-`://` have an empty host and path; the models then see the end symbol alone.
+what is broadcast have one size whatever the data. The models see the whole URL
+behind its scheme, with query and fragment. Null URLs and those without `://` have
+an empty host and path; of the latter the models see the text as it is.
 Where examples of one kind are missing, everything that no rule decides is
 allowed.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dayloom.llm.tables import per_row, utf8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LETTERS = _LOWER + "0123456789" + "./-_~%"
+_LETTERS = _LOWER + "0123456789" + "./-_~%?#=&"
 # Symbols: 0 before the start, 1 at the end, 2 for any other character, then the letters.
 SYMBOLS = 3 + len(_LETTERS)
 ORDER = 3
@@ -190,13 +191,14 @@ def _threshold(bins: list[tuple[int, int, int]]) -> float:
 def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """One row for each page: host, path, the rule that decides or null, verdict, and the models' score."""
     url = F.coalesce(F.col(url_column), F.lit(""))
-    parts = pages.select(F.col(id_column).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    whole = F.when(F.instr(url, "://") > 0, _after_scheme(url)).otherwise(url).alias("text")
+    parts = pages.select(F.col(id_column).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), whole)
     by_rule = parts.withColumn("number", deciding_rule(F.col("host"), F.col("path"), rules))
     allows = F.array(*(F.lit(r.allow) for r in rules)) if rules else F.array().cast("array<boolean>")
     names = F.array(*(F.lit(r.text) for r in rules)) if rules else F.array().cast("array<string>")
     judged = by_rule.select(
         "id", "host", "path", F.get(names, F.col("number")).alias("rule"), F.get(allows, F.col("number")).alias("accepted"),
-        F.concat("host", "path").alias("text"),
+        "text",
     )
     shared = pages.sparkSession.sparkContext.broadcast(fit(judged))
 

@@ -91,6 +91,20 @@ def test_unseen_urls_are_judged_like_their_kind(spark):
     assert sum(rows[i].verdict == "block" for i in range(640, 680)) >= 36
 
 
+def test_query_fragment_and_urls_without_scheme_are_judged(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    rules = [U.Rule(True, "good.net", "/"), U.Rule(False, "bad.net", "/")]
+    urls = [f"http://{word()}.good.net/{word()}?read={word()}" for _ in range(300)]
+    urls += [f"http://{word()}.bad.net/{word()}#win-win-{word()}" for _ in range(300)]
+    urls += [f"http://{word()}.net/{word()}?read={word()}" for _ in range(40)] + [f"http://{word()}.net/{word()}#win-win-{word()}" for _ in range(40)]
+    urls += ["www.a.good.net/abc?read=abcde", "www.a.bad.net/abc#win-win-abcde"]
+    rows = {r.page_id: r for r in U.filter_urls(pages(spark, urls), rules).collect()}
+    assert sum(rows[i].verdict == "allow" for i in range(600, 640)) >= 38
+    assert sum(rows[i].verdict == "block" for i in range(640, 680)) >= 36
+    assert (rows[680].host, rows[681].host) == ("", "") and rows[680].score > rows[681].score
+
+
 def test_url_filter_without_examples(spark):
     assert U.filter_urls(pages(spark, []), URL_RULES).count() == 0
     rows = U.filter_urls(pages(spark, ["http://a.net/x", None, "y" * 50_000]), URL_RULES).collect()
