@@ -14,10 +14,12 @@ counts once; ids of documents may repeat or be null, each row is judged alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.tables import per_row, rows_where, settle, utf8
@@ -92,19 +94,38 @@ def search(searchers: list[WuManber], words: list[bytes]) -> tuple[np.ndarray |
     return hit, items
 
 
-def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterable[list]:
-    """The items as lists of (id, UTF-8 text) of bounded size, one at a time."""
-    chosen = items.select(
-        F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.col(text_column).cast("binary")
-    ).where(F.col(text_column).isNotNull())
-    block, size = [], 0
-    for item, text in chosen.toLocalIterator():
-        if block and size + len(text) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((item, bytes(text)))
-        size += len(text)
-    yield block
+def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Callable[[], list]]:
+    """Readers of lists of (id, UTF-8 text) of bounded size; Spark numbers the items and keeps them."""
+    limit = BLOCK_BYTES
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = size = 0
+        for batch in batches:
+            numbers = []
+            for n in pc.binary_length(batch.column("text")).to_pylist():
+                if size and size + n > limit:
+                    block, size = block + 1, 0
+                numbers.append(TaskContext.get().partitionId() << 32 | block)
+                size += n
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], names=["block", "item", "text"])
+
+    kept = settle(
+        items.where(F.col(text_column).isNotNull()).select(
+            F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("item"),
+            F.col(text_column).cast("binary").alias("text"),
+        ).mapInArrow(number, "block bigint, item string, text binary")
+    )
+    sizes = kept.groupBy("block").agg(F.sum(F.length("text")).alias("n")).orderBy("block").collect()
+    # Blocks of several tasks are sent together while they fit.
+    together, size = [], 0
+    for row in [*sizes, None]:
+        if row is None or together and size + row.n > limit:
+            chosen = kept.where(F.col("block").isin(together)) if together else kept.where(F.lit(False))
+            yield lambda chosen=chosen: [(r.item, bytes(r.text)) for r in chosen.select("item", "text").collect()]
+            together, size = [], 0
+        if row is not None:
+            together.append(row.block)
+            size += row.n
 
 
 def _passes(docs: DataFrame, keep: list[str], text_column: str, items: DataFrame) -> DataFrame:
@@ -113,7 +134,7 @@ def _passes(docs: DataFrame, keep: list[str], text_column: str, items: DataFrame
     block, following = next(blocks), next(blocks, None)
     first = True
     while True:
-        patterns = spark.sparkContext.broadcast(block)
+        patterns = spark.sparkContext.broadcast(block())
         reads = [text_column] if first else [text_column, "__hits", "__found"]
         last = following is None
 
@@ -174,9 +195,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows in which no window of any item occurs, with all their columns."""
-    rows, spark = docs, docs.sparkSession
+    rows, spark, patterns = docs, docs.sparkSession, None
     for block in item_blocks(items):
-        patterns = spark.sparkContext.broadcast(block)
+        if patterns is not None:
+            rows = settle(rows)
+            patterns.unpersist()
+        patterns = spark.sparkContext.broadcast(block())
 
         def verdict(patterns=patterns):
             searchers = machines(patterns.value)

@@ -57,6 +57,19 @@ def test_against_all_windows(spark, monkeypatch, block_bytes):
     assert got == {i: brute(t, items) for i, t in enumerate(texts)}
 
 
+def test_blocks_are_searched_for_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 40)
+    items, texts = sample(4, 60)
+    items = items[:6]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    clean = D.without_contaminated(odd_rows.documents(spark, texts), frame)
+    assert clean._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one stage in each form of the plan
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i, t in enumerate(texts) if not brute(t, items)[4]]
+    blocks = [block() for block in D.item_blocks(frame)]
+    assert sorted(i for block in blocks for i, _ in block) == [str(i) for i, _ in items] and len(blocks) > 1
+    assert all(len(block) == 1 or sum(len(t) for _, t in block) <= 40 for block in blocks)
+
+
 def test_odd_rows(spark):
     item = " ".join("abcdefghijkl")
     items = spark.createDataFrame([(None, None), (1, ""), (7, item), (7, item), (None, "word")], "item_id bigint, text string")
