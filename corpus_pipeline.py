@@ -45,7 +45,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", tokens),
 ]
 
-# No SQL: two stages are models. tests/llm/test_pipeline.py has a brute-force version.
+# No SQL: two stages are models. tests/llm/test_llm_queries.py has a plain version.
 ORACLE_SQL = None
 
 

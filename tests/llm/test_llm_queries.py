@@ -45,6 +45,20 @@ def test_pipeline_against_a_plain_version(spark):
     assert all(r.lossless for r in rows)
 
 
+def test_secret_stage_against_written_out_texts(spark):
+    prose = "A line of plain words.\n" * 2000
+    want = {
+        'Run:\n```\nk = "Zx9!qq-Lm2$Tt7"\ndb_pwd = k\n```\nend': 'Run:\n```\nk = "[secret]"\ndb_pwd = k\n```\nend',
+        'a = "p!4$5^7"\nb = a + "x?9#"\nclient_secret: str = b\n': 'a = "[secret]"\nb = a + "[secret]"\nclient_secret: str = b\n',
+        "a ` here\ndb_pwd = 'qwe!rty98765'\nand ` there": "a ` here\ndb_pwd = '[secret]'\nand ` there",
+        prose + "passphrase = 'qwe!rty98765'": prose + "passphrase = '[secret]'",
+        "```\nx = 1\n```\n" + prose: "```\nx = 1\n```\n" + prose,
+    }
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(want)], "doc_id bigint, text string, n_chars int")
+    rows = sorted(dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, SF).collect())
+    assert [(r.text, r.n_chars) for r in rows] == [(t, len(t)) for t in want.values()]
+
+
 def test_stages_keep_all_columns(spark):
     docs = spark.createDataFrame(
         [(i, t, "en", 5, "s", 0.5) for i, t in enumerate(["One line here.", None, "", "token = abcdefgh1"])],
