@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import (
     decontaminate, jaccard_join, line_crf, lm_scores, pii, quality_rules, secret_scan, sentencepiece_viterbi,
-    token_counts, url_filter,
+    simhash_dedup, token_counts, url_filter,
 )
 from dayloom.llm.tables import table
 
@@ -221,3 +221,8 @@ def op9(spark, sf_dir):
 @_query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return line_crf.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@_query("op13_simhash_dedup")
+def op13(spark, sf_dir):
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir))
