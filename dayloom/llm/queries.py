@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import (
-    decontaminate, jaccard_join, line_crf, lm_scores, pii, quality_rules, secret_scan, sentencepiece_viterbi,
-    simhash_dedup, token_counts, url_filter,
+    decontaminate, jaccard_join, line_crf, lm_scores, pii, quality_rules, ranked_search, secret_scan,
+    sentencepiece_viterbi, simhash_dedup, token_counts, url_filter,
 )
 from dayloom.llm.tables import table
 
@@ -223,6 +223,38 @@ def op10(spark, sf_dir):
     return line_crf.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+@_query(
+    "op12_ranked_search",
+    rf"""
+with fold as (
+    select doc_id as id, 0 as kind, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents
+    union all
+    select item_id, 1, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') from benchmark
+),
+words as (select id, kind, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from fold),
+counted as (select id, kind, term, count(*) as n from words group by id, kind, term),
+lengths as (select id, sum(n)::bigint as n from counted where kind = 0 group by id),
+corpus as (select count(*) as documents, sum(n)::bigint as terms from lengths),
+weights as (
+    select term, floor(1000 * ln((2 * documents + 2) / (2 * holding + 1)))::bigint as w
+    from (select term, count(*) as holding from counted where kind = 0 group by term), corpus
+),
+scores as (
+    select q.id as item_id, d.id as doc_id,
+        sum(q.n * w * ((1000000000 * d.n) // (1000 * d.n + 8 * (25 + (75 * l.n * documents) // terms))))::bigint as score
+    from counted q join weights using (term) join counted d using (term) join lengths l on l.id = d.id, corpus
+    where q.kind = 1 and d.kind = 0 group by q.id, d.id
+),
+ranked as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+""",
+)
+def op12(spark, sf_dir):
+    return ranked_search.best(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @_query("op13_simhash_dedup")
 def op13(spark, sf_dir):
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
