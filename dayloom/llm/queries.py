@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import (
-    decontaminate, jaccard_join, line_crf, lm_scores, pii, quality_rules, ranked_search, secret_scan,
+    decontaminate, jaccard_join, line_crf, lm_scores, pii, prefix_trie, quality_rules, ranked_search, secret_scan,
     sentencepiece_viterbi, simhash_dedup, token_counts, url_filter,
 )
 from dayloom.llm.tables import table
@@ -223,6 +223,57 @@ def op10(spark, sf_dir):
     return line_crf.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+# crc32 of the ASCII digits of c, bit by bit; the constant is the reversed polynomial.
+_CRC = """xor(list_reduce(list_transform(string_split(c::varchar, ''), lambda d: ascii(d)::ubigint),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: 0::ubigint)),
+        lambda b, i: xor(b >> 1, (b & 1) * 3988292384::ubigint)), 4294967295::ubigint), 4294967295::ubigint)"""
+
+
+@_query(
+    "op11_prefix_trie",
+    rf"""
+with turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos
+    from conversations where conv_id is not null
+),
+convs as (select c, c - c % 20 as family, {_CRC} % 4 as h from (select distinct conv_id as c from turns)),
+rebuilt as (
+    select c, 0 as part, pos, role, text from convs join turns on conv_id = family and pos < h
+    union all
+    select c, 1, pos, role, text from convs join turns on conv_id = c and pos >= h
+),
+steps as (
+    select c, row_number() over w as depth, md5(length(role) || ':' || role || text) as turn,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+    from rebuilt window w as (partition by c order by part, pos)
+),
+paths as (
+    select c, depth, words, string_agg(turn, '') over (partition by c order by depth) as path from steps
+    union all
+    select c, 0, 0, '' from convs
+),
+deepest as (select c, max(depth) as depth from paths group by c),
+nodes as (
+    select path, p.depth, min(p.c) as low, count(*) as n, any_value(words) as words,
+        string_agg(p.c::varchar, ',' order by p.c) filter (p.depth = d.depth) as ends
+    from paths p join deepest d on p.c = d.c group by path, p.depth
+),
+kids as (select left(path, -32) as path, count(*) as n from nodes where depth > 0 group by all),
+known as (select n.*, coalesce(k.n, 0) as kids from nodes n left join kids k using (path)),
+sums as (
+    select left(path, 32 * up) as path, count(*) filter (kids = 0) as leaves, sum((n - 1) * words) as saved
+    from (select path, kids, n, words, unnest(range(0, depth + 1)) as up from known) group by all
+)
+select n.low as conv_id, n.depth::bigint as depth, p.low as parent_conv_id, n.n as n_convs, n.kids as n_children,
+    s.leaves as n_leaves, s.saved::bigint as saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from known n join sums s on n.path = s.path left join known p on n.depth > 0 and p.path = left(n.path, -32)
+""",
+)
+def op11(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 @_query(
     "op12_ranked_search",
     rf"""
