@@ -9,8 +9,10 @@ not cancel, and merge exactly:
 
     C = sum(C_b) + sum(n_b (mx_b - mx)(my_b - my))
 
-Packed rows are merged in two steps, first within parts of the tasks, so that a
-single group does not gather the rows of all tasks in one place.
+Packed rows are merged as a tree with an exchange below each level: first the rows of
+the tasks of one part, in as many places as there are parts, then one row for each
+part and group. So the rows of all tasks meet in one place for no group, not even
+where there is only one; a million tasks send a thousand rows to each part.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Numbers one task holds before it hands them on, and parts its tasks fall into.
 _OPEN_NUMBERS = 2_000_000
-_PARTS = 256
+_PARTS = 1024
 
 PAIR = ("i", "j")
 MOMENTS = ("n", "mean_i", "mean_j", "ss_i", "ss_j", "cp")
@@ -157,7 +159,7 @@ def _partials_by_block(df: DataFrame, columns: Sequence[str], keys: Sequence[str
 
 
 def _merged(partials: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
-    """Pair rows (keys, i, j, moments) from packed rows, in two steps."""
+    """Pair rows (keys, i, j, moments) from packed rows, by parts and then whole."""
     keys = list(keys)
     key_types = {f.name: f.dataType.simpleString() for f in partials.schema.fields}
     key_schema = "".join(f"`{k}` {key_types[k]}, " for k in keys)
@@ -204,7 +206,8 @@ def _merged(partials: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
 
     packed = key_schema + "_part int, _rows boolean, _numbers array<double>"
     in_parts = partials.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part").mapInPandas(combine, packed)
-    whole = in_parts.repartition(*keys) if keys else in_parts.coalesce(1)
+    # Not coalesce: without an exchange here, one task would do the parts' work too.
+    whole = in_parts.repartition(*keys) if keys else in_parts.repartition(1)
     return whole.sortWithinPartitions(*keys, "_part").mapInPandas(unpack, key_schema + _MOMENT_SCHEMA)
 
 

@@ -7,15 +7,17 @@ only a small solve per group, done for whole Arrow batches of groups at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dayloom.functions.distributions import f_pvalue
 from dayloom.functions.scalar import round_even, significance_label
 from dayloom.operators.calendar import ERA_CUT, ERA_LABELS, era_label
-from dayloom.operators.comoments import comoments, merge_comoments, scatter_matrices
+from dayloom.operators.comoments import MOMENTS, PAIR, comoments, merge_comoments, scatter_matrices
 from dayloom.operators.least_squares import Residuals, stacked
 
 def _fit_udf(order: int):
@@ -58,9 +60,13 @@ def chow_test(
     comes from the segments' co-moments, not from another pass; its rows have no
     segment.
     """
-    order, k = len(x) + 1, len(x) + 1
-    group = [*keys, segment]
-    by_segment = comoments(df.filter(F.col(segment).isin(list(labels))), [*x, y], group, complete_rows=True)
+    rows = df.filter(F.col(segment).isin(list(labels)))
+    return _compared(comoments(rows, [*x, y], [*keys, segment], complete_rows=True), segment, labels, keys, len(x) + 1)
+
+
+def _compared(by_segment: DataFrame, segment: str, labels: Sequence[str], keys: Sequence[str], k: int) -> DataFrame:
+    """The test from co-moments of [*x, y], of one row or more for each segment and pair; k = len(x) + 1."""
+    group, order = [*keys, segment], k
     pooled = F.lit(None).cast(by_segment.schema[segment].dataType)
     both = by_segment.withColumn(segment, F.explode(F.array(F.col(segment), pooled)))
     fits = _fitted(merge_comoments(both, group), group, order)
@@ -110,16 +116,37 @@ def chow_rotation(
 ) -> DataFrame:
     """One break test per collinear candidate added to the control set.
 
-    Each row is offered to every model, so all models share one pass and each
-    deletes only the rows incomplete in its own columns.
+    All models share one pass: co-moments of all columns are taken for each
+    pattern of missing candidates, and a model adds up those of the patterns in
+    which its candidate is there. So each model deletes only the rows incomplete in
+    its own columns, and no row is repeated, however many candidates there are.
     """
-    offers = F.array(
-        *[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("_candidate")) for c in candidates]
+    segment, last = "era", len(controls) + len(candidates)
+    missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in candidates]
+    pattern = F.concat(F.lit(""), *[F.when(m, "1").otherwise("0") for m in missing])
+    filled = [F.when(m, 0.0).otherwise(F.col(c).cast("double")).alias(c) for m, c in zip(missing, candidates)]
+    rows = df.dropna(how="any", subset=[y, *controls]).select(
+        *keys, era_label(day, cut, labels).alias(segment), pattern.alias("_pattern"), *controls, *filled, y
+    )
+    moments = comoments(
+        rows.filter(F.col(segment).isin(list(labels))), [*controls, *candidates, y], [*keys, segment, "_pattern"]
+    )
+    models = F.array(
+        *[F.struct(F.lit(c).alias("model"), F.lit(at).alias("at")) for at, c in enumerate(candidates, len(controls))]
     )
-    rows = df.select(*keys, day, y, *controls, F.explode(offers).alias("_o")).select(
-        *keys, day, y, *controls, "_o.model", "_o._candidate"
+
+    def in_model(m: Column) -> Column:
+        there = F.col("_pattern").substr(m["at"] - len(controls) + 1, F.lit(1)) == "0"
+        return reduce(and_, ((F.col(p) < len(controls)) | F.col(p).isin(m["at"], last) for p in PAIR), there)
+
+    def place(p: str) -> Column:
+        """Position in [*controls, candidate, y]."""
+        return F.when(F.col(p) < len(controls), F.col(p)).when(F.col(p) == last, len(controls) + 1).otherwise(len(controls))
+
+    by_model = moments.withColumn("_m", F.explode(F.filter(models, in_model))).select(
+        *keys, segment, "_m.model", *[place(p).cast("int").alias(p) for p in PAIR], *MOMENTS
     )
-    return chow_by_day(rows, y, [*controls, "_candidate"], day, cut, labels, [*keys, "model"])
+    return _compared(by_model, segment, labels, [*keys, "model"], len(controls) + 2)
 
 
 def _vif_udf(order: int):

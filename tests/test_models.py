@@ -73,6 +73,26 @@ def test_comoments_do_not_depend_on_partitions(wide_df):
     assert_close(one, many, 1e-8)
 
 
+def test_comoments_merge_as_a_tree(wide_df):
+    """Between the merge by parts and the last one there is an exchange; nothing is coalesced into one task."""
+    plan = comoments.comoments(wide_df, ["a", "b"])._jdf.queryExecution().sparkPlan().toString()
+    steps = [line.strip(" +-:*") for line in plan.splitlines()]
+    kinds = [next((k for k in ("MapInPandas unpack", "MapInPandas combine", "Exchange", "Coalesce") if line.startswith(k)), "") for line in steps]
+    kinds = [k for k in kinds if k]
+    assert kinds[:4] == ["MapInPandas unpack", "Exchange", "MapInPandas combine", "Exchange"] and "Coalesce" not in kinds
+
+
+@pytest.mark.parametrize("parts", [1, 2, 1024])
+def test_comoments_do_not_depend_on_parts(spark, monkeypatch, parts):
+    monkeypatch.setattr(comoments, "_PARTS", parts)
+    rows = spark.range(0, 3000, 1, 24).select((F.col("id") * 1.5).alias("a"), (1e6 - F.col("id") % 7).alias("b"))
+    got = {(r.i, r.j): r for r in comoments.comoments(rows, ["a", "b"]).collect()}
+    a, b = np.arange(3000) * 1.5, 1e6 - np.arange(3000) % 7
+    assert len(got) == 3 and got[0, 1].n == 3000
+    assert got[0, 1].cp == pytest.approx(((a - a.mean()) * (b - b.mean())).sum(), rel=1e-7)
+    assert got[1, 1].ss_i == pytest.approx(((b - b.mean()) ** 2).sum(), rel=1e-9)
+
+
 def test_correlation_by_era(wide, wide_df):
     got = correlation.correlation_by_era(wide_df, ["a", "d"], "day").toPandas()
     cut = pd.Timestamp("2020-03-11").date()
@@ -120,6 +140,25 @@ def test_chow_and_rotation(wide, wide_df):
     assert got["a"]["conclusion"] == "structural break"
 
 
+def test_rotation_equals_one_test_for_each_candidate(wide_df):
+    """Also with a candidate that is never there, one that is NaN in places, and several series."""
+    keyed = wide_df.withColumn("k", F.when(F.dayofmonth("day") % 2 == 0, "even").otherwise("odd")).withColumns(
+        {"none": F.lit(None).cast("double"), "nan": F.when(F.col("b") > 1005, float("nan")).otherwise(F.col("b"))}
+    )
+    many = regression.chow_rotation(keyed, "y", ["d"], ["a", "b", "c", "none", "nan"], "day", keys=["k"]).collect()
+    assert sorted((r.k, r.model) for r in many) == [(k, m) for k in ("even", "odd") for m in ("a", "b", "c", "nan")]
+    for r in many:
+        alone = regression.chow_by_day(keyed, "y", ["d", r.model], "day", keys=["k"]).where(F.col("k") == r.k).first()
+        assert (r.n_1, r.n_2) == (alone.n_1, alone.n_2)
+        assert r.f_stat == pytest.approx(alone.f_stat, rel=1e-7) and r.ssr_pooled == pytest.approx(alone.ssr_pooled, rel=1e-9)
+
+
+def test_rotation_repeats_no_rows(wide_df):
+    plan = regression.chow_rotation(wide_df, "y", ["d"], ["a", "b", "c"], "day")._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("reduce_batches"):]
+    assert "Generate" not in below and plan.count("reduce_batches") == 1
+
+
 def test_vif(wide, wide_df):
     got = {r["variable"]: r["vif"] for r in regression.vif(wide_df, ["a", "b", "c", "d"], digits=8).collect()}
     inverse = np.linalg.inv(wide[list("abcd")].dropna().corr().to_numpy())
