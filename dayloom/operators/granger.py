@@ -12,7 +12,7 @@ from dayloom.functions.distributions import with_f_pvalue
 from dayloom.functions.scalar import round_even, significance_label
 from dayloom.operators.calendar import ERA_CUT, ERA_LABELS, assign_era
 from dayloom.operators.clean import order_by
-from dayloom.operators.lagged import lagged_products, past, unpack, with_predecessors
+from dayloom.operators.lagged import fixed, lagged_products, past, unpack, with_predecessors
 from dayloom.operators.least_squares import Residuals
 
 CAUSES = "causality"
@@ -84,7 +84,7 @@ def granger_test(
 ) -> DataFrame:
     """SSR F test for every lag 1..max_lag: (keys, lag, n, f_stat, df1, df2,
     p_value, problem). Rows incomplete in (y, x) are deleted first."""
-    products = lagged_products(df, keys, order, [y, x], _design(max_lag), max_lag, max_lag, long)
+    products = lagged_products(df, keys, order, [y, x], _design, fixed(max_lag), long=long)
     tried = F.explode(F.sequence(F.lit(1), F.lit(max_lag)))
     solved = products.withColumn("lag", tried).withColumn("_s", _solve_udf(max_lag)("n", "lag", "body", "heads"))
     tests = solved.select(

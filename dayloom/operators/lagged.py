@@ -9,6 +9,7 @@ follows. One row per series (or block of a long series) leaves a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -22,13 +23,27 @@ from dayloom.operators.long_series import (
     ROWS_PER_BLOCK,
     blocks_with_halo,
     bounded_windows,
+    indexed,
     is_day_grain,
-    row_index,
+    range_pieces,
 )
 from dayloom.operators.windows import Series
 
-# values: (rows, columns) in order -> (design rows, predecessors of the first one)
-Design = Callable[[np.ndarray, int], tuple[np.ndarray, int]]
+# lags -> (values: (rows, columns) in order, rows of halo) -> (design rows, predecessors of the first one)
+Design = Callable[[int], Callable[[np.ndarray, int], tuple[np.ndarray, int]]]
+
+
+@dataclass(frozen=True)
+class LagLimit:
+    """Lags that follow from the number of rows of a series: in a task, and at most that many as a column."""
+
+    of: Callable[[int], int]
+    column: Callable[[Column], Column]
+
+
+def fixed(lags: int) -> LagLimit:
+    return LagLimit(lambda n: lags, lambda n: F.lit(lags))
+
 
 # Matrices one group adds up, and the levels of such groups before the last:
 # enough for 2^24 blocks of a series.
@@ -78,17 +93,19 @@ def lagged_products(
     order: Sequence[str],
     columns: Sequence[str],
     design: Design,
-    lags: int,
-    reach: int,
+    limit: LagLimit,
+    further: int = 0,
     long: bool | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """One row per series: n, low, high (of the last column), `body` (the matrix
-    of the rows with all lags, flattened) and `heads` (the first design rows).
-
-    With `long`, series are cut into blocks of `rows_per_block` rows with
-    `reach` rows of halo; otherwise a series is one group, which a daily
-    calendar bounds. Unless told, rows ordered by days alone count as short.
+    """One row per series: n, low, high (of the last column), `lags`, `body` (the
+    matrix of the rows with all lags, flattened) and `heads` (the first design rows).
+
+    The lags of a series follow from its own length, which its group has in hand,
+    so that the input is evaluated once. With `long`, series are cut into blocks of
+    `rows_per_block` rows with a halo of the lags and `further` rows; the lengths
+    then come from the checkpointed pieces. Otherwise a series is one group, which a
+    daily calendar bounds. Unless told, rows ordered by days alone count as short.
     Values are centred per series: the designs hold a constant.
     """
     if long is None:
@@ -96,7 +113,7 @@ def lagged_products(
     if not keys:
         single = df.withColumn("_all_rows", F.lit(0))
         return lagged_products(
-            single, ["_all_rows"], order, columns, design, lags, reach, long, rows_per_block
+            single, ["_all_rows"], order, columns, design, limit, further, long, rows_per_block
         ).drop("_all_rows")
     keys, order, columns = list(keys), list(order), list(columns)
     rows = df.select(*keys, *order, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(
@@ -104,16 +121,17 @@ def lagged_products(
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_schema = "".join(f"`{k}` {types[k]}, " for k in keys)
-    schema = key_schema + "n long, low double, high double, body array<double>, heads array<double>"
+    schema = key_schema + "n long, low double, high double, lags int, body array<double>, heads array<double>"
 
     def values_of(table: pa.Table, by: str) -> tuple[np.ndarray, np.ndarray]:
         sequence = np.argsort(table[by].to_numpy(), kind="stable")
         return np.column_stack([table[c].to_numpy() for c in columns])[sequence], sequence
 
-    def row(key: tuple, values: np.ndarray, body: np.ndarray, heads: np.ndarray | None, **more) -> pa.Table:
+    def row(key: tuple, values: np.ndarray, lags: int, body: np.ndarray, heads: np.ndarray | None, **more) -> pa.Table:
         last = values[:, -1]
         cells = {k: pa.array([held.as_py()], held.type) for k, held in zip(keys, key)}
         cells |= {"n": [len(values)], "low": [float(last.min())], "high": [float(last.max())]}
+        cells |= {"lags": pa.array([lags], pa.int32())}
         doubles = pa.list_(pa.float64())
         cells |= {"body": pa.array([body], doubles), "heads": pa.array([heads], doubles)}
         return pa.table(cells | more)
@@ -127,25 +145,32 @@ def lagged_products(
             values, sequence = values_of(table, by)
             if (np.diff(table[by].to_numpy()[sequence]) == 0).any():
                 raise ValueError(f"more than one row for a day of series {[k.as_py() for k in key]}")
-            design_rows, first = design(values - values.mean(0), 0)
-            return row(key, values, *_summary(design_rows, first, lags))
+            lags = limit.of(len(values))
+            design_rows, first = design(lags)(values - values.mean(0), 0)
+            return row(key, values, lags, *_summary(design_rows, first, lags))
 
         return rows.select(*keys, in_order.alias(by), *columns).groupBy(*keys).applyInArrow(whole, schema)
 
     spark = df.sparkSession
-    means = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    indexed = row_index(rows, keys, order, "_index")
-    centred = indexed.join(means, keys).withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns})
-    blocks = blocks_with_halo(centred.select(*keys, "_index", *columns), "_index", reach, max(rows_per_block, reach))
+    pieces = range_pieces(rows, keys, order)
+    known = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    placed = indexed(pieces, keys, "_index").join(known, keys)
+    centred = placed.withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns})
+    # One row more than the limit, should a power in the JVM round the other way.
+    reach = limit.column(F.col("_n")) + (further + 1)
+    blocks = blocks_with_halo(
+        centred.select(*keys, "_index", "_n", *columns), "_index", reach, F.greatest(F.lit(rows_per_block), reach)
+    )
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         values, sequence = values_of(table, "_index")
         halo = int(table["_halo"].to_numpy()[sequence].sum())
         part = {"_part": [key[-1].as_py() // _COMBINE_FANIN]}
+        lags = limit.of(table["_n"][0].as_py())
         if halo == len(values):  # the series ended with the block before
-            return row(key[:-1], values, np.zeros(0), None, **part).slice(0, 0)
-        design_rows, first = design(values, halo)
-        return row(key[:-1], values[halo:], *_summary(design_rows, first, lags), **part)
+            return row(key[:-1], values, lags, np.zeros(0), None, **part).slice(0, 0)
+        design_rows, first = design(lags)(values, halo)
+        return row(key[:-1], values[halo:], lags, *_summary(design_rows, first, lags), **part)
 
     # An explicit count keeps adaptive execution from merging blocks by their
     # few bytes: the work per byte is high here.
@@ -170,10 +195,11 @@ def _combined(parts: DataFrame, group: Sequence[str]) -> DataFrame:
             F.sum("n").alias("n"),
             F.min("low").alias("low"),
             F.max("high").alias("high"),
+            F.max("lags").alias("lags"),
             F.collect_list("body").alias("_all"),
             F.max("heads").alias("heads"),
         )
-        .select(*group, "n", "low", "high", total.alias("body"), "heads")
+        .select(*group, "n", "low", "high", "lags", total.alias("body"), "heads")
     )
 
 

@@ -84,13 +84,17 @@ def row_index(
     return indexed(range_pieces(df, keys, order, pieces), keys, out).drop("_piece", "_at")
 
 
-def blocks_with_halo(df: DataFrame, index: str, reach: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def blocks_with_halo(
+    df: DataFrame, index: str, reach: int | Column, rows_per_block: int | Column = ROWS_PER_BLOCK
+) -> DataFrame:
     """Cut an indexed series into blocks of equal length. Each block also gets
-    the `reach` rows before it, marked `_halo`."""
-    if reach > rows_per_block:
+    the `reach` rows before it, marked `_halo`. Both may differ between series;
+    as columns they are the caller's to keep in order."""
+    if isinstance(reach, int) and isinstance(rows_per_block, int) and reach > rows_per_block:
         raise ValueError("a block must be at least as long as the frame reaches back")
-    home = F.floor(F.col(index) / F.lit(rows_per_block)).cast("long")
-    near_end = F.pmod(F.col(index), F.lit(rows_per_block)) >= rows_per_block - reach
+    length = rows_per_block if isinstance(rows_per_block, Column) else F.lit(rows_per_block)
+    home = F.floor(F.col(index) / length).cast("long")
+    near_end = F.pmod(F.col(index), length) >= length - reach
     copies = F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))
     return (
         df.withColumn("_home", home)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from dayloom.functions.distributions import with_mackinnon_pvalue
 from dayloom.functions.scalar import nonfinite_to_null, round_even, significance_label
 from dayloom.operators.clean import numeric_columns, order_by
-from dayloom.operators.lagged import lagged_products, past, unpack, with_predecessors
+from dayloom.operators.lagged import LagLimit, lagged_products, past, unpack, with_predecessors
 from dayloom.operators.least_squares import Residuals
 from dayloom.operators.profile import melt
 
@@ -75,19 +75,30 @@ def _solve(n: np.ndarray, body: np.ndarray, heads: np.ndarray, lags: int) -> tup
     return np.where(np.isfinite(statistic), statistic, np.nan), chosen, used
 
 
-def _solve_udf(lags: int):
-    width = lags + 3
-
+def _solve_udf():
     @F.pandas_udf("statistic double, used_lag int, n_obs long")
-    def solve(n: pd.Series, body: pd.Series, heads: pd.Series) -> pd.DataFrame:
-        body, heads = unpack(body, heads, width, lags)
-        statistic, lag, used = _solve(n.to_numpy(), body, heads, lags)
-        out = pd.DataFrame({"statistic": statistic, "used_lag": lag.astype("int32"), "n_obs": used})
+    def solve(n: pd.Series, lags: pd.Series, body: pd.Series, heads: pd.Series) -> pd.DataFrame:
+        """Series of the same lag limit are solved together."""
+        statistic = np.full(len(n), np.nan)
+        used_lag, n_obs = np.zeros(len(n), "int32"), np.zeros(len(n), "int64")
+        rows, limits = n.to_numpy(), lags.to_numpy()
+        for one in np.unique(limits).tolist():
+            at = np.flatnonzero(limits == one)
+            matrices = unpack(body.iloc[at], heads.iloc[at], one + 3, one)
+            statistic[at], used_lag[at], n_obs[at] = _solve(rows[at], *matrices, one)
+        out = pd.DataFrame({"statistic": statistic, "used_lag": used_lag, "n_obs": n_obs})
         return out.assign(statistic=out["statistic"].astype(object).where(out["statistic"].notna(), None))
 
     return solve
 
 
+# The longest lag tried, from the number of rows of a series.
+LIMIT = LagLimit(
+    lambda n: max(1, ceil(12.0 * (max(n, MIN_ROWS) / 100.0) ** 0.25)),
+    lambda n: F.ceil(F.pow(F.greatest(n, F.lit(MIN_ROWS)) / 100.0, F.lit(0.25)) * 12.0).cast("int"),
+)
+
+
 def adf_test(
     df: DataFrame,
     keys: Sequence[str],
@@ -98,15 +109,13 @@ def adf_test(
     """Unit-root statistic of each series: (keys, n, statistic, p_value,
     used_lag, n_obs, problem).
 
-    The longest lag tried follows from the rows of the longest series, which one
-    counting job finds.
+    The longest lag tried follows from the rows of each series.
     """
     rows = df.select(*keys, *order, nonfinite_to_null(F.col(value).cast("double")).alias(value)).dropna(subset=[value])
-    longest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    lags = max(1, ceil(12.0 * (max(int(longest or 0), MIN_ROWS) / 100.0) ** 0.25))
-    products = lagged_products(rows, keys, order, [value], _design(lags), lags, lags + 1, long)
+    # The difference of the first row of a block needs a row before the lags.
+    products = lagged_products(rows, keys, order, [value], _design, LIMIT, 1, long)
     problem = F.when(F.col("n") < MIN_ROWS, INSUFFICIENT).when(F.col("low") == F.col("high"), CONSTANT)
-    judged = products.withColumn("problem", problem).withColumn("_s", _solve_udf(lags)("n", "body", "heads"))
+    judged = products.withColumn("problem", problem).withColumn("_s", _solve_udf()("n", "lags", "body", "heads"))
     sound = F.col("problem").isNull()
     return with_mackinnon_pvalue(
         judged.select(

@@ -244,6 +244,27 @@ def test_adf_in_small_blocks(spark, series, monkeypatch):
         assert got[name] == pytest.approx(adf_by_hand(x)[0], rel=1e-7), name
 
 
+def test_building_the_unit_root_test_runs_no_job(spark, series):
+    """The lag limit of a series is found where its rows are."""
+    df, context = tall_series(spark, series), spark.sparkContext
+    context.setJobGroup("unit root", "")
+    tests = unit_root.adf_test(df, ["series"], ["day"], "x")
+    context.setJobGroup("other", "")
+    assert list(context.statusTracker().getJobIdsForGroup("unit root")) == [] and tests.count() == len(series)
+
+
+def test_series_of_other_lengths_change_nothing(spark, series):
+    """Each series has lags and halo of its own, also next to a much longer one."""
+    rng = np.random.default_rng(4)
+    more = {**series, "long": np.cumsum(rng.normal(size=40_000))}
+    seconds = [(k, i, float(v)) for k, x in more.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(pd.DataFrame(seconds, columns=["series", "at", "x"]))
+    got = {r["series"]: r for r in unit_root.adf_test(df, ["series"], ["at"], "x").collect()}
+    for name, x in series.items():
+        assert got[name]["statistic"] == pytest.approx(adf_by_hand(x)[0], rel=1e-6), name
+    assert got["long"]["n_obs"] + got["long"]["used_lag"] + 1 == 40_000
+
+
 def test_adf_report_rows(spark, series):
     n = 60
     pdf = pd.DataFrame({"day": pd.date_range("2020-01-01", periods=n).date, "noise": series["noise"][:n], "flat": 3.0, "short": np.nan, "never": np.nan})
