@@ -15,7 +15,6 @@ from dayloom.operators import unit_root
 from dayloom.operators.windows import Series
 
 BY_DAY = Series(["series"], ["day"])
-CALENDAR_DAYS = 2405
 
 # Profiling
 
@@ -273,7 +272,7 @@ _ADF = f"with {FILLED}, src as (select series, day, value as x from ff), {adf('u
     _ADF + f"select series, n, used_lag, n_obs, {r('statistic', 5)} as statistic, {r(tau_tail('statistic'))} as p_value from u",
 )
 def adf_test(spark, sf):
-    out = unit_root.adf_test(filled(spark, sf), ["series"], ["day"], "value", CALENDAR_DAYS)
+    out = unit_root.adf_test(filled(spark, sf), ["series"], ["day"], "value")
     out = rounded(rounded(out, "statistic", digits=5), "p_value")
     return out.select("series", "n", "used_lag", "n_obs", "statistic", "p_value")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from dayloom.functions.scalar import round_even
 from dayloom.operators.clean import limit_head, numeric_columns
 from dayloom.operators.long_series import exact_quantiles
+from dayloom.operators.quantiles import summary
 
 QUARTILES = (0.25, 0.5, 0.75)
 STATISTICS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -25,14 +26,16 @@ def describe(
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per column.
 
-    One row per (keys, column). With grain='any' the quartiles come from
-    distributed ranks. `percentile` keeps the distinct values of a group in
-    memory, so it is used only where grain='day' says that a group has one row
-    per day. Both are exact. With grain='approximate' the quartiles are values
-    of the column near the ranks, from one pass and sketches of bounded size.
+    One row per (keys, column). With grain='any' the quartiles come from refined
+    histograms: no group is held anywhere, and counts are sent instead of values.
+    'ranks' is for very many groups of any size, whose ranks are distributed.
+    `percentile` keeps the distinct values of a group in memory, so it is used
+    only where grain='day' says that a group has one row per day. These are
+    exact. With grain='approximate' the quartiles are values of the column near the
+    ranks, from one pass and sketches of bounded size.
     """
-    if grain not in ("any", "day", "approximate"):
-        raise ValueError("grain is 'any', 'day' or 'approximate'")
+    if grain not in ("any", "ranks", "day", "approximate"):
+        raise ValueError("grain is 'any', 'ranks', 'day' or 'approximate'")
     tall = melt(df, keys, columns)
     group = [*keys, "feature"]
     basics = [
@@ -42,7 +45,9 @@ def describe(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
-    if grain != "any":
+    if grain == "any":
+        return summary(tall, group, "value", QUARTILES, STATISTICS[4:7]).select(*group, *STATISTICS)
+    if grain != "ranks":
         points = F.array(*[F.lit(p) for p in QUARTILES])
         quartiles = F.percentile("value", points) if grain == "day" else F.percentile_approx("value", points, 10_000)
         rows = tall.groupBy(*group).agg(*basics, quartiles.alias("_q"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from conftest import assert_close, frame
 
-from dayloom.operators import long_series
+from dayloom.operators import long_series, quantiles
 from dayloom.operators.profile import describe
 from dayloom.operators.windows import Series
 from pyspark.sql import functions as F
@@ -89,6 +89,77 @@ def test_single_value_and_empty_groups(spark):
     assert (got["b"]["count"], got["b"]["p50"]) == (0, None)
 
 
+def described(df, columns, keys, grain):
+    rows = describe(df, columns, keys, grain=grain).collect()
+    return {tuple(r[k] for k in (*keys, "feature")): r for r in rows}
+
+
+def test_refined_histograms_equal_pandas(spark):
+    """Ties, both signs, tiny and huge values, a hot value, close values far from zero, NULLs and NULL keys."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({
+        "g": rng.choice(["a", "b", None], n),
+        "ties": rng.integers(-3, 4, n).astype(float),
+        "wide": rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n),
+        "close": 1e9 + rng.random(n),
+        "hot": np.where(rng.random(n) < 0.6, 7.25, rng.normal(size=n)),
+    })
+    pdf.loc[rng.random(n) < 0.2, "close"] = np.nan
+    names = ["ties", "wide", "close", "hot"]
+    df = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in pdf.itertuples(index=False)], "g string, ties double, wide double, close double, hot double").repartition(5)
+    got = described(df, names, ["g"], "any")
+    assert len(got) == 12
+    for key, part in pdf.groupby("g", dropna=False):
+        for name in names:
+            want, r = part[name].describe(), got[None if key != key else key, name]
+            for ours, theirs in zip(("count", "min", "p25", "p50", "p75", "max"), ("count", "min", "25%", "50%", "75%", "max")):
+                assert r[ours] == pytest.approx(want[theirs], rel=1e-14), (key, name, ours)
+            if name != "wide":
+                assert r["mean"] == pytest.approx(want["mean"], rel=1e-9) and r["std"] == pytest.approx(want["std"], rel=1e-6)
+
+
+@pytest.mark.parametrize("cuts, per_doubling", [(1, 1), (7, 2)])
+def test_coarse_histograms_are_exact_too(spark, monkeypatch, cuts, per_doubling):
+    monkeypatch.setattr(quantiles, "CUTS", cuts)
+    monkeypatch.setattr(quantiles, "PER_DOUBLING", per_doubling)
+    df = spark.range(0, 997, 1, 6).select((F.col("id") % 311 - 100.5).alias("x"), (F.col("id") % 2).alias("g"))
+    fine, ranks = described(df, ["x"], ["g"], "any"), described(df, ["x"], ["g"], "ranks")
+    for key, r in fine.items():
+        assert [r[c] for c in ("count", "min", "p25", "p50", "p75", "max")] == [ranks[key][c] for c in ("count", "min", "p25", "p50", "p75", "max")]
+
+
+def test_infinite_and_missing_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(-inf,), (-inf,), (-inf,), (-0.0,), (0.0,), (5e-324,), (inf,), (None,)], "x double")
+    (r,) = describe(df, ["x"], grain="any").collect()
+    assert (r["count"], r["min"], r["p25"], r["p50"], r["max"]) == (7, -inf, -inf, 0.0, inf)
+    (r,) = describe(spark.createDataFrame([(1.0,), (nan,), (nan,)], "x double"), ["x"], grain="any").collect()
+    assert r["min"] == 1.0 and np.isnan(r["p50"]) and np.isnan(r["max"])
+    assert describe(df.where("false"), ["x"], grain="any").count() == 0
+
+
+def test_refinement_sends_counts_and_runs_no_job(spark):
+    """While the plan is built nothing runs; exchanges hold aggregated rows only."""
+    df, context = spark.range(1000).select((F.col("id") * 0.5).alias("x"), (F.col("id") % 3).alias("g")), spark.sparkContext
+    context.setJobGroup("describe", "")
+    out = describe(df, ["x"], ["g"], grain="any")
+    context.setJobGroup("other", "")
+    assert list(context.statusTracker().getJobIdsForGroup("describe")) == []
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    for at, line in enumerate(plan):
+        if "Exchange hash" in line:
+            assert any("HashAggregate" in below or "Window" in below for below in plan[at + 1 : at + 4]), plan[at : at + 4]
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 20)
+    df = spark.range(3000).select(F.rand(1).alias("x"), (F.col("id") % 50).alias("g"))
+    with pytest.raises(Exception, match="grain='ranks'"):
+        describe(df, ["x"], ["g"], grain="any").collect()
+    assert describe(df, ["x"], ["g"], grain="ranks").count() == 50
+
+
 def test_no_single_partition_and_no_key_only_window(rows):
     pieces = long_series.range_pieces(rows, ["series"], ORDER, 4)
     plan = long_series.indexed(pieces, ["series"])._jdf.queryExecution().executedPlan().toString()
