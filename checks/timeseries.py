@@ -11,7 +11,7 @@ from checks.panels import (
 )
 from checks.registry import query, r6, rounded
 from dayloom.functions import scalar
-from dayloom.operators import calendar, long_series
+from dayloom.operators import calendar, long_series, rolling
 from dayloom.operators.lagged import lag_matrix as lag_matrix_of
 from dayloom.operators.windows import Series, vigor_raw
 
@@ -92,6 +92,15 @@ _window(
 )
 
 
+@query(
+    "rolling_zscore_long_frame",
+    _al(f"case when {std(365, 30)} = 0 then value * 0 else (value - {mean(365, 30)}) / ({std(365, 30)} + 1e-9) end", "z"),
+)
+def rolling_zscore_long_frame(spark, sf):
+    """A frame of a year at the cost of a short one."""
+    return rounded(rounded(rolling.rolling_zscores(aligned(spark, sf), BY_DAY, "value", 365, "z", 30), "value"), "z")
+
+
 @query(
     "log_level_diff",
     f"""with {ALIGNED}, x as (select series, day, ln(value + 1) as log_level from al)
@@ -268,6 +277,20 @@ def long_rolling(spark, sf):
     return rounded(out.select("series", "event_id", "diff", "ma7"), "diff", "ma7")
 
 
+_YEAR = "(partition by series order by ts, event_id rows between 364 preceding and current row)"
+
+
+@query(
+    "long_rolling_zscore",
+    f"""with {EV} select series, event_id, {r('value')} as value, {r(f"""case when count(value) over {_YEAR} >= 30 then
+      (value - avg(value) over {_YEAR}) / (stddev_samp(value) over {_YEAR} + 1e-9) end""")} as z from ev""",
+)
+def long_rolling_zscore(spark, sf):
+    rows_ = event_rows(spark, sf).drop("sparse")
+    out = rolling.long_rolling_zscores(rows_, ["series"], _EVENT_ORDER, "value", 365, "z", 30)
+    return rounded(out.select("series", "event_id", "value", "z"), "value", "z")
+
+
 @query(
     "long_lag_matrix",
     f"""with {EV} select series, event_id, row_number() over {_WE} as row_number, value, lag(value, 1) over {_WE} as value_lag1,

@@ -112,15 +112,7 @@ class Series:
             F.stddev_samp(x).over(frame).alias("std"),
         )
 
-        def score(s: Column) -> Column:
-            distance = s["x"] - s["mean"]
-            if eps is None:
-                z = F.try_divide(distance, s["std"])
-            else:
-                z = F.when(s["std"] == 0, s["x"] * 0.0).otherwise(distance / (s["std"] + eps))
-            return F.when(s["n"] >= need, z)
-
-        return F.get(F.transform(F.array(stats), score), F.lit(0))
+        return F.get(F.transform(F.array(stats), lambda s: zscore_of(s, need, eps)), F.lit(0))
 
     def rolling_corr(self, a: str, b: str, n: int) -> Column:
         """Pearson correlation of the last n rows; NULL unless all n pairs are
@@ -146,6 +138,16 @@ class Series:
         return F.when(F.count(_col(c)).over(self.last_rows(n)) >= need, value)
 
 
+def zscore_of(stats: Column, need: int, eps: float | None) -> Column:
+    """Distance of x from the mean in deviations, of a struct (x, n, mean, std) with at least `need` values."""
+    distance = stats["x"] - stats["mean"]
+    if eps is None:
+        z = F.try_divide(distance, stats["std"])
+    else:
+        z = F.when(stats["std"] == 0, stats["x"] * 0.0).otherwise(distance / (stats["std"] + eps))
+    return F.when(stats["n"] >= need, z)
+
+
 def vigor_raw(open_: str, high: str, low: str, close: str) -> Column:
     """Close-to-open move relative to the day's range."""
     return (F.col(close) - F.col(open_)) / ((F.col(high) - F.col(low)) + F.lit(EPS))

@@ -15,6 +15,7 @@ from dayloom.functions.scalar import log_count, pct_of_total, percent, rowwise_m
 from dayloom.operators.align import enrich_left
 from dayloom.operators.calendar import align_to_spine, resample_daily
 from dayloom.operators.clean import drop_null_rows, filter_after, filter_between
+from dayloom.operators.rolling import rolling_zscores
 from dayloom.operators.windows import EPS, Series, vigor_raw
 
 Keys = Sequence[str]
@@ -96,13 +97,8 @@ def interpolated_oscillator(df: DataFrame, keys: Keys, day: str, value: str, sta
     series = Series(keys, [day])
     rows = align_to_spine(df, keys, day, [value], start, end)
     rows = rows.withColumn(value, series.interpolate(value, day, both=True))
-    rows = rows.withColumns(
-        {
-            "change": series.diff(value),
-            "ma_30": series.rolling_mean(value, 30),
-            "z_365": series.rolling_zscore(value, 365, 30, EPS),
-        }
-    )
+    rows = rows.withColumns({"change": series.diff(value), "ma_30": series.rolling_mean(value, 30)})
+    rows = rolling_zscores(rows, series, value, 365, "z_365", 30, EPS)
     return rows.fillna(0.0, [value, "change", "ma_30", "z_365"])
 
 
