@@ -12,6 +12,11 @@ that is not closed on its line opens a string only where a value may stand; else
 it is a mark. What is inside backticks and triple quotes is lexed again for
 assignments of its own; a literal there may lie inside another that is reported.
 
+Constants are followed through chains of any length, and every value is made once, so
+that the work grows with the text; only a value joined again and again from two long
+ones is gone through anew each time. A name that is used before it is given a value
+has the last one it is given.
+
 Offsets count code points, ends are exclusive. Null and empty texts have no
 spans. A literal inside a base span is not reported again; spans that begin at
 the same place are ordered as kinds are listed in `KINDS`.
@@ -22,9 +27,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -206,6 +215,9 @@ _PLACEHOLDERS = re.compile(
     r"\$\{.*|\{\{.*|<.*>|%\(.*|x{4,}|\*{4,}|change.?me|your.*|example.*|placeholder|todo|none|null|true|false|undefined",
     re.I,
 )
+_PLACEHOLDER_STARTS = re.compile(
+    r"\$\{|\{\{|<|%\(|x{4}|\*{4}|change|your|example|placeholder|todo|none|null|true|false|undefined", re.I
+)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -220,45 +232,169 @@ def name_weight(name: str) -> float:
 def literal_weight(value: str) -> float:
     """How much a literal looks like a secret, from 0 to 1."""
     value = value.strip()
-    if len(value) < 8 or _PLACEHOLDERS.fullmatch(value) or len(set(value)) < 4:
+    if len(value) < 8 or _PLACEHOLDERS.fullmatch(value):
+        return 0.0
+    return _spread_weight(len(value), list(Counter(value).values()), re.search(r"\s", value) is not None)
+
+
+def _spread_weight(size: int, counts: list[int], spaced: bool) -> float:
+    if size < 8 or len(counts) < 4:
         return 0.0
-    share = [n / len(value) for n in Counter(value).values()]
+    share = [n / size for n in counts]
     entropy = -sum(p * math.log2(p) for p in share)
-    return (0.6 + 0.4 * min(1.0, entropy / 3.5)) * (0.3 if re.search(r"\s", value) else 1.0)
+    return (0.6 + 0.4 * min(1.0, entropy / 3.5)) * (0.3 if spaced else 1.0)
+
+
+class _Sum:
+    """What the score of a long joined value needs of it, of fixed size; for ASCII only.
+
+    `blank` and `tail` count white space before and after the rest, `counts` what is between.
+    """
+
+    __slots__ = ("blank", "counts", "spaced", "head", "tail")
+
+    def __init__(self, blank, counts, spaced: bool, head: str, tail):
+        self.blank, self.counts, self.spaced, self.head, self.tail = blank, counts, spaced, head, tail
+
+    @staticmethod
+    def of(text: str) -> _Sum | None:
+        if not text.isascii():
+            return None
+        count = lambda part: np.bincount(np.frombuffer(part.encode(), np.uint8), minlength=128)
+        left = text.lstrip()
+        core = left.rstrip()
+        return _Sum(
+            count(text[: len(text) - len(left)]), count(core), re.search(r"\s", core) is not None, core[:16],
+            count(left[len(core) :]),
+        )
+
+    def then(self, other: _Sum) -> _Sum:
+        if not self.head:
+            return _Sum(self.blank + other.blank, other.counts, other.spaced, other.head, other.tail)
+        if not other.head:
+            return _Sum(self.blank, self.counts, self.spaced, self.head, self.tail + other.blank + other.tail)
+        between = self.tail + other.blank
+        joined = bool(between.any())
+        # A head shorter than 16 characters is the whole text so far.
+        head = self.head if len(self.head) >= 16 or joined else (self.head + other.head)[:16]
+        return _Sum(
+            self.blank, self.counts + between + other.counts, self.spaced or other.spaced or joined, head, other.tail
+        )
+
+    def weight(self) -> float | None:
+        """None where only the text itself can tell, as it begins like a placeholder."""
+        if not self.head or _PLACEHOLDER_STARTS.match(self.head):
+            return None
+        return _spread_weight(int(self.counts.sum()), self.counts[self.counts > 0].tolist(), self.spaced)
+
+
+# A joined value of up to so many literals keeps the list of them.
+_LISTED = 64
+
+
+class _Value:
+    """A literal, or what the operands of an assignment make: other values, joined."""
+
+    __slots__ = ("literal", "kids", "leaves", "sum", "best")
+
+    def __init__(self, literal: Lexeme | None, kids: tuple[_Value, ...] = ()):
+        self.literal, self.kids, self.best, self.sum = literal, tuple(dict.fromkeys(kids)), 0.0, None
+        self.leaves = (self,) if literal is not None else self._listed()
+        if self.leaves is None and sum(kid.literal is None for kid in self.kids) <= 1:
+            # Literals of this assignment are in no other value, so nothing is joined twice.
+            parts = [kid.sum if kid.leaves is None else _Sum.of(kid.text()) for kid in self.kids]
+            if all(part is not None for part in parts):
+                self.sum = reduce(_Sum.then, parts)
+
+    def _listed(self) -> tuple[_Value, ...] | None:
+        if any(kid.leaves is None for kid in self.kids):
+            return None
+        leaves = tuple(dict.fromkeys(leaf for kid in self.kids for leaf in kid.leaves))
+        return leaves if len(leaves) <= _LISTED else None
+
+    def text(self) -> str:
+        """All literals joined in order, each once: a constant may be joined to itself again and again."""
+        if self.leaves is not None:
+            return "".join(leaf.literal.text for leaf in self.leaves)
+        seen, found, waiting = set(), {}, [self]
+        while waiting:
+            value = waiting.pop()
+            if value in seen:
+                continue
+            seen.add(value)
+            if value.leaves is not None:
+                found.update(dict.fromkeys(value.leaves))
+            else:
+                waiting += reversed(value.kids)
+        return "".join(leaf.literal.text for leaf in found)
+
+    def weight(self) -> float:
+        known = None if self.sum is None else self.sum.weight()
+        return literal_weight(self.text()) if known is None else known
 
 
 def literal_scores(pairs: list[Assignment]) -> dict[tuple[int, int], float]:
-    """Score of each literal: its own weight times that of the most sensitive target it reaches."""
-    last = {pair.target: pair for pair in pairs}
-    held: dict[str, list[Lexeme]] = {}
-    scores: dict[tuple[int, int], float] = {}
-
-    def literals(operands, seen: frozenset) -> list[Lexeme]:
-        out = []
-        for operand in operands:
-            if operand.kind == "literal":
-                out.append(operand)
-            elif operand.text in held:
-                out += held[operand.text]
-            elif operand.text in last and operand.text not in seen and len(seen) < 32:
-                # A constant that is written further down.
-                out += literals(last[operand.text].operands, seen | {operand.text})
+    """Score of each literal: its own weight times that of the most sensitive target it reaches.
+
+    A name has the value it was given last before, else the one it is given last further
+    down. Every value is made once, whatever uses it, so chains of any length are followed
+    in time that grows with the text. A name that leads back to itself adds nothing there.
+    """
+    last = {pair.target: pair.operands for pair in pairs}
+    leaves: dict[tuple[int, int], _Value] = {}
+    held: dict[str, _Value] = {}
+    ahead: dict[str, _Value | None] = {}
+    made: list[_Value] = []  # what a value is made of stands before it
+
+    def leaf(operand: Lexeme) -> _Value:
+        return leaves.setdefault((operand.start, operand.end), _Value(operand))
+
+    def joined(kids: list[_Value]) -> _Value:
+        made.append(_Value(None, tuple(kids)))
+        return made[-1]
+
+    def further_down(name: str) -> _Value:
+        """The value a name is given last; names in it have their last values too."""
+        waiting = [(name, iter(last[name]), [])]
+        ahead[name] = None  # being made
+        while waiting:
+            here, operands, kids = waiting[-1]
+            for operand in operands:
+                if operand.kind == "literal" or operand.text not in last:
+                    kids.append(leaf(operand))
+                elif operand.text in ahead:
+                    if ahead[operand.text] is not None:
+                        kids.append(ahead[operand.text])
+                else:
+                    ahead[operand.text] = None
+                    waiting.append((operand.text, iter(last[operand.text]), []))
+                    break
             else:
-                out.append(operand)
-        return out
+                waiting.pop()
+                ahead[here] = joined(kids)
+                if waiting:
+                    waiting[-1][2].append(ahead[here])
+        return ahead[name]
+
+    def value(operand: Lexeme, target: str) -> _Value:
+        if operand.kind != "literal":
+            if operand.text in held:
+                return held[operand.text]
+            if operand.text in last and operand.text != target:
+                return ahead.get(operand.text) or further_down(operand.text)
+        return leaf(operand)
 
     for pair in pairs:
-        # Each literal once: a constant may be joined to itself again and again.
-        parts = list({(p.start, p.end): p for p in literals(pair.operands, frozenset([pair.target]))}.values())
-        held[pair.target] = parts
+        node = joined([value(operand, pair.target) for operand in pair.operands])
+        held[pair.target] = node
         weight = name_weight(pair.target)
         if weight:
             # Concatenated parts are judged as the one value they make.
-            score = weight * literal_weight("".join(p.text for p in parts))
-            for part in parts:
-                place = (part.start, part.end)
-                scores[place] = max(scores.get(place, 0.0), score)
-    return scores
+            node.best = max(node.best, weight * node.weight())
+    for node in reversed(made):
+        for kid in node.kids:
+            kid.best = max(kid.best, node.best)
+    return {place: found.best for place, found in leaves.items() if found.best}
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
@@ -266,10 +402,17 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base, base
+    begins, furthest = [b.start for b in base], list(accumulate((b.end for b in base), max))
+
+    def reported(start: int, end: int) -> bool:
+        """Whether one base span that begins before reaches over it."""
+        before = bisect_right(begins, start)
+        return before > 0 and furthest[before - 1] >= end
+
     found = [
         Span("literal", start, end)
         for (start, end), score in literal_scores(assignments(text)).items()
-        if score >= THRESHOLD and end > start and not any(b.start <= start and end <= b.end for b in base)
+        if score >= THRESHOLD and end > start and not reported(start, end)
     ]
     return base, _ordered([*base, *found])
 
@@ -306,9 +449,8 @@ def redacted(text: str, mark: str = "[secret]") -> str:
             merged[-1][1] = max(merged[-1][1], span.end)
         else:
             merged.append([span.start, span.end])
-    for start, end in reversed(merged):
-        text = text[:start] + mark + text[end:]
-    return text
+    kept = zip([0, *(end for _, end in merged)], [*(start for start, _ in merged), len(text)])
+    return mark.join(text[a:b] for a, b in kept)
 
 
 def redact(docs: DataFrame, text_column: str = "text", length_column: str | None = None) -> DataFrame:

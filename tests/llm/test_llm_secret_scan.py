@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import time
+from functools import reduce
 
 import odd_rows
+import pytest
 
 from dayloom.llm import secret_scan as S
 
@@ -42,6 +45,64 @@ def test_constants_reach_sensitive_names():
     assert literals('{"privateKey": "mF9s8d7f6g5h"}') == ["mF9s8d7f6g5h"]
 
 
+def chain(links, forward):
+    lines = [f"c{i} = c{i + 1}" for i in range(links)] + [f'c{links} = "Zx9!qq-Lm2$Tt7"']
+    return "\n".join(["db_password = c0", *lines] if forward else [*lines[::-1], "db_password = c0"]) + "\n"
+
+
+@pytest.mark.parametrize("links", [1, 29, 30, 31, 32, 33, 1000, 20_000])
+def test_chains_of_any_length_are_followed(links):
+    for forward in (True, False):
+        text = chain(links, forward)
+        assert literals(text) == ["Zx9!qq-Lm2$Tt7"]
+        assert "Zx9!qq" not in S.redacted(text)
+
+
+def seconds(work):
+    began = time.perf_counter()
+    work()
+    return time.perf_counter() - began
+
+
+def test_time_grows_with_the_text():
+    """Names used twice, values that grow by one literal a line, both before and after their use, also sensitive ones."""
+    twice = "".join(f"a{i} = a{i + 1} + a{i + 1}\n" for i in range(32)) + 'a32 = "Zx9!qq-Lm2$Tt7"\npassword = a0\n'
+    assert seconds(lambda: S.scan(twice)) < 0.5 and literals("password = a0\n" + twice) == ["Zx9!qq-Lm2$Tt7"]
+    for name in ("x", "secret_key"):
+        growing = "".join(f'{name} = {name} + "p{i}!$"\n' for i in range(4000)) + f"password = {name}\n"
+        apart = "".join(f'{name}_{i} = {name}_{i - 1} + "p{i}!$"\n' for i in range(1, 4000)) + f"password = {name}_3999\n"
+        assert seconds(lambda: S.scan(growing)) < 1.0 and seconds(lambda: S.scan(apart)) < 1.0
+    many = "\n".join(f'password = "abcdefgh{i}" ; db_pwd = "Zx9!qq-{i}$"' for i in range(5000))
+    assert seconds(lambda: S.redacted(many)) < 3.0 and "Zx9!qq" not in S.redacted(many)
+
+
+def test_names_that_lead_back_to_themselves():
+    assert literals("a = b\nb = a\npassword = a\n") == []
+    assert literals('a = b\nb = c\nc = a + "Zx9!qq-Lm2$Tt7"\npassword = a\n') == ["Zx9!qq-Lm2$Tt7"]
+    assert literals('password = a\na = a + "Zx9!qq-Lm2$Tt7"\n') == ["Zx9!qq-Lm2$Tt7"]
+
+
+def test_sums_of_long_values_equal_their_texts():
+    rng = random.Random(6)
+    pieces = ["ab$1", " ", "", "\t x", "your", "${", "xxxx", "Zx9!", "q\n", "<a>", "é"]
+    for _ in range(400):
+        parts = [rng.choice(pieces) for _ in range(rng.randint(1, 8))]
+        sums = [S._Sum.of(part) for part in parts]
+        if None in sums:
+            assert any(not part.isascii() for part in parts)
+            continue
+        weight = reduce(S._Sum.then, sums).weight()
+        assert weight is None or weight == pytest.approx(S.literal_weight("".join(parts)), abs=1e-12), parts
+    long = [S.Assignment("x", (S.Lexeme("literal", "a1", 0, 2),))]
+    for i in range(1, 200):
+        operands = (S.Lexeme("name", "x", -1, -1), S.Lexeme("literal", f"b{i}$", 10 * i, 10 * i + 3))
+        long.append(S.Assignment("x", operands))
+    long.append(S.Assignment("password", (S.Lexeme("name", "x", -1, -1),)))
+    whole = S.literal_weight("a1" + "".join(f"b{i}$" for i in range(1, 200)))
+    scores = S.literal_scores(long)
+    assert len(scores) == 200 and list(scores.values()) == pytest.approx([whole] * 200)
+
+
 def test_code_in_markdown_is_lexed():
     code = 'k = "Zx9!qq-Lm2$Tt7"\ndb_pwd = k\n'
     for text in (
