@@ -5,8 +5,12 @@ labelled texts that pass the base rules are put into a fixed grid of cells, with
 the number of good and bad texts in each. Sequential covering works on counts of
 these cells alone: a rule grows by the condition with the highest gain on one
 part of the texts, is pruned on the other part, and is kept if it still is
-precise there; the cells it covers are set aside before the next rule. The list
-becomes one ordered CASE expression.
+precise there; the cells it covers are set aside before the next rule. The cells of a
+candidate that is not kept are set aside for growing only, so that it hides no other
+rule. A rule grows as long as a condition gains, and rules are looked for until no
+condition covers `MIN_SUPPORT` bad texts with a gain; as each candidate sets cells
+aside, the number of cells bounds the work. The list becomes one ordered CASE
+expression.
 
 Null and empty texts have no words and fail the base rules. Labels without a
 quality are not used, and where an id is labelled more than once the lowest
@@ -26,7 +30,6 @@ from dayloom.llm.expressions import SPACES, count_of, let, words
 from dayloom.llm.tables import crc_of, settle
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_PRECISION, MIN_SUPPORT = 0.97, 3
 # A threshold may give up this share of the gain to stay further from good texts.
 SLACK = 0.9
@@ -210,18 +213,19 @@ def _precisions(left: DataFrame, rules: list[Rule]) -> list[tuple[float, int]]:
 def learn(statistics: DataFrame) -> list[Rule]:
     """The decision list, from counts in cells; `statistics` is read once for each step."""
     rules: list[Rule] = []
-    left = statistics
-    while len(rules) < MAX_RULES:
-        rule: Rule = ()
-        while len(rule) < MAX_CONDITIONS:
-            condition, _, good = _best_condition(left, rule)
+    left = growing = statistics
+    while True:
+        grown: Rule = ()
+        while True:
+            condition, _, good = _best_condition(growing, grown)
             if condition is None:
                 break
-            rule = (*rule, condition)
+            grown = (*grown, condition)
             if not good:
                 break
-        if not rule:
-            break
+        if not grown:
+            return rules
+        rule = grown
         while len(rule) > 1:
             shorter = [rule[:i] + rule[i + 1 :] for i in range(len(rule))]
             (whole, _), *others = _precisions(left, [rule, *shorter])
@@ -230,11 +234,11 @@ def learn(statistics: DataFrame) -> list[Rule]:
                 break
             rule = simpler
         precision, support = _precisions(left, [rule])[0]
-        if precision < MIN_PRECISION or support < MIN_SUPPORT:
-            break
-        rules.append(rule)
-        left = left.where(~_covered(rule))
-    return rules
+        if precision >= MIN_PRECISION and support >= MIN_SUPPORT:
+            rules.append(rule)
+            left, growing = left.where(~_covered(rule)), growing.where(~_covered(rule))
+        else:
+            growing = growing.where(~_covered(grown))
 
 
 def rule_of(rules: list[Rule]) -> Column:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from functools import reduce
 
 import odd_rows
 from pyspark.sql import functions as F
@@ -145,6 +146,39 @@ def test_a_stated_list_is_found_again(spark):
     assert covered[1] == 0 and covered[0] >= 0.7 * total
 
 
+def kinds_in_cells(spark, kinds, good=(3, 3, 3, 3, 3, 3, 6)):
+    """Cells of good texts and of one kind of bad texts for each ({feature: bin}, bad, good when growing, when pruning)."""
+    names, rows = list(Q.GRID), []
+    for prune in (False, True):
+        rows.append((*good, prune, 0, 500))
+        for bins, bad, *mixed in kinds:
+            rows.append((*[bins.get(f, g) for f, g in zip(names, good)], prune, bad, mixed[prune]))
+    return spark.createDataFrame(rows, ", ".join(f"{f} int" for f in names) + ", prune boolean, bad bigint, good bigint")
+
+
+def test_a_candidate_that_fails_hides_no_other(spark):
+    noisy, pure = ({"symbol_share": 14}, 60, 0, 10), ({"digit_share": 14}, 50, 0, 0)
+    assert [[c.feature for c in rule] for rule in Q.learn(kinds_in_cells(spark, [pure]))] == [["digit_share"]]
+    assert [[c.feature for c in rule] for rule in Q.learn(kinds_in_cells(spark, [noisy, pure]))] == [["digit_share"]]
+    assert Q.learn(kinds_in_cells(spark, [noisy])) == []
+
+
+def test_as_many_rules_as_kinds_and_as_many_conditions_as_needed(spark):
+    above = [({f: len(t)}, 50, 0, 0) for f, t in Q.GRID.items()]
+    kinds = [*above, ({"word_length": 0}, 50, 0, 0), ({"symbol_share": 0, "repeat_share": 0}, 50, 0, 0)]
+    alone = [({f: 0}, 0, 300, 300) for f in ("symbol_share", "repeat_share")]
+    cells = kinds_in_cells(spark, [*kinds, *alone])
+    rules = Q.learn(cells)
+    assert len(rules) == 9
+    covered = reduce(lambda a, b: a | b, map(Q._covered, rules))
+    assert cells.where(covered).agg(F.sum("bad"), F.sum("good")).first() == (900, 0)
+    first = list(Q.GRID)[:4]
+    corner = [({f: 14 for f in first}, 50, 0, 0)]
+    sides = [({f: 14 for f in first if f != out}, 0, 300, 300) for out in first]
+    (rule,) = Q.learn(kinds_in_cells(spark, [*corner, *sides]))
+    assert {c.feature for c in rule} == set(first)
+
+
 def test_quality_rules_on_odd_rows(spark):
     docs = odd_rows.odd(spark, "w " * 30_000)
     rows = Q.judged(docs, odd_rows.labels(spark, [])).collect()
