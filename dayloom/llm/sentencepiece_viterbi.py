@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from dayloom.llm.tables import per_row, texts
 
 SPACE = "▁"
-KNOWN_RUNS = 400_000
+# Borders that are remembered; bytes of known runs, about what Python adds to each, and the longest that is kept.
+KNOWN_BORDERS = 400_000
+KNOWN_BYTES, PER_RUN, KEPT = 64_000_000, 150, 64
 PART_CHARS = 2_000_000
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 # Spaces, and then either letters or other characters.
@@ -103,6 +105,7 @@ class PieceModel:
             self._learn_splits()
         self.ends = self._trie_of_ends()
         self.known: dict[str, bytes] = {}
+        self.held = 0
         # Of each id, the bytes it decodes to, in one buffer.
         out = []
         for piece, kind in zip(self.pieces, self.kinds):
@@ -215,7 +218,7 @@ class PieceModel:
             key = before << 32 | number
             holds = borders.get(key)
             if holds is None:
-                if len(borders) > KNOWN_RUNS:
+                if len(borders) > KNOWN_BORDERS:
                     borders.clear()
                 holds = borders[key] = self._border_holds(self.pieces[before], self.pieces[number])
             if holds:
@@ -270,10 +273,15 @@ class PieceModel:
         whole = (" " if self.dummy_prefix else "") + text
         if not self.cuts:
             return self._word(whole)
-        runs, known = _RUNS.findall(whole), self.known
+        runs, known, long = _RUNS.findall(whole), self.known, {}
         for run in set(runs).difference(known):
-            known[run] = self._word(run)
-        return b"".join(map(known.__getitem__, runs))
+            ids = self._word(run)
+            if len(run) > KEPT:
+                long[run] = ids
+            else:
+                known[run] = ids
+                self.held += len(run) + len(ids) + PER_RUN
+        return b"".join([known[run] if run in known else long[run] for run in runs] if long else map(known.__getitem__, runs))
 
     def _word(self, word: str) -> bytes:
         ids = self.encode_symbols(word.replace(" ", SPACE))
@@ -282,8 +290,9 @@ class PieceModel:
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         out = []
         for text in batch:
-            if len(self.known) > KNOWN_RUNS:
+            if self.held > KNOWN_BYTES:
                 self.known.clear()
+                self.held = 0
             out.append(self.encode(text))
         return out
 

@@ -5,13 +5,19 @@ each word applies its lowest-ranked pair, at all places of the word at once; wor
 without a pair of the vocabulary are done and leave the array. What is left of a
 word are its tokens; only their number is kept.
 
-Null and empty texts have no tokens. Texts are taken whole; the table of known
-runs is emptied when it is full, so that its size does not grow with the data.
+A word of more than `LONG` bytes would take a round over all its symbols for each rank
+it uses. Its pairs are filed by rank instead: a round takes the pairs of the lowest
+rank, applies them all, and files anew the pairs next to them.
+
+Null and empty texts have no tokens. Texts are taken whole. The table of known runs
+is emptied at `KNOWN_BYTES` and keeps no run of more than `KEPT` characters, so
+that its size does not grow with the data.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import unicodedata
 
@@ -22,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from dayloom.llm.tables import per_row, texts
 
-KNOWN_RUNS = 500_000
+# Bytes of known runs, about what Python adds to each, and the longest that is kept.
+KNOWN_BYTES, PER_RUN, KEPT = 64_000_000, 130, 64
+LONG = 256
 # A batch of new words goes through the arrays in parts of at most this many bytes.
 PART_BYTES = 4_000_000
 _NONE = np.iinfo(np.int32).max
@@ -55,18 +63,80 @@ class Merges:
         self.keys, kept = keys[order][last], table[order][last]
         self.ranks, self.joined = kept[:, 2].astype(np.int32), kept[:, 3].astype(np.int32)
 
+    def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, `_NONE` if it has none, and its place in the table."""
+        key = left << 32 | right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.ranks[place], _NONE), place
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word; words are not empty."""
+        out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            out[short] = self._together([words[i] for i in short])
+        for i in set(range(len(words))).difference(short) if len(short) < len(words) else ():
+            out[i] = self._long(words[i])
+        return out
+
+    def _long(self, word: bytes) -> int:
+        """Tokens of one long word; `after` and `before` lead from symbol to symbol."""
+        symbols = np.frombuffer(word, np.uint8).astype(np.int64)
+        symbols[-1] += 256
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.found(symbols[:-1], symbols[1:])[0], _NONE)
+        filed: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            places = places[rank[places] < _NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[places])) + 1
+            for part in np.split(places, cuts) if len(places) else ():
+                here = int(rank[part[0]])
+                if here not in filed:
+                    filed[here] = []
+                    heapq.heappush(waiting, here)
+                filed[here].append(part)
+
+        file(np.arange(n - 1))
+        left = n
+        while waiting:
+            lowest = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(filed.pop(lowest)))
+            at = at[rank[at] == lowest]
+            if not len(at):
+                continue
+            # Of pairs that overlap, every second one from the left.
+            begins = np.append(True, after[at[:-1]] != at[1:])
+            number = np.arange(len(at))
+            at = at[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0]
+            gone = after[at]
+            _, place = self.found(symbols[at], symbols[gone])
+            symbols[at] = self.joined[place]
+            rank[gone] = _NONE
+            after[at] = after[gone]
+            follows = after[at] < n
+            before[after[at][follows]] = at[follows]
+            left -= len(at)
+            near = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            last = after[near] >= n
+            rank[near[last]] = _NONE
+            near = near[~last]
+            rank[near] = self.found(symbols[near], symbols[after[near]])[0]
+            file(near)
+        return left
+
+    def _together(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         symbols[np.cumsum(lengths) - 1] += 256
         owner = np.repeat(np.arange(len(words)), lengths)
         left = lengths.copy()
         while len(symbols) > 1:
-            key = symbols[:-1] << 32 | symbols[1:]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[place] == key) & (owner[1:] == owner[:-1]), self.ranks[place], _NONE)
-            rank = np.append(rank, _NONE)
+            rank, place = self.found(symbols[:-1], symbols[1:])
+            rank = np.append(np.where(owner[1:] == owner[:-1], rank, _NONE), _NONE)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sizes = np.diff(np.append(starts, len(owner)))
             best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
@@ -111,11 +181,13 @@ class TokenCounter:
         self.word = regex.compile("\n|" + cuts[0]["pattern"]["Regex"])
         special = sorted((t["content"] for t in vocabulary["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.marks = {t[0] for t in special}
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def _runs(self, text: str) -> tuple[int, list[str]]:
         """(special strings, runs without white space) of a text; no word holds white space."""
-        parts = [text] if self.special is None or "<" not in text else self.special.split(text)
+        parts = [text] if not any(mark in text for mark in self.marks) else self.special.split(text)
         return len(parts) - 1, [run for part in parts for run in self._split(part)]
 
     def _split(self, part: str) -> list[str]:
@@ -157,14 +229,18 @@ class TokenCounter:
                 pieces.append(self._runs(batch[at]))
                 size += len(batch[at])
                 at += 1
-            if len(self.known) > KNOWN_RUNS:
+            if self.held > KNOWN_BYTES:
                 self.known.clear()
-            new: set[str] = set()
-            for _, runs in pieces:
-                new.update(runs)
-            self._learn(list(new.difference(self.known)))
+                self.held = 0
+            new = {run for _, runs in pieces for run in runs}.difference(self.known)
+            self._learn(list(new))
             count = self.known.__getitem__
             out += [special + sum(map(count, runs)) for special, runs in pieces]
+            for run in new:
+                if len(run) > KEPT:
+                    del self.known[run]
+                else:
+                    self.held += len(run) + PER_RUN
         return out
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import odd_rows
@@ -34,11 +35,44 @@ def test_counts_are_the_librarys():
 def test_counts_do_not_depend_on_what_is_known(monkeypatch):
     texts = odd_texts(300)
     want = C.TokenCounter(WORD).counts(texts)
-    monkeypatch.setattr(C, "KNOWN_RUNS", 10)
+    monkeypatch.setattr(C, "KNOWN_BYTES", 1000)
     monkeypatch.setattr(C, "PART_BYTES", 50)
     assert C.TokenCounter(WORD).counts(texts) == want
 
 
+@pytest.mark.parametrize("long", [0, 3, 40])
+def test_long_words_are_the_librarys(monkeypatch, long):
+    """Words whose pairs are filed by rank: random, repeated, and the odd texts."""
+    monkeypatch.setattr(C, "LONG", long)
+    rng, library = random.Random(4), Tokenizer.from_file(WORD)
+    texts = odd_texts(400, 7) + ["".join(rng.choice("abcdeéz") for _ in range(n)) for n in (1, 2, 300, 3000, 9000)]
+    texts += ["a" * 5001, "abab" * 800, "the" * 3000, "aab" * 1000 + "ba"]
+    assert C.TokenCounter(WORD).counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_time_of_a_long_word():
+    rng, library = random.Random(5), Tokenizer.from_file(WORD)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.perf_counter()
+    count = C.TokenCounter(WORD).counts([text])
+    assert time.perf_counter() - began < 10 and count == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_what_is_known_is_bounded_by_bytes(monkeypatch, pieces):
+    monkeypatch.setattr(C, "KNOWN_BYTES", 20_000)
+    monkeypatch.setattr(C, "PART_BYTES", 1000)
+    monkeypatch.setattr(V, "KNOWN_BYTES", 20_000)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.choice([5, 20, 500]))) for _ in range(20)) for _ in range(200)]
+    counter, model = C.TokenCounter(WORD), V.PieceModel(PIECE)
+    for text in texts:
+        counter.counts([text])
+        model.encode_batch([text])
+        for known, module in ((counter.known, C), (model.known, V)):
+            assert all(len(run) <= module.KEPT for run in known)
+            assert sum(len(run) + module.PER_RUN for run in known) <= 20_000 + 20 * (module.KEPT + module.PER_RUN)
+
+
 def test_ids_are_the_librarys(pieces):
     model, library = pieces
     for text in odd_texts(3000):
