@@ -37,6 +37,30 @@ def read_series_csv(spark, sf):
     return rounded(rows, "value")
 
 
+@query("read_series_csv_headers", f"with {OD} select series, day, {r('value')} as value from od")
+def read_series_csv_headers(spark, sf):
+    """Files of one folder with columns in another order, and with more of them."""
+    path, rows = scratch(spark, "headers"), orders_daily(spark, sf)
+    early = F.month("day") <= 6
+    sinks.write_table(rows.filter(early), f"{path}/early", "csv")
+    late = rows.filter(~early).select(F.lit("x, y").alias("a, note"), "value", "day", F.lit(1).alias("more"), "series")
+    sinks.write_table(late, f"{path}/late", "csv")
+    return rounded(readers.read_series_csv(spark, f"{path}/*", "series string, day date, value double", bad_values="raise"), "value")
+
+
+@query(
+    "rejected_cells",
+    f"with {OD} select 'value' as \"column\", series as cell, count(*) as n from od where month(day) <= 2 group by series",
+)
+def rejected_cells(spark, sf):
+    """Words where numbers should be, in some of the files."""
+    path, rows = scratch(spark, "rejected"), orders_daily(spark, sf)
+    odd = F.when(F.month("day") <= 2, F.col("series")).otherwise(F.col("value").cast("string"))
+    sinks.write_table(rows.select("day", odd.alias("value")), path, "csv")
+    found = readers.rejected_cells(spark, path, "day date, value double")
+    return found.groupBy("column", "cell").agg(F.sum("n").alias("n"))
+
+
 @query("write_table", f"with {OD} select series, day, {r('value')} as value from od")
 def write_table(spark, sf):
     path = scratch(spark, "panel")

@@ -71,6 +71,43 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("time").collect()] == [(7, 1.5), (8, None)]
 
 
+def csv_file(path, *lines):
+    path.write_text("\n".join(lines) + "\n" if lines else "")
+    return str(path)
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    a = csv_file(tmp_path / "a.csv", "time,close", "1,10.0")
+    b = csv_file(tmp_path / "b.csv", "close,time", "20.0,2")
+    c = csv_file(tmp_path / "c.csv", '"odd, name",time,close,more', '"x, y",3,30.0,1', "z,4,,2")
+    d, e = csv_file(tmp_path / "d.csv"), csv_file(tmp_path / "e.csv", "time,close")
+    want = [(1, 10.0), (2, 20.0), (3, 30.0), (4, None)]
+    for path in ([a, b, c, d, e], str(tmp_path), f"{tmp_path}/*.csv"):
+        rows = readers.read_series_csv(spark, path, "time bigint, close double")
+        assert sorted(map(tuple, rows.collect())) == want
+    only = readers.read_series_csv(spark, [b, a], "time bigint, close double", ["close"])
+    assert sorted(r.close for r in only.collect()) == [10.0, 20.0] and only.columns == ["close"]
+    assert readers.read_series_csv(spark, d, "time bigint, close double").collect() == []
+    f = csv_file(tmp_path / "f.csv", "time,open", "5,50.0")
+    with pytest.raises(ValueError, match="no column 'close' in the header of .*f.csv"):
+        readers.read_series_csv(spark, [a, f], "time bigint, close double")
+
+
+def test_cells_that_cannot_be_read(spark, tmp_path):
+    a = csv_file(tmp_path / "a.csv", "time,close", "1,10.0", '2,"1,234.5"', "x,30.0", "4,")
+    b = csv_file(tmp_path / "b.csv", "close,time", '"1,234.5",5', "NaN,6")
+    schema = "time bigint, close double"
+    rows = readers.read_series_csv(spark, [a, b], schema).collect()
+    assert sorted(rows, key=repr) == sorted([(1, 10.0), (2, None), (None, 30.0), (4, None), (5, None), (6, None)], key=repr)
+    found = {(r.file.rsplit("/", 1)[1], r.column, r.cell, r.n) for r in readers.rejected_cells(spark, [a, b], schema).collect()}
+    assert found == {("a.csv", "close", "1,234.5", 1), ("a.csv", "time", "x", 1), ("b.csv", "close", "1,234.5", 1)}
+    raised = failing(readers.read_series_csv(spark, b, schema, bad_values="raise"))
+    assert "close is no double in 1,234.5" in raised and "b.csv" in raised
+    assert readers.read_series_csv(spark, b, schema, ["time"], bad_values="raise").count() == 2
+    with pytest.raises(ValueError, match="bad_values"):
+        readers.read_series_csv(spark, b, schema, bad_values="drop")
+
+
 def test_feature_table_as_csv(spark, tmp_path):
     table = spark.createDataFrame([(DAY, 1.0, None), (DAY, 1.0, None)], "day date, x double, y double")
     path = str(tmp_path / "table.csv")
