@@ -9,7 +9,9 @@ rows, not joins.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -69,9 +71,26 @@ def tall_values(
     return reduce(DataFrame.union, parts)
 
 
-def _any_of(features: Iterable[Feature]) -> Column:
-    names = [f.level for f in features]
-    return F.col("series").isin(names) if names else F.lit(False)
+# How one series is prepared; `first` is the first day in use.
+_RULE = "fill: string, transform: string, on_file: boolean, zero_is_missing: boolean, first: date"
+
+
+def rules(features: Sequence[Feature]) -> Column:
+    """The rule of every series, a map in one literal: rows look theirs up, and no expression grows with the features."""
+    table = {
+        f.level: {
+            "fill": f.fill, "transform": f.transform, "on_file": f.grain == "file",
+            "zero_is_missing": f.zero_is_missing, "first": _first_day(f),
+        }
+        for f in features
+    }
+    return F.from_json(F.lit(json.dumps(table)), f"map<string, struct<{_RULE}>>")
+
+
+def _first_day(f: Feature) -> str | None:
+    if f.start is None or f.inclusive:
+        return f.start
+    return (date.fromisoformat(f.start) + timedelta(days=1)).isoformat()
 
 
 def prepared(
@@ -86,37 +105,27 @@ def prepared(
     by_day = Series(keys, ["day"])
     on_file = tall.withColumn("_file_before", by_day.lag("value"))
     aligned = align_to_spine(on_file, keys, "day", ["value", "_file_before"], start, end)
-
+    fill, transform = F.col("_rule.fill"), F.col("_rule.transform")
     cleaned = (
-        F.when(_any_of(f for f in features if f.zero_is_missing), zero_to_null("value"))
-        .when(_any_of(f for f in features if f.fill == "zero_before"), F.coalesce("value", F.lit(0.0)))
+        F.when(F.col("_rule.zero_is_missing"), zero_to_null("value"))
+        .when(fill == "zero_before", F.coalesce("value", F.lit(0.0)))
         .otherwise(F.col("value"))
     )
-    filled = F.when(
-        _any_of(f for f in features if f.fill == "forward"), by_day.forward_fill("_clean")
-    ).otherwise(F.col("_clean"))
-    before = F.when(_any_of(f for f in features if f.grain == "file"), F.col("_file_before")).otherwise(
-        by_day.lag("level")
+    filled = F.when(fill == "forward", by_day.forward_fill("_clean")).otherwise(F.col("_clean"))
+    before = F.when(F.col("_rule.on_file"), F.col("_file_before")).otherwise(by_day.lag("level"))
+    change = (
+        F.when(transform == "log_return", safe_ln("level") - safe_ln("_before"))
+        .when(transform == "log_return_shifted", log_count("level") - log_count("_before"))
+        .when(transform == "difference", F.col("level") - F.col("_before"))
     )
+    in_use = F.coalesce(F.col("day") >= F.col("_rule.first"), F.lit(True))
 
-    def using(transform: str) -> Column:
-        return _any_of(f for f in features if f.transform == transform)
+    def finished(c: str) -> Column:
+        return F.when(in_use, F.when(fill == "zero_after", F.coalesce(c, F.lit(0.0))).otherwise(F.col(c))).alias(c)
 
-    change = (
-        F.when(using("log_return"), safe_ln("level") - safe_ln("_before"))
-        .when(using("log_return_shifted"), log_count("level") - log_count("_before"))
-        .when(using("difference"), F.col("level") - F.col("_before"))
-    )
-    zero_after = _any_of(f for f in features if f.fill == "zero_after")
-    in_use = F.lit(True)
-    for f in features:
-        if f.start is not None:
-            in_use = F.when(F.col("series") == f.level, _in_use(f)).otherwise(in_use)
-    steps = aligned.withColumn("_clean", cleaned).withColumn("level", filled).withColumn("_before", before)
-    result = steps.withColumn("change", change).withColumns(
-        {c: F.when(zero_after, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in ("level", "change")}
-    )
-    return result.select(*keys, "day", *[F.when(in_use, F.col(c)).alias(c) for c in ("level", "change")])
+    ruled = aligned.withColumn("_rule", F.element_at(rules(features), F.col("series"))).withColumn("_clean", cleaned)
+    steps = ruled.withColumn("level", filled).withColumn("_before", before).withColumn("change", change)
+    return steps.select(*keys, "day", finished("level"), finished("change"))
 
 
 def consolidated(
@@ -142,29 +151,26 @@ def consolidated(
     return widen(rows, features, panel, sources)
 
 
-def _in_use(f: Feature) -> Column:
-    if f.start is None:
-        return F.lit(True)
-    first = F.lit(f.start).cast("date")
-    return F.col("day") >= first if f.inclusive else F.col("day") > first
-
-
 def widen(
     rows: DataFrame, features: Sequence[Feature] = FEATURES, panel: Sequence[str] = (), given: Iterable[str] = ()
 ) -> DataFrame:
     """(series, day, level, change) rows to one wide row per day. Features that
-    are filled with zeros are so too where a `given` source has no rows at all."""
-    cells = []
+    are filled with zeros are so too where a `given` source has no rows at all.
+
+    A day's cells are gathered into one map, one entry for each feature, so that
+    the aggregate is the same for any number of features.
+    """
+    entry = F.when(F.col("series").isNotNull(), F.struct("series", F.struct("level", "change").alias("cell")))
+    days = rows.groupBy(*panel, "day").agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
+    given, cells = set(given), {"day": "day", "is_weekend": "is_weekend"}
     for f in features:
-        mine = F.col("series") == f.level
-        level, change = F.max(F.when(mine, F.col("level"))), F.max(F.when(mine, F.col("change")))
-        if f.source in set(given) and f.fill in ("zero_before", "zero_after"):
-            empty = level.isNull() & _in_use(f)
-            level, change = F.when(empty, 0.0).otherwise(level), F.when(empty, 0.0).otherwise(change)
-        cells.append(level.alias(f.level))
-        if f.change is not None:
-            cells.append(change.alias(f.change))
-    wide = rows.groupBy(*panel, "day").agg(*cells).withColumn("is_weekend", is_weekend("day"))
-    ordered = [c for c in CONSOLIDATED_COLUMNS if c in wide.columns]
-    rest = [c for c in wide.columns if c not in {*ordered, *panel}]
-    return wide.select(*panel, *ordered, *rest)
+        zeros = f.source in given and f.fill in ("zero_before", "zero_after")
+        first = _first_day(f)
+        here = f"element_at(_cells, {f.level!r})"
+        empty = f"{here}.level is null" + (f" and day >= date '{first}'" if first else "")
+        for name, part in ((f.level, "level"), (f.change, "change")):
+            if name is not None:
+                cells[name] = f"if({empty}, 0D, {here}.{part})" if zeros else f"{here}.{part}"
+    ordered = [c for c in CONSOLIDATED_COLUMNS if c in cells] + [c for c in cells if c not in CONSOLIDATED_COLUMNS]
+    dated = days.withColumn("is_weekend", is_weekend("day"))
+    return dated.selectExpr(*[f"`{c}`" for c in panel], *[f"{cells[c]} as `{c}`" for c in ordered])
