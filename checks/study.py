@@ -15,14 +15,14 @@ from pyspark.sql.types import StructType
 from checks.panels import (
     EVENTS_END, EVENTS_START, END, OHLC, SHIP, START, W, events_ohlc, ln, r, rows, scratch, ship_daily, table,
 )
-from checks.registry import query, r6, rounded
+from checks.registry import ORACLES, query, r6, rounded
 from checks.sql_models import adf, f_tail, granger, ols, tau_tail
 from checks.profiling import _chow_out, _chow_sql, _corr_sql, _describe_sql, _melted, _report_sql, _vif_sql
 from dayloom.functions import scalar
 from dayloom.operators import calendar, correlation, profile, regression
 from dayloom.operators import granger as causality
 from dayloom.operators import unit_root
-from dayloom.plans import catalog, consolidate, variants
+from dayloom.plans import catalog, consolidate, recipes, variants
 from dayloom.session import ensure_checkpoint_dir
 from dayloom.sources import sinks
 from dayloom.sources.readers import load_feature_table, parse_day
@@ -577,3 +577,114 @@ def recipe_files(spark, sf):
             ).withColumn("source", F.lit(name))
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+# Every recipe from CSV files to its result. A file holds a slice of a panel; what is
+# expected is the SQL of the query with the same steps, on that slice.
+_LEVELS = {"nasdaq": ("201501_NASDAQ", "AO"), "gold": ("201501_PRICE_GOLD", "NF"), "us10y": ("201501_US10Y", "NO"), "vix": ("201501_VIX", "RF")}
+# folder -> raw file -> (panel, group, column -> expression)
+RECIPE_TABLES = {
+    "main": {
+        "price_btc": ("ship", "AF", {"close": "price"}),
+        "2014_SP500_PRICE": ("ship", "AF", {"close": "qty"}),
+        "2017_fundingRateCEXs": ("ship", "AO", dict(zip(catalog.FUNDING_RATES, ("disc", "tax", "cast(null as double)", "cast(null as double)")))),
+        "2010_supply_held_miners_whales": ("ship", "NF", {
+            "Supply held by Miners": "price", "Percent of Stablecoin Total Supply held by Whales with more than 5 million USD": "disc",
+        }),
+        "2009_supply_circulation_btc": ("total", None, {"Total Supply": "total"}),
+        "2010_supply_on_exchanges_perc": ("ship", "NO", {"Supply on Exchanges (as % of total supply)": "disc"}),
+        "2011_btcS&P500_divergence_rsi_volatilly": ("ship", "RF", {"BTC and S&P 500 Price Divergence": "disc", "RSI 1d": "qty"}),
+        "2018_coinbase_premium_index": ("ship", "RO", {"close": "disc"}),
+        "2017_mvrv_z_score": ("ship", "AF", {"Plot": "disc"}),
+        "2015_transactionVolumeEth": ("ship", "AO", {"Transaction Volume (ETH)": "price"}),
+        "2015_supply_held_by_exchanges_top_wallets": ("ship", "NF", {"Supply on Exchanges (as % of total supply) (ETH)": "qty"}),
+        "2017_eth_social_metrics": ("weekly", "NO", {"Social Volume (ETH)": "qty"}),
+        "eth_social_metrics": ("ship", "RF", {"Social Dominance (ETH)": "disc", "Social Volume (ETH)": "qty"}),
+        "201501_mkcap_total3": ("ship", "RO", {"close": "price"}),
+        "201404_ssr": ("ship", "AF", {"SSR": "qty"}),
+        "201809_Flippening_Ratio_Diff": ("ship", "AO", {"close": "disc"}),
+        "2012_btc_altcoin_social_metrics": ("ship", "NF", {catalog.SOCIAL_BTC: "qty", catalog.SOCIAL_ALT: "disc", catalog.SOCIAL_NAMED: "tax"}),
+        "201901_dominance_usdc": ("ship", "NO", {"close": "price"}),
+        **{source: ("ship", group, {"close": "disc"}) for source, group in _LEVELS.values()},
+    },
+    "other": {
+        "price_btc": ("events", "view", {c: c for c in ("open", "high", "low", "close")}),
+        "2014_SP500_PRICE": ("ship", "RO", {"close": "disc"}),
+    },
+}
+
+
+def _difference_sql(x):
+    return f"with {SHIP} select series, day, {r(x)} as {x}, {r(f'{x} - lag({x}) over {W}')} as diff from ship"
+
+
+# recipe -> (folder, SQL, group, first day after, {column: the SQL's column})
+RECIPE_CASES = {
+    "target_price": ("main", "target_price", "AF", "1995-01-01", {"price": "price"}),
+    "ohlc": ("other", "ohlc_features", "view", None, {c: c for c in ("close", "log_ret", "vigor_ma10", "hv10")}),
+    "funding_percent": ("main", "funding_percent", "AO", None, {c: c for c in ("rate_pct", "rate_ma7")}),
+    "share_of_supply": ("main", "share_of_supply", "NF", None, {"held_pct": "price_pct", "whales": "disc"}),
+    "exchange_flow": ("main", "flow_trend", "NO", None, {c: c for c in ("change", "trend_7", "z_30")}),
+    "divergence_trend": ("main", "divergence_trend", "RF", None, {"divergence": "disc", "trend_30": "trend_30", "rsi": "qty"}),
+    "premium_trend": ("main", "premium_trend", "RO", None, {"premium": "disc", "trend_7": "trend_7", "z_30": "z_30"}),
+    "mvrv_oscillator": ("main", "interpolated_oscillator", "AF", None, {"mvrv": "disc", "change": "change", "ma_30": "ma_30", "z_365": "z_365"}),
+    "pair_correlation": ("main", "rolling_pair_correlation", "AF", None, {"index": "qty", "asset_log_ret": "asset_log_ret", "corr": "corr"}),
+    "eth_volume": ("main", "log_level_change", "AO", None, {"volume": "price", "log_level": "log_level", "log_diff": "log_diff"}),
+    "eth_exchange_supply": ("main", "change_zscore", "NF", None, {"supply": "qty", "change": "change", "z": "z"}),
+    "eth_social_breadth": ("main", "weekly_breadth", "NO", None, {"z": "z"}),
+    "eth_social": ("main", "level_and_change", "RF", "1995-01-31", {
+        "dominance": "disc", "dominance_diff": "level_diff", "volume": "qty", "volume_log_ret": "count_log_ret",
+    }),
+    "sp500_level": ("other", "interpolated_level", "RO", None, {"level": "disc"}),
+    **{f"{name}_level": ("main", "interpolated_level", group, None, {"level": "disc"}) for name, (_, group) in _LEVELS.items()},
+    "total3": ("main", "log_level_change", "RO", None, {"total3": "price", "log_level": "log_level", "log_diff": "log_diff"}),
+    "ssr": ("main", _difference_sql("qty"), "AF", None, {"ssr": "qty", "ssr_diff": "diff"}),
+    "flippening": ("main", _difference_sql("disc"), "AO", None, {"ratio": "disc", "ratio_diff": "diff"}),
+    "social_spread": ("main", "social_spread", "NF", None, {c: c for c in ("log_spread", "momentum")}),
+    "market_noise": ("main", "market_noise", "NF", None, {c: c for c in ("log_spread", "momentum", "noise_z")}),
+    "usdc_dominance": ("main", "filled_log_return", "NO", "1995-01-03", {"dominance": "price", "log_ret": "log_ret"}),
+}
+
+
+def _expected(recipe: str) -> str:
+    _, sql, group, _, columns = RECIPE_CASES[recipe]
+    named = ", ".join(f'"{theirs}"::double as "{ours}"' for ours, theirs in columns.items())
+    listed = ", ".join(f'"{c}"' for c in columns)
+    return (
+        f"select '{recipe}' as recipe, day::date as day, name, value from (select day, {named} from ({ORACLES.get(sql, sql)}) "
+        f"where series = '{group}') unpivot include nulls (value for name in ({listed}))"
+    )
+
+
+def _recipe_files(spark, sf) -> dict[str, str]:
+    """The files of each folder, with a further column in front and the others in reverse order."""
+    ship = ship_daily(spark, sf)
+    panels = {
+        "ship": ship.checkpoint(), "events": events_ohlc(spark, sf).checkpoint(),
+        "total": ship.groupBy("day").agg(F.round(F.sum("price"), 2).alias("total")).withColumn("series", F.lit(None).cast("string")),
+        "weekly": ship.groupBy("series", F.trunc("day", "week").alias("day")).agg(F.sum("qty").alias("qty")),
+    }
+    folders = {}
+    for name, files in RECIPE_TABLES.items():
+        folders[name] = scratch(spark, f"recipes-{name}")
+        for file, (panel, group, columns) in files.items():
+            source = catalog.SOURCES[file]
+            fields = [f.name for f in reversed(StructType.fromDDL(source.schema).fields)]
+            cells = [
+                (_encoded(source) if c == source.day else F.expr(columns.get(c, "cast(null as double)"))).alias(c) for c in fields
+            ]
+            rows_ = panels[panel].filter(F.col("series").eqNullSafe(group)).select(F.lit("x").alias("not declared"), *cells)
+            sinks.write_table(rows_.coalesce(1), f"{folders[name]}/{file}.csv", "csv")
+    return folders
+
+
+@query("recipes_from_files", " union all ".join(map(_expected, RECIPE_CASES)))
+def recipes_from_files(spark, sf):
+    ensure_checkpoint_dir(spark)
+    folders, parts = _recipe_files(spark, sf), []
+    for name, (folder, _, _, after, columns) in RECIPE_CASES.items():
+        recipe = recipes.pair_correlation(5) if name == "pair_correlation" else recipes.RECIPES[name]
+        start, end = (EVENTS_START, EVENTS_END) if name == "ohlc" else (START, END)
+        done = rounded(recipes.run_from_files(spark, folders[folder], recipe, recipes.Calendar(start, end, after or start)), *columns)
+        parts.append(done.unpivot(["recipe", "day"], list(columns), "name", "value"))
+    return reduce(DataFrame.unionByName, parts)
