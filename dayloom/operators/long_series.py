@@ -18,6 +18,7 @@ columns must not be NULL.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType
@@ -47,6 +48,43 @@ def range_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece
     return cut.withColumns({"_piece": F.spark_partition_id(), "_at": in_piece}).checkpoint()
 
 
+@dataclass(frozen=True)
+class Pieces:
+    """Rows that are cut and written once, for several operators in a row.
+
+    `fill` and `index` add columns and keep the cut; `windows` and `rows` end it. A
+    column that is added later does not move rows, so nothing is cut again.
+    """
+
+    frame: DataFrame
+    keys: Sequence[str]
+    order: Sequence[str]
+
+    def fill(self, value: str, method: str, out: str | None = None) -> Pieces:
+        """`fill_long` on these pieces."""
+        return replace(self, frame=_filled(self, value, method, out))
+
+    def index(self, out: str = "row_index") -> Pieces:
+        """`row_index` on these pieces."""
+        return replace(self, frame=indexed(self.frame, self.keys, out))
+
+    def windows(
+        self, reach: int, *steps: Callable[[Series], Mapping[str, Column]], rows_per_block: int | None = None,
+        index: str = "_index",
+    ) -> DataFrame:
+        """`bounded_windows` on these pieces."""
+        rows = self.index(index).rows()
+        return _in_blocks(rows, self.keys, reach, steps, rows_per_block or ROWS_PER_BLOCK, index)
+
+    def rows(self) -> DataFrame:
+        return self.frame.drop("_piece", "_at")
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> Pieces:
+    """The rows in pieces, to be handed from operator to operator."""
+    return Pieces(range_pieces(df, keys, order, pieces), tuple(keys), tuple(order))
+
+
 def _piece_window(keys: Sequence[str]) -> Series:
     """Windows over per-piece summaries: at most one row per piece and key."""
     return Series(list(keys), ["_piece"])
@@ -81,7 +119,7 @@ def row_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_index", pieces: int | None = None
 ) -> DataFrame:
     """Dense 0-based row index per key, without a whole key in one task."""
-    return indexed(range_pieces(df, keys, order, pieces), keys, out).drop("_piece", "_at")
+    return cut(df, keys, order, pieces).index(out).rows()
 
 
 def blocks_with_halo(
@@ -120,7 +158,12 @@ def bounded_windows(
     Each step maps a `Series` to named columns; later steps see earlier ones,
     so `reach` is the sum over chained steps (a 7-row mean of differences: 7).
     """
-    rows = row_index(df, keys, order, index, pieces)
+    return cut(df, keys, order, pieces).windows(reach, *steps, rows_per_block=rows_per_block, index=index)
+
+
+def _in_blocks(
+    rows: DataFrame, keys: Sequence[str], reach: int, steps: Sequence[Callable], rows_per_block: int, index: str
+) -> DataFrame:
     blocks = blocks_with_halo(rows, index, reach, rows_per_block)
     series = Series([*keys, "_block"], [index])
     for step in steps:
@@ -165,11 +208,15 @@ def fill_long(
 ) -> DataFrame:
     """Fill a long series: method 'forward', 'backward', 'interpolate' or
     'interpolate_both' (linear in the first order column, a day or timestamp)."""
-    cut = range_pieces(df, keys, order, pieces)
+    return cut(df, keys, order, pieces).fill(value, method, out).rows()
+
+
+def _filled(pieces: Pieces, value: str, method: str, out: str | None) -> DataFrame:
+    keys, order = list(pieces.keys), list(pieces.order)
     local = Series([*keys, "_piece"], order)
     point = _known_point(value, order)
     directions = {"forward": ["_from_before"], "backward": ["_from_after"]}.get(method, ["_from_before", "_from_after"])
-    rows = cut.join(_carried(cut, keys, order, value, directions), [*keys, "_piece"])
+    rows = pieces.frame.join(_carried(pieces.frame, keys, order, value, directions), [*keys, "_piece"])
     prev = nxt = None
     if method != "backward":
         prev = F.coalesce(local.forward_fill(point), F.col("_from_before"))
@@ -184,9 +231,7 @@ def fill_long(
         filled = interpolated(value, order[0], F.col("_prev"), F.col("_next"), method == "interpolate_both")
     else:
         raise ValueError(f"unknown fill method {method!r}")
-    return rows.withColumn(out or value, filled).drop(
-        "_piece", "_at", "_from_before", "_from_after", "_prev", "_next"
-    )
+    return rows.withColumn(out or value, filled).drop("_from_before", "_from_after", "_prev", "_next")
 
 
 def exact_quantiles(

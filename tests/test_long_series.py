@@ -63,6 +63,30 @@ def test_bounded_windows(rows, block):
     assert got.count() == rows.count()
 
 
+def test_several_operators_share_one_cut(spark, rows, monkeypatch):
+    """Two fills, an index and windows in a row: written once, with the results of each alone."""
+    written = []
+    whole = long_series.range_pieces
+    monkeypatch.setattr(long_series, "range_pieces", lambda *a, **k: written.append(1) or whole(*a, **k))
+    pieces = long_series.cut(rows, ["series"], ORDER, 7).fill("x", "forward", "before").fill("x", "interpolate", "between")
+    steps = [lambda s: {"d": s.diff("before")}, lambda s: {"m": s.rolling_mean("d", 5, 2)}]
+    shared = pieces.index("at").windows(5, *steps, rows_per_block=64)
+    got = shared.select("series", "id", "before", "between", "at", "d", "m").toPandas().sort_values(["series", "id"])
+    assert len(written) == 1
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+    alone = {
+        "before": ordered(long_series.fill_long(rows, ["series"], ORDER, "x", "forward"), "x"),
+        "between": ordered(long_series.fill_long(rows, ["series"], ORDER, "x", "interpolate"), "x"),
+        "at": ordered(long_series.row_index(rows, ["series"], ORDER), "row_index"),
+    }
+    for name, want in alone.items():
+        assert_close(got[name], want, 1e-12)
+    filled = long_series.fill_long(rows, ["series"], ORDER, "x", "forward", "before")
+    assert_close(got["m"], ordered(long_series.bounded_windows(filled, ["series"], ORDER, 5, *steps, rows_per_block=64), "m"), 1e-9)
+    assert len(written) == 6
+
+
 def test_halo_must_fit(rows):
     with pytest.raises(ValueError, match="at least as long"):
         long_series.blocks_with_halo(rows, "id", 10, 5)
