@@ -8,7 +8,9 @@ inside a base span.
 
 Patterns that must not start inside a run say so with a look-behind or `\\G`, and
 take runs possessively, so that no text makes them slow; what they match is the
-leftmost match of the plain pattern.
+leftmost match of the plain pattern. Places are summed up in blocks of matches, and
+words nearby are looked up in pieces of the text, so that the time a text takes grows
+with its length and its spans, not with their product.
 
 Offsets count code points, ends are exclusive. Null and empty texts have no
 spans. Spans that begin at the same place are ordered as `KINDS` lists them.
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dayloom.llm.expressions import let
+from dayloom.llm.expressions import let, scan
 
 _LOCAL = r"A-Za-z0-9._%+-"
 
@@ -105,38 +107,59 @@ CONTEXT_WEIGHT, CONTEXT_BEFORE, CONTEXT_AFTER = 30, 40, 20
 THRESHOLD = 50
 
 
+# Long texts are cut into pieces of so many code points, where the words near a span are looked up.
+_PIECE = 256
+
+
+def _pieces(text: Column) -> Column:
+    short = F.length(text) <= _PIECE
+    return F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """At most `length` code points from a place on, which lie in one piece or two."""
+    number = F.floor(start / _PIECE).cast("int")
+    first, second = F.get(pieces, number), F.coalesce(F.get(pieces, number + 1), F.lit(""))
+    at = start - number * _PIECE
+    return F.when(
+        at + length <= _PIECE, F.substr(first, at + 1, length)
+    ).otherwise(F.substr(F.concat(first, second), at + 1, length))
+
+
 def _proposed(text: Column, digits: Column, kind: Kind, number: int) -> Column:
     """Confirmed spans of a kind: start, kind, end, score; `digits` says whether the text has any."""
 
     def places(found: Column, gaps: Column) -> Column:
-        nothing = F.expr("struct(0 as at, cast(array() as array<struct<start:int,kind:int,end:int,value:string>>) as spans)")
-
-        def step(acc: Column, i: Column) -> Column:
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
             value = F.get(found, i)
-            start = acc["at"] + F.length(F.get(gaps, i))
+            start = at + F.length(F.get(gaps, i))
             end = start + F.length(value)
-            span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), value.alias("value"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+            return end, F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), i.alias("i"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), nothing, step, lambda acc: acc["spans"])
+        numbers = F.sequence(F.lit(0), F.size(found) - 1)
+        return let(numbers, lambda n: scan(n, F.lit(0), step, "struct<start:int,kind:int,end:int,i:int>"))
 
-    def scored(span: Column) -> Column:
+    def scored(pieces: Column, span: Column) -> Column:
         first = F.greatest(span["start"] - CONTEXT_BEFORE, F.lit(0))
         near = F.concat_ws(
-            " ", F.substr(text, first + 1, span["start"] - first),
-            F.substr(text, span["end"] + 1, F.lit(CONTEXT_AFTER)),
+            " ", _part(pieces, first, span["start"] - first), _part(pieces, span["end"], F.lit(CONTEXT_AFTER))
         )
         bonus = F.when(F.lower(near).rlike(kind.context), CONTEXT_WEIGHT).otherwise(0)
         score = F.least(F.lit(kind.score) + bonus, F.lit(100))
         return F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), score.alias("score"))
 
+    def with_scores(spans: Column) -> Column:
+        return F.when(
+            F.size(spans) > 0, let(_pieces(text), lambda pieces: F.transform(spans, lambda s: scored(pieces, s)))
+        ).otherwise(none)
+
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:int>>)")
     found = let(
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
         lambda m: F.when(F.size(m) == 0, none).otherwise(
-            F.transform(
-                F.filter(let(F.split(text, kind.pattern, -1), lambda g: places(m, g)), lambda s: kind.confirmed(s["value"])),
-                scored,
+            let(
+                F.filter(let(F.split(text, kind.pattern, -1), lambda g: places(m, g)), lambda s: kind.confirmed(F.get(m, s["i"]))),
+                with_scores,
             )
         ),
     )
@@ -144,6 +167,23 @@ def _proposed(text: Column, digits: Column, kind: Kind, number: int) -> Column:
     return F.when(hinted, found).otherwise(none)
 
 
+def _outside(base: Column, added: Column) -> Column:
+    """All spans in order, without those of `added` that lie inside one of `base`."""
+    span = "struct<start:int,kind:int,end:int,score:int>"
+
+    def step(reach: Column, s: Column) -> tuple[Column, Column]:
+        # Base spans stand before added ones of the same start, so the furthest end so far tells.
+        is_base = s["kind"] < len(BASE)
+        kept = F.struct(s.alias("span"), (is_base | (s["end"] > reach)).alias("kept"))
+        return F.when(is_base, F.greatest(reach, s["end"])).otherwise(reach), kept
+
+    def swept(spans: Column) -> Column:
+        marked = scan(spans, F.lit(0), step, f"struct<span:{span},kept:boolean>")
+        return F.transform(F.filter(marked, lambda m: m["kept"]), lambda m: m["span"])
+
+    return F.when(F.size(added) == 0, base).otherwise(let(F.sort_array(F.concat(base, added)), swept))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*(F.lit(k.name) for k in KINDS))
     return F.array_join(
@@ -167,12 +207,8 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.concat(*(_proposed(text, digits, k, len(BASE) + i) for i, k in enumerate(ADDED))).alias("added"),
     )
     base, added = F.col("base"), F.col("added")
-    kept = F.filter(
-        added,
-        lambda a: (a["score"] >= THRESHOLD)
-        & ~F.exists(base, lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])),
-    )
-    spans = proposed.select("id", "base", F.sort_array(F.concat(base, kept)).alias("spans"))
+    likely = F.filter(added, lambda a: a["score"] >= THRESHOLD)
+    spans = proposed.select("id", "base", let(likely, lambda a: _outside(base, a)).alias("spans"))
     counts = [_count(base, i).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     return spans.select(
         F.col("id").alias(id_column), *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),

@@ -79,6 +79,32 @@ def test_personal_data_on_odd_rows(spark):
     assert pii.personal_data(odd_rows.empty(spark)).count() == 0
 
 
+def test_many_spans_in_one_text(spark):
+    """More spans than a block of blocks holds, and words nearby on both sides of a piece's border."""
+    many = " ".join(f"é user{i}@mail.org, 10.0.{i % 300}.7 and 078-05-{i:04d}" for i in range(5000))
+    lines = [f"{'é' * pad} ssn: 078-05-1120 {'x' * 30}" for pad in range(200, 300)]
+    lines += [f"{'é' * pad} 078-05-1120 is the ssn" for pad in range(200, 300)]
+    lines += [f"{'é' * pad} ssn {'x' * 40} 078-05-1120 {'x' * 20} ssn" for pad in range(200, 300)]
+    rows = {r.doc_id: r for r in pii.personal_data(odd_rows.documents(spark, [many, *lines])).collect()}
+    assert rows[0].base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest()
+    assert (rows[0].n_email, rows[0].n_ip) == (5000, 5000 - sum(i % 300 > 255 for i in range(5000)))
+    for i, line in enumerate(lines):
+        at = line.index("078")
+        want = f"ssn:{at}:{at + 11}" if i < 200 else ""
+        assert (rows[i + 1].spans, rows[i + 1].scores) == (want, "60" if want else "")
+
+
+def test_added_spans_inside_base_spans_go(spark):
+    rng = random.Random(3)
+    parts = ["+1 (017) 555-7713", "(017) 555-7713", " phone ", "078-05-1120", " ssn ", "+49 ", "GB82WEST12345698765432", "@x.org", "é", ", "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(400)]
+    for row in pii.personal_data(odd_rows.documents(spark, texts)).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in row.spans.split(",") if s)]
+        base = [s for s in spans if s[0] in dict((name, 0) for name, _, _ in BASE)]
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in base) == base_spans(texts[row.doc_id])
+        assert not [s for s in spans if s not in base and any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
+
+
 def counts(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = list(zip(ws, ws[1:], ws[2:]))
