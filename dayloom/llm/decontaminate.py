@@ -5,6 +5,8 @@ fewer words is one window). All windows of one length share a block shift table:
 the last three words before the reading position say how far the search may
 advance without missing a window. Where the shift is zero, the block also names
 the bucket of windows that end with it, and a direct comparison confirms one.
+Where the items are too many for one block of bounded size, each block is a pass
+over the texts that writes only digests of texts and what was found in them.
 
 Rules for odd input: null and empty texts have no words, null and empty items no
 windows; an item whose id is null is listed as "null", one whose id repeats
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from dayloom.llm.tables import per_row, rows_where, settle, utf8
+from dayloom.llm.tables import per_row, rows_where, sent_if_small, settle, slices, utf8
 
 WINDOW = 10
 BLOCK = 3
@@ -128,57 +132,104 @@ def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str =
             size += row.n
 
 
-def _passes(docs: DataFrame, keep: list[str], text_column: str, items: DataFrame) -> DataFrame:
-    """`keep`, n_words, hits (one bit for each word, or null), found (ids); one pass for each block of items."""
-    spark, rows, blocks = docs.sparkSession, docs, iter(item_blocks(items))
+def _in_block(texts: DataFrame, block: Callable[[], list]) -> DataFrame:
+    """Of each distinct text with a hit: its SHA-256, a bit for each word, items found. Written to the shared folder."""
+    patterns = texts.sparkSession.sparkContext.broadcast(block())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searchers = machines(patterns.value)
+        for batch in (part for full in batches for part in slices(full)):
+            rows = {}
+            for raw in utf8(batch.column(0)):
+                hit, found = search(searchers, words_of(raw))
+                if hit is not None:
+                    rows[hashlib.sha256(raw).hexdigest()] = (np.packbits(hit).tobytes(), sorted(found))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(rows), pa.string()), pa.array([h for h, _ in rows.values()], pa.binary()),
+                    pa.array([f for _, f in rows.values()], pa.list_(pa.string())),
+                ],
+                names=["__text", "__hits", "__found"],
+            )
+
+    hits = texts.mapInArrow(run, "__text string, __hits binary, __found array<string>")
+    # Copies of a text give the same row, and meet before they are sent.
+    kept = settle(hits.groupBy("__text").agg(F.first("__hits").alias("__hits"), F.first("__found").alias("__found")))
+    patterns.unpersist()
+    return kept
+
+
+# Copies of one text are dealt over so many tasks where rows meet their text's hits.
+_SALT = 16
+
+
+def _salted(docs: DataFrame, text_column: str) -> DataFrame:
+    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
+    return docs.withColumn("__text", F.sha2(text, 256)).withColumn("__salt", F.spark_partition_id() % _SALT)
+
+
+def _for_all_salts(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+
+
+def _passes(docs: DataFrame, id_column: str, text_column: str, items: DataFrame) -> DataFrame:
+    """Id, n_words, hits (for each word a bit, from one or more blocks), found (ids); one pass for each block of items.
+
+    With several blocks, a pass writes what it found under the text's digest, and no text.
+    """
+    blocks = item_blocks(items)
     block, following = next(blocks), next(blocks, None)
-    first = True
-    while True:
-        patterns = spark.sparkContext.broadcast(block())
-        reads = [text_column] if first else [text_column, "__hits", "__found"]
-        last = following is None
+    if following is None:
+        patterns = docs.sparkSession.sparkContext.broadcast(block())
 
-        def compute(patterns=patterns):
+        def compute():
             searchers = machines(patterns.value)
 
-            def work(text, hits=None, found=None):
+            def work(text):
                 counts, bits, names = [], [], []
-                for row, raw in enumerate(utf8(text)):
+                for raw in utf8(text):
                     words = words_of(raw)
-                    hit, items_here = search(searchers, words)
-                    if hits is not None:
-                        before = hits[row].as_py()
-                        if before is not None:
-                            earlier = np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool)
-                            hit = earlier if hit is None else hit | earlier
-                        items_here |= set(found[row].as_py())
+                    hit, found = search(searchers, words)
                     counts.append(len(words))
-                    bits.append(None if hit is None else np.packbits(hit).tobytes())
-                    names.append(sorted(items_here))
+                    bits.append([] if hit is None else [np.packbits(hit).tobytes()])
+                    names.append(sorted(found))
                 return [
-                    pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))
+                    pa.array(counts, pa.int64()), pa.array(bits, pa.list_(pa.binary())), pa.array(names, pa.list_(pa.string()))
                 ]
 
             return work
 
-        kept = keep if last or text_column in keep else [*keep, text_column]
-        schema = "__n_words bigint, __hits binary, __found array<string>"
-        rows = per_row(rows, kept, reads, compute, schema)
-        if last:
-            return rows.select(*keep, "__n_words", "__hits", "__found")
-        rows, first = settle(rows), False
-        patterns.unpersist()
-        block, following = following, next(blocks, None)
+        return per_row(
+            docs, [id_column], [text_column], compute, "__n_words bigint, __hits array<binary>, __found array<string>"
+        )
+    texts = docs.select(text_column)
+    hits = reduce(DataFrame.unionAll, [_in_block(texts, b) for b in chain([block, following], blocks)])
+    merged = hits.groupBy("__text").agg(
+        F.collect_list("__hits").alias("__hits"), F.flatten(F.collect_list("__found")).alias("__found")
+    )
+    counted = per_row(
+        _salted(docs, text_column), [id_column, "__text", "__salt"], [text_column],
+        lambda: lambda text: [pa.array([len(words_of(raw)) for raw in utf8(text)], pa.int64())], "__n_words bigint",
+    )
+    joined = counted.join(_for_all_salts(merged), ["__text", "__salt"], "left")
+    return joined.select(id_column, "__n_words", "__hits", "__found")
+
+
+def _ones(bits: list[bytes]) -> int:
+    """How many words are hit in any of the blocks."""
+    if not bits:
+        return 0
+    return int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits])).sum())
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: words, words hit, items found, digest, verdict."""
-    found = _passes(docs.select(id_column, text_column), [id_column], text_column, items)
+    found = _passes(docs.select(id_column, text_column), id_column, text_column, items)
 
     def compute():
         def work(n_words, hits, names):
-            lists = [x or [] for x in names.to_pylist()]
-            hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits.to_pylist()]
+            lists = [sorted(set(x or [])) for x in names.to_pylist()]
+            hit = [_ones(h or []) for h in hits.to_pylist()]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
             return [
                 n_words, pa.array(hit, pa.int64()), pa.array(map(len, lists), pa.int64()), pa.array(digest),
@@ -195,16 +246,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows in which no window of any item occurs, with all their columns."""
-    rows, spark, patterns = docs, docs.sparkSession, None
-    for block in item_blocks(items):
-        if patterns is not None:
-            rows = settle(rows)
-            patterns.unpersist()
-        patterns = spark.sparkContext.broadcast(block())
-
-        def verdict(patterns=patterns):
+    blocks = item_blocks(items)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        patterns = docs.sparkSession.sparkContext.broadcast(block())
+
+        def verdict():
             searchers = machines(patterns.value)
             return lambda text: [search(searchers, words_of(raw))[0] is None for raw in utf8(text)]
 
-        rows = rows_where(rows, [text_column], verdict)
-    return rows
+        return rows_where(docs, [text_column], verdict)
+    texts = docs.select(text_column)
+    found = [_in_block(texts, b).select("__text") for b in chain([block, following], blocks)]
+    bad = settle(reduce(DataFrame.unionAll, found).distinct())
+    few = sent_if_small(_for_all_salts(bad))
+    return _salted(docs, text_column).join(few, ["__text", "__salt"], "left_anti").drop("__text", "__salt")

@@ -62,9 +62,13 @@ def test_blocks_are_searched_for_one_by_one(spark, monkeypatch):
     items, texts = sample(4, 60)
     items = items[:6]
     frame = spark.createDataFrame(items, "item_id bigint, text string")
+    written = []
+    monkeypatch.setattr(D, "settle", lambda df, settle=D.settle: written.append(df.columns) or settle(df))
     clean = D.without_contaminated(odd_rows.documents(spark, texts), frame)
     assert clean._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one stage in each form of the plan
     assert sorted(r.doc_id for r in clean.collect()) == [i for i, t in enumerate(texts) if not brute(t, items)[4]]
+    # The items are written once, and of the documents no more than digests and hits.
+    assert [c for c in written if "text" in c] == [["block", "item", "text"]] and len(written) > 3
     blocks = [block() for block in D.item_blocks(frame)]
     assert sorted(i for block in blocks for i, _ in block) == [str(i) for i, _ in items] and len(blocks) > 1
     assert all(len(block) == 1 or sum(len(t) for _, t in block) <= 40 for block in blocks)
