@@ -350,8 +350,20 @@ def granger_by_era(spark, sf):
 
 @query(
     "granger_skipped",
-    """select 'constant' as feature, 'constant lag column' as reason union all select 'few', 'insufficient rows'
-    union all select 'nothing', 'insufficient rows'""",
+    f"""with {SHIP_WIDE}, pairs as (
+      select 'ro_qty' as feature, day, af_qty as y, ro_qty as x from sw
+      union all select 'constant', day, af_qty, nf_qty * 0 + 1 from sw
+      union all select 'few', day, af_qty, case when day < date '1995-01-15' then nf_qty end from sw
+      union all select 'nothing', day, af_qty, case when day < date '1990-01-01' then nf_qty end from sw),
+    numbered as (select feature, y, x, row_number() over (partition by feature order by day) - 1 as i,
+      count(*) over (partition by feature) as n from pairs where y is not null and x is not null),
+    lagged as (select feature, n, lags, back, min(x) = max(x) or min(y) = max(y) as flat
+      from numbered, range(1, 6) a(lags), range(1, 6) b(back)
+      where back <= lags and i between lags - back and n - 1 - back group by all),
+    seen as (select feature, max(n) as n, bool_or(flat) as flat from lagged group by feature)
+    select feature, case when coalesce(n, 0) <= 3 * 5 + 1 then 'insufficient rows' else 'constant lag column' end as reason
+    from (values ('ro_qty'), ('constant'), ('few'), ('nothing')) f(feature) left join seen using (feature)
+    where coalesce(n, 0) <= 3 * 5 + 1 or flat""",
 )
 def granger_skipped(spark, sf):
     rows = ship_wide(spark, sf).select(
