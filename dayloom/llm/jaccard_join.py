@@ -352,8 +352,11 @@ def rooted_links(found: DataFrame) -> DataFrame:
     return total.join(hung, "root", "left").select("copy", "links", F.coalesce("lowest", "root").alias("root"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the lowest node that each node is connected with; large and small stars in turn."""
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, root): the lowest node that each node is connected with; large and small stars in turn.
+
+    What each turn leaves is written in at most `files` files, where given.
+    """
 
     def stars(pairs: DataFrame, small: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -372,10 +375,10 @@ def components(edges: DataFrame) -> DataFrame:
     def print_of(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    pairs = settle(edges.where(F.col("a") != F.col("b")).distinct())
+    pairs = settle(edges.where(F.col("a") != F.col("b")).distinct(), files)
     before = print_of(pairs)
     while True:
-        pairs = settle(stars(stars(pairs, False), True))
+        pairs = settle(stars(stars(pairs, False), True), files)
         now = print_of(pairs)
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))

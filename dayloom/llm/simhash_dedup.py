@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.jaccard_join import components, groups
-from dayloom.llm.tables import per_row, sent_if_small, settle, utf8
+from dayloom.llm.tables import files_of, in_full_tasks, per_row, sent_if_small, settle, utf8
 
 SHINGLE, SEED, REACH = 3, 42, 3
 # Fingerprints in a node that one task searches; levels of upper nodes; nodes in a node.
@@ -48,6 +48,8 @@ LEAF, DEPTH, FAN = 2048, 3, 8
 FIELDS = REACH + 1
 # Fingerprints that are searched for at once, and shingles whose bits are counted at once.
 TOGETHER, COUNTED = 256, 65_536
+# Bytes of text that a task has at least, where the input comes in smaller parts.
+TASK_BYTES = 4_000_000
 _ALL = (1 << 64) - 1
 
 
@@ -81,7 +83,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
         return work
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = in_full_tasks(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", TASK_BYTES)
     return per_row(rows, ["id"], ["text"], compute, "fp bigint")
 
 
@@ -215,13 +217,13 @@ def below(nodes: DataFrame) -> DataFrame:
 def upper_nodes(codes: DataFrame) -> DataFrame:
     """(path, n, fp): the nodes that tasks search, each with two fingerprints or more."""
     root = codes.select(F.lit(0).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("held"), "fp")
-    open_nodes, done = root, None
+    open_nodes, done, n_open = root, None, codes.count()
     for depth in range(1, DEPTH + 1):
         nodes = below(open_nodes)
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        met = settle(nodes.join(sizes, "path"))
+        met = settle(nodes.join(sizes, "path"), files_of(FIELDS * n_open))
         large = F.col("n") > LEAF
-        last = depth == DEPTH or met.where(large).isEmpty()
+        last = depth == DEPTH or not (n_open := met.where(large).count())
         ready = (met if last else met.where(~large)).select("path", "n", "fp")
         done = ready if done is None else done.unionByName(ready)
         if last:
@@ -243,20 +245,21 @@ def tasks(nodes: DataFrame) -> DataFrame:
 def linked_codes(codes: DataFrame) -> DataFrame:
     """(node, root): each linked fingerprint of the distinct `codes` with the lowest that links lead to."""
     dealt = tasks(upper_nodes(codes)).repartition("task").sortWithinPartitions("task")
-    return components(settle(dealt.mapInArrow(linked, "a bigint, b bigint")))
+    return components(dealt.mapInArrow(linked, "a bigint, b bigint"), files_of(codes.count()))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint in hexadecimal, component_id), one row for each document."""
     marked = settle(fingerprints(docs, id_column, text_column))
-    codes = settle(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
+    files = files_of(marked.count())
+    codes = settle(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), files)
     rooted = codes.join(linked_codes(codes.select("fp")), codes["fp"] == F.col("node"), "left").select(
         "fp", "low", "n", F.coalesce("root", "fp").alias("root")
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     # A document whose id is its component's needs no row here.
     other = (F.col("n") > 1) | (F.col("component_id") != F.col("low")) | F.col("low").isNull()
-    named = settle(rooted.join(lowest, "root").where(other).select("fp", "component_id"))
+    named = settle(rooted.join(lowest, "root").where(other).select("fp", "component_id"), files)
     out = marked.join(sent_if_small(named), "fp", "left").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id")
     )

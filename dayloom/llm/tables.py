@@ -15,13 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
+def settle(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder, with at most so many files.
+
+    On a local file system an executor starts two processes for each file, to set the
+    modes of the file and of its checksums.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if files is None else df.coalesce(files)).checkpoint()
+
+
+# Short rows (a few ids) that one file holds.
+FILE_ROWS = 250_000
+
+
+def files_of(short_rows: int) -> int:
+    return short_rows // FILE_ROWS + 1
+
+
+def in_full_tasks(df: DataFrame, column: str, size: int) -> DataFrame:
+    """The rows in no more tasks than have `size` bytes of the column each; larger tasks stay as they are."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return df.coalesce(total // size + 1)
 
 
-# Short rows (a few ids) that are small enough to be sent to every executor.
+# Short rows that are small enough to be sent to every executor.
 BROADCAST_ROWS = 500_000
 
 

@@ -6,7 +6,7 @@ import odd_rows
 import pytest
 import xxhash
 
-from dayloom.llm import simhash_dedup as S
+from dayloom.llm import jaccard_join as J, simhash_dedup as S
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -126,3 +126,29 @@ def test_odd_rows(spark):
     texts = [(None, None), (0, ""), (1, " \n"), (2, "word"), (2, "word"), (None, "word"), (7, "wörd " * 5000), (None, "alone here now")]
     assert found(spark, texts) == brute(texts)
     assert S.near_duplicates(odd_rows.empty(spark)).count() == 0
+
+
+def test_short_rows_are_written_in_few_files(spark, monkeypatch):
+    wanted = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    written = []
+
+    def settle(df, *files):
+        out = settle_as_it_is(df, *files)
+        written.append((out.columns, out.rdd.getNumPartitions()))
+        return out
+
+    settle_as_it_is = S.settle
+    monkeypatch.setattr(S, "settle", settle)
+    monkeypatch.setattr(J, "settle", settle)
+    rows = corpus(11)
+    docs = odd_rows.documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(30)
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        got = sorted((tuple(r) for r in S.near_duplicates(docs).collect()), key=repr)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == brute(rows)
+    assert len(written) > 4 and {files for _, files in written} == {1}
