@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm import elias_fano
 from dayloom.llm.jaccard_join import groups
-from dayloom.llm.tables import crc32, settle, utf8
+from dayloom.llm.tables import crc32, in_full_tasks, settle, slices, utf8
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 65_534  # words that are numbered: all tasks hold their counts
@@ -86,7 +86,8 @@ class Chunk:
             lengths.append(len(words) + 1)
         hashes = np.array([_END, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
         hashes, place = np.unique(hashes, return_inverse=True)
-        tokens = place[np.concatenate(parts)]
+        tokens = place.astype(np.int32)[np.concatenate(parts)]
+        del number, parts
         # Low numbers for frequent words: these compress.
         order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
         rank = np.empty(len(order), np.int32)
@@ -180,22 +181,31 @@ class Pairs:
         hashes = chunk.hashes[rare]
         words = numbers.astype(np.int64)
         words[rare] = _WIDTH + np.arange(len(rare))
-        before = np.empty(len(chunk.tokens), np.int64)
+        before = np.empty(len(chunk.tokens), np.int32)
         before[1:] = (numbers if shared.pooled else words)[chunk.tokens[:-1]]
         before[np.cumsum(chunk.lengths) - chunk.lengths] = _START
+        # Places and counts in a chunk fit 32 bits, and what is done with goes before more is made.
+        keys = words[chunk.tokens]
+        keys <<= 32
+        keys |= before
+        del before
+        keys, of_token = np.unique(keys, return_inverse=True)
+        of_token = of_token.astype(np.int32)
+        word, context = (keys >> 32).astype(np.int32), (keys & _LOW).astype(np.int32)
+        del keys
         training = chunk.token_training()
-        keys, of_token = np.unique(words[chunk.tokens] << 32 | before, return_inverse=True)
-        word, context = keys >> 32, keys & _LOW
-        counts = np.bincount(of_token, training, len(keys)).astype(np.int64)
+        counts = np.bincount(of_token, training, len(word)).astype(np.int32)
         own_counts = np.bincount(chunk.tokens, training, len(chunk.hashes)).astype(np.int64)[rare]
-        mixed = (word * _WIDTH + context).astype(np.uint64)
+        del training
+        mixed = word.astype(np.uint64) * np.uint64(_WIDTH) + context.astype(np.uint64)
         for part in (word, context):
             by_hash = part >= _WIDTH
             mixed[by_hash] = hashes[part[by_hash] - _WIDTH]
         shard, own_shard = shared.shard(mixed), shared.shard(hashes)
+        del mixed
         own, order = np.argsort(own_shard, kind="stable"), np.argsort(shard, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         return cls(
             hashes, own, own_shard[own], own_counts[own], shard[order], word[order], context[order], counts[order],
             rank[of_token],
@@ -298,7 +308,7 @@ def _flags(ids: pa.Array) -> list[bool]:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
     """(ids, chunk) of at most `CHUNK_BYTES` of text, or one text."""
     ids, texts, training, size = [], [], [], 0
-    for batch in batches:
+    for batch in (part for full in batches for part in slices(full)):
         for key, flag, text in zip(batch.column(0).to_pylist(), _flags(batch.column(0)), utf8(batch.column(1))):
             if texts and size + len(text) > CHUNK_BYTES:
                 yield ids, Chunk.of(texts, training)
@@ -323,16 +333,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts_of(chunks: DataFrame) -> Contexts:
-    """The bounded tables of the corpus: sums, and its most frequent words (ties by hash)."""
-    counted = settle(chunks.select("payload").mapInArrow(_count_words, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")))
+    """The bounded tables of the corpus: sums, and its most frequent words (ties by hash).
+
+    One query asks for both, so that the counts of all words are shuffled once and written nowhere else.
+    """
+    counted = chunks.select("payload").mapInArrow(_count_words, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     ends = F.sum(F.when(F.col("hash") == int(_END), F.col("n")))
-    sums = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), ends.alias("ends")).first()
-    top = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT if CONTEXTS is None else CONTEXTS).toArrow()
+    sums = counted.agg(F.sum("n").alias("tokens"), F.count("*").alias("words"), ends.alias("ends"))
+    top = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT if CONTEXTS is None else CONTEXTS)
+    found = top.unionByName(sums, allowMissingColumns=True).toArrow()
+    top = found.filter(found["hash"].is_valid())
+    (sums,) = found.filter(found["hash"].is_null()).select(["tokens", "words", "ends"]).to_pylist()
     hashes, counts = top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
-    tokens = sums.tokens or 0
+    tokens = sums["tokens"] or 0
     shards = tokens // SHARD_TOKENS + 1
-    return Contexts(hashes[order], counts[order], tokens, sums.words, sums.ends or 0, shards, CONTEXTS is not None)
+    return Contexts(hashes[order], counts[order], tokens, sums["words"], sums["ends"] or 0, shards, CONTEXTS is not None)
 
 
 def _encode(kind: pa.DataType):
@@ -408,8 +424,10 @@ def _answers(asked: list, tables: Contexts) -> tuple[list[bytes], bytes, bytes]:
         names = np.append(np.arange(_WIDTH), _WIDTH + places)
         keys.append(np.repeat(names[words], pairs) << 32 | names[contexts])
     keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+    place = place.astype(np.int32)
     counts = np.bincount(place, np.concatenate([a[5] for a in asked]), len(keys)).astype(np.int64)
-    words, contexts, trained = keys >> 32, keys & _LOW, counts > 0
+    words, contexts, trained = (keys >> 32).astype(np.int32), (keys & _LOW).astype(np.int32), counts > 0
+    del keys
     used = totals > 0
     for part in (words[trained], contexts[trained]):
         used[part[part >= _WIDTH] - _WIDTH] = True
@@ -427,7 +445,7 @@ def _answers(asked: list, tables: Contexts) -> tuple[list[bytes], bytes, bytes]:
         answers.append(_packed(n[mine], kinds[mine], codes[place[at : at + len(of_chunk)]]))
         at += len(of_chunk)
     numbered, times = np.unique(contexts[trained & (contexts < _WIDTH)], return_counts=True)
-    return answers, trie_data, _packed(numbered, times.astype(np.int64))
+    return answers, trie_data, _packed(numbered.astype(np.int64), times.astype(np.int64))
 
 
 def _spread_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +508,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     spark, id_type = docs.sparkSession, texts.schema["id"].dataType.simpleString()
     arrow_id = _arrow_type(texts)
     chunks = settle(
-        texts.mapInArrow(_encode(pa.list_(arrow_id)), f"chunk bigint, shard bigint, ids array<{id_type}>, payload binary")
+        in_full_tasks(texts, "text", CHUNK_BYTES).mapInArrow(_encode(pa.list_(arrow_id)), f"chunk bigint, shard bigint, ids array<{id_type}>, payload binary")
     )
     tables = contexts_of(chunks)
     shared = spark.sparkContext.broadcast(tables)
@@ -498,7 +516,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         chunks.select("chunk", "payload").mapInArrow(_ask(shared), _ROUTED)
         .repartition(tables.shards, "shard").sortWithinPartitions("shard")
     )
-    answered = settle(asked.mapInArrow(_answer(shared), _ROUTED))
+    answered = settle(asked.mapInArrow(_answer(shared), _ROUTED), tables.shards)
     kinds = (
         answered.where(F.col("chunk") == -1).select("payload").mapInArrow(_spread_kinds, "context bigint, n bigint")
         .groupBy("context").agg(F.sum("n").alias("n")).toArrow()

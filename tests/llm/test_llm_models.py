@@ -232,6 +232,40 @@ def set_of_pairs(texts, contexts):
     return {("start" if a == "" else a if a in own else "other", b) for ws in rows for a, b in zip(["", *ws], ws)}
 
 
+@pytest.fixture()
+def many_parts(spark):
+    """Shuffles in 30 parts that stay as they are."""
+    wanted = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    yield 30
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_language_model_writes_few_files_and_no_table_of_all_words(spark, monkeypatch, many_parts):
+    written = []
+
+    def settle(df, *files):
+        out = settle_as_it_is(df, *files)
+        written.append((out.columns, out.rdd.getNumPartitions(), out))
+        return out
+
+    settle_as_it_is = M.settle
+    monkeypatch.setattr(M, "settle", settle)
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices([*"abcdefgh", "The"], k=rng.randint(0, 40)))) for i in range(90)]
+    docs = odd_rows.documents(spark, [t for _, t in texts], [i for i, _ in texts]).repartition(many_parts)
+    rows = M.scored(docs)[0].select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    assert_scores({r.doc_id: tuple(r)[1:] for r in rows.collect()}, texts)
+    assert [(columns, files) for columns, files, _ in written] == [
+        (["chunk", "shard", "ids", "payload"], 1), (["chunk", "shard", "payload"], 1),
+    ]
+    # Small parts of the input are one chunk, not one for each part.
+    assert written[0][2].count() == 1
+
+
 def test_language_model_of_nothing(spark):
     assert M.scored(odd_rows.empty(spark))[0].count() == 0
     rows = M.scored(odd_rows.documents(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)]))[0].collect()
