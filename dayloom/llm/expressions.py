@@ -52,7 +52,7 @@ def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
 
 def words(text: Column) -> Column:
     """Runs without white space."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def count_of(text: Column, characters: str) -> Column:

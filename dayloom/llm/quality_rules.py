@@ -1,16 +1,17 @@
 """Quality rules: a decision list of threshold conjunctions, learnt from labelled statistics.
 
-Only Spark's own functions. Every text is measured once. The measurements of the
+Texts are measured and judged by Spark's own functions only. Every text is measured once. The measurements of the
 labelled texts that pass the base rules are put into a fixed grid of cells, with
 the number of good and bad texts in each. Sequential covering works on counts of
 these cells alone: a rule grows by the condition with the highest gain on one
 part of the texts, is pruned on the other part, and is kept if it still is
 precise there; the cells it covers are set aside before the next rule. The cells of a
 candidate that is not kept are set aside for growing only, so that it hides no other
-rule. A rule grows as long as a condition gains, and rules are looked for until no
-condition covers `MIN_SUPPORT` bad texts with a gain; as each candidate sets cells
-aside, the number of cells bounds the work. The list becomes one ordered CASE
-expression.
+rule. A rule grows as long as a condition gains and leaves out some of the texts, and
+rules are looked for until no condition covers `MIN_SUPPORT` bad texts with a gain; as
+each candidate sets cells aside, the number of cells bounds the work. Up to `HELD_CELLS`
+cells are read once and kept by the driver; more stay a table, which is read for each
+step. The list becomes one ordered CASE expression.
 
 Null and empty texts have no words and fail the base rules. Labels without a
 quality are not used, and where an id is labelled more than once the lowest
@@ -24,13 +25,19 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dayloom.llm.expressions import SPACES, count_of, let, words
+from dayloom.llm.expressions import count_of, let, words
 from dayloom.llm.tables import crc_of, settle
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+SYMBOLS = "#*$%&|<>"
+# Of a digest packed with its place in the text, the bits that the place takes.
+PLACE_BITS = 24
 MIN_PRECISION, MIN_SUPPORT = 0.97, 3
+# So many cells are held by the driver, as arrays of some 30 MB.
+HELD_CELLS = 1_000_000
 # A threshold may give up this share of the gain to stay further from good texts.
 SLACK = 0.9
 _RATIOS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45)
@@ -62,69 +69,92 @@ def _holds(rule: Rule) -> Column:
     return reduce(and_, (c.holds() for c in rule), F.lit(True))
 
 
-def _repeated_words(ws: Column) -> Column:
-    """Words in three-word windows that the text has twice or more."""
-    windows = F.when(
-        F.size(ws) >= 3,
-        F.slice(
-            F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))), F.lit(1), F.size(ws) - 2
-        ),
-    ).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-    def covered(at: Column) -> Column:
-        start = F.struct(F.lit(0).alias("total"), F.lit(-3).alias("before"))
-        return F.aggregate(
-            at, start,
-            lambda acc, x: F.struct((acc["total"] + F.least(F.lit(3), x - acc["before"])).alias("total"), x.alias("before")),
-            lambda acc: acc["total"],
-        )
+def _windows(ws: Column) -> Column:
+    """A digest for each three-word window."""
+    return F.transform(
+        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)),
+    )
+
 
-    def repeated(sorted_windows: Column) -> Column:
+def _compared(windows: Column) -> Column:
+    """Places of the windows that come twice or more, by sorted pairs of digest and place."""
+
+    def repeated(placed: Column) -> Column:
         return F.transform(
             F.filter(
-                sorted_windows,
-                lambda e, j: F.coalesce(e["h"] == F.get(sorted_windows, j - 1)["h"], F.lit(False))
-                | F.coalesce(e["h"] == F.get(sorted_windows, j + 1)["h"], F.lit(False)),
+                placed,
+                lambda e, j: F.coalesce(e["h"] == F.get(placed, j - 1)["h"], F.lit(False))
+                | F.coalesce(e["h"] == F.get(placed, j + 1)["h"], F.lit(False)),
             ),
             lambda e: e["at"],
         )
 
-    def count(hs: Column) -> Column:
-        placed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(
-            covered(F.sort_array(let(placed, repeated)))
-        )
+    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("at")))
+    return let(F.sort_array(pairs), repeated)
+
+
+def _with_repeats(df: DataFrame) -> DataFrame:
+    """Adds `n_repeat_words`: words in `windows` that the text has twice or more.
 
-    return let(windows, count).cast("long")
+    Each step is a select of its own, and uses what the one before made more than once, so
+    that Spark keeps them apart: sets and sorts of numbers then run as compiled code. A
+    window's digest and place are packed into one number. The digest loses bits by that; if
+    links between equal ones leave other than the number of distinct whole digests, or if
+    there are more places than fit, whole digests are compared.
+    """
+    windows, packed, links, places = map(F.col, ("windows", "packed", "links", "places"))
+    kept, n = df.columns, F.size("windows")
+    place = F.lit((1 << PLACE_BITS) - 1)
+    pairs = F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))
+    df = df.select("*", F.size(F.array_distinct(windows)).alias("distinct"))
+    df = df.select("*", F.when((F.col("distinct") < n) & (n <= 1 << PLACE_BITS), F.sort_array(pairs)).alias("packed"))
+
+    def linked(x: Column, j: Column) -> Column:
+        same = F.shiftrightunsigned(x.bitwiseXOR(F.get(packed, j + 1)), PLACE_BITS) == 0
+        return F.when(same, j).otherwise(F.lit(-1))
+
+    df = df.select("*", F.array_remove(F.transform(packed, linked), -1).alias("links"))
+    here, there = (F.transform(links, lambda j: F.get(packed, j + d).bitwiseAND(place)) for d in (0, 1))
+    found = (
+        F.when(F.col("distinct") == n, F.expr("cast(array() as array<bigint>)"))
+        .when(n - F.size(links) == F.col("distinct"), F.array_union(here, there)).otherwise(_compared(windows))
+    )
+    df = df.select(*kept, found.alias("places"))
+    next_two = F.array_union(F.transform(places, lambda x: x + 1), F.transform(places, lambda x: x + 2))
+    return df.select(*kept, F.size(F.array_union(places, next_two)).cast("long").alias("n_repeat_words"))
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: its counts, its shares, and whether it fails the base rules."""
-    text = F.col("text")
+    text, marks = F.col("text"), F.col("marks")
     plain = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     listed = let(
         words(text),
-        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _repeated_words(ws).alias("n_repeat_words")),
+        lambda ws: F.struct(
+            F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            _windows(ws).alias("windows"),
+        ),
     )
     with_word = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     lines = let(
         with_word, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"))
     )
-    counted = plain.select(
-        "id", listed.alias("w"), lines.alias("l"),
-        F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
-        count_of(text, r"[#*$%&|<>]").alias("n_symbols"),
-        count_of(text, "[A-Z]").alias("upper"), count_of(text, "[0-9]").alias("digits"),
-        count_of(text, "!").alias("exclamations"),
+    # One pass over the text leaves the characters that are counted.
+    left = F.regexp_replace(text, f"[^{SYMBOLS}A-Z0-9!]+", "").alias("marks")
+    counted = _with_repeats(
+        plain.select("id", listed.alias("w"), lines.alias("l"), left).select(
+            "id", "w.n_words", "w.word_chars", "w.windows", "l", count_of(marks, f"[{SYMBOLS}]").alias("n_symbols"),
+            count_of(marks, "[A-Z]").alias("upper"), count_of(marks, "[0-9]").alias("digits"), count_of(marks, "!").alias("exclamations"),
+        )
     )
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
 
-    n_words, repeats = F.col("w.n_words"), F.col("w.n_repeat_words")
+    n_words, repeats = F.col("n_words"), F.col("n_repeat_words")
     return counted.select(
-        "id", n_words.alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
+        "id", "n_words", "word_chars", "n_symbols", F.col("l.dup").cast("long").alias("n_dup_lines"), "n_repeat_words",
         ((n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)).alias("base_failed"),
         share(F.col("n_symbols"), F.col("word_chars")).alias("symbol_share"), share(repeats, n_words).alias("repeat_share"),
         share(F.col("l.dup"), F.col("l.n")).alias("dup_line_share"), share(F.col("upper"), F.col("word_chars")).alias("upper_share"),
@@ -154,31 +184,101 @@ def cells(measurements: DataFrame, labels: DataFrame, id_column: str = "doc_id")
     )
 
 
-def _in_cells(condition: Condition) -> Column:
+def _exceeds(condition: Condition, bins: Column | np.ndarray) -> Column | np.ndarray:
     """The condition on a cell: a value above a threshold exceeds it and all lower ones."""
     exceeded = GRID[condition.feature].index(condition.threshold) + 1
-    return F.col(condition.feature) >= exceeded if condition.above else F.col(condition.feature) < exceeded
+    return bins >= exceeded if condition.above else bins < exceeded
 
 
 def _covered(rule: Rule) -> Column:
-    return reduce(and_, map(_in_cells, rule), F.lit(True))
+    return reduce(and_, (_exceeds(c, F.col(c.feature)) for c in rule), F.lit(True))
+
+
+class _Spread:
+    """Cells that stay a table: each sum is a query."""
+
+    def __init__(self, cells: DataFrame):
+        self.cells = cells
+
+    def by_bin(self, rule: Rule) -> dict[tuple[str, int], tuple[int, int]]:
+        """Bad and good texts to grow from that the rule covers, for each feature and bin."""
+        inside = self.cells.where(~F.col("prune")).where(_covered(rule))
+        entries = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in GRID))).alias("e")
+        sums = inside.select(entries, "bad", "good").groupBy("e.f", "e.bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        return {(row.f, row.bin): (row.bad, row.good) for row in sums.collect()}
 
+    def to_prune(self, rules: list[Rule]) -> list[tuple[int, int]]:
+        """Bad and good texts of the pruning part that each rule covers."""
+        sums = [
+            F.sum(F.when(_covered(rule), F.col(kind)).otherwise(0)).alias(f"{kind}{i}")
+            for i, rule in enumerate(rules) for kind in ("bad", "good")
+        ]
+        row = self.cells.where(F.col("prune")).agg(*sums).first()
+        return [(row[f"bad{i}"] or 0, row[f"good{i}"] or 0) for i in range(len(rules))]
 
-def _best_condition(left: DataFrame, rule: Rule) -> tuple[Condition | None, int, int]:
+    def without(self, rule: Rule) -> _Spread:
+        return _Spread(self.cells.where(~_covered(rule)))
+
+
+class _Held:
+    """The same with cells held by the driver: each sum is a pass over its arrays."""
+
+    def __init__(self, bins: dict[str, np.ndarray], prune: np.ndarray, bad: np.ndarray, good: np.ndarray):
+        self.bins, self.prune, self.bad, self.good = bins, prune, bad, good
+
+    @classmethod
+    def of(cls, cells: DataFrame) -> _Held:
+        short = [F.col(f).cast("tinyint").alias(f) for f in GRID]
+        table = cells.select(*short, "prune", "bad", "good").toArrow()
+        *bins, prune, bad, good = (column.to_numpy() for column in table.columns)
+        return cls(dict(zip(GRID, bins)), prune, bad, good)
+
+    def _inside(self, rule: Rule) -> np.ndarray:
+        return reduce(and_, (_exceeds(c, self.bins[c.feature]) for c in rule), np.ones(len(self.bad), bool))
+
+    def by_bin(self, rule):
+        at = np.flatnonzero(~self.prune & self._inside(rule))
+        counts = {}
+        for f, thresholds in GRID.items():
+            bins = self.bins[f][at]
+            bad, good, n = np.zeros((3, len(thresholds) + 1), np.int64)
+            for sums, added in ((bad, self.bad[at]), (good, self.good[at]), (n, 1)):
+                np.add.at(sums, bins, added)
+            counts |= {(f, int(k)): (int(bad[k]), int(good[k])) for k in np.flatnonzero(n)}
+        return counts
+
+    def to_prune(self, rules):
+        insides = (self.prune & self._inside(rule) for rule in rules)
+        return [(int(self.bad[inside].sum()), int(self.good[inside].sum())) for inside in insides]
+
+    def without(self, rule):
+        at = np.flatnonzero(~self._inside(rule))
+        return _Held({f: b[at] for f, b in self.bins.items()}, self.prune[at], self.bad[at], self.good[at])
+
+
+Cells = _Spread | _Held
+
+
+def _best_condition(left: Cells, rule: Rule) -> tuple[Condition | None, int, int]:
     """The condition that gains most when it is added, with the bad and good texts then covered."""
-    inside = left.where(~F.col("prune")).where(_covered(rule))
-    entries = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in GRID))).alias("e")
-    counts = {
-        (row.f, row.bin): (row.bad, row.good)
-        for row in inside.select(entries, "bad", "good").groupBy("e.f", "e.bin")
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
-    }
+    counts = left.by_bin(rule)
     first = next(iter(GRID))
     total_bad = sum(b for (f, _), (b, _) in counts.items() if f == first)
     total_good = sum(g for (f, _), (_, g) in counts.items() if f == first)
-    best, gain = (None, total_bad, total_good), 0.0
     if not total_bad:
-        return best
+        return None, total_bad, total_good
+    found = _condition_of(counts, total_bad, total_good, total_bad + total_good)
+    if found[1] + found[2] == total_bad + total_good:
+        # The correction for small counts lets a condition that all fulfil gain, again and again.
+        found = _condition_of(counts, total_bad, total_good, total_bad + total_good - 1)
+    return found
+
+
+def _condition_of(
+    counts: dict[tuple[str, int], tuple[int, int]], total_bad: int, total_good: int, most: int
+) -> tuple[Condition | None, int, int]:
+    """The same among the conditions that cover `most` texts or fewer."""
+    best, gain = (None, total_bad, total_good), 0.0
     before = math.log2(total_bad / (total_bad + total_good))
     for feature, thresholds in GRID.items():
         for above in (False, True):
@@ -188,7 +288,7 @@ def _best_condition(left: DataFrame, rule: Rule) -> tuple[Condition | None, int,
                 bad += counts.get((feature, number), (0, 0))[0]
                 good += counts.get((feature, number), (0, 0))[1]
                 p, n = (total_bad - bad, total_good - good) if above else (bad, good)
-                if p >= MIN_SUPPORT:
+                if p >= MIN_SUPPORT and p + n <= most:
                     here = p * (math.log2((p + 1) / (p + n + 2)) - before)
                     tried.append((here, p, n, Condition(feature, above, threshold)))
             if tried and max(tried, key=lambda x: x[0])[0] > gain + 1e-9:
@@ -199,21 +299,17 @@ def _best_condition(left: DataFrame, rule: Rule) -> tuple[Condition | None, int,
     return best
 
 
-def _precisions(left: DataFrame, rules: list[Rule]) -> list[tuple[float, int]]:
+def _precisions(left: Cells, rules: list[Rule]) -> list[tuple[float, int]]:
     """Precision on the pruning part, and bad texts covered, of each rule."""
-    sums = [
-        F.sum(F.when(_covered(rule), F.col(kind)).otherwise(0)).alias(f"{kind}{i}")
-        for i, rule in enumerate(rules) for kind in ("bad", "good")
-    ]
-    row = left.where(F.col("prune")).agg(*sums).first()
-    counts = [(row[f"bad{i}"] or 0, row[f"good{i}"] or 0) for i in range(len(rules))]
+    counts = left.to_prune(rules)
     return [(bad / (bad + good) if bad + good else 0.0, bad) for bad, good in counts]
 
 
 def learn(statistics: DataFrame) -> list[Rule]:
-    """The decision list, from counts in cells; `statistics` is read once for each step."""
+    """The decision list, from counts in cells; up to `HELD_CELLS` are read once, more of them for each step."""
+    few = statistics.limit(HELD_CELLS + 1).count() <= HELD_CELLS
     rules: list[Rule] = []
-    left = growing = statistics
+    left = growing = _Held.of(statistics) if few else _Spread(statistics)
     while True:
         grown: Rule = ()
         while True:
@@ -236,17 +332,17 @@ def learn(statistics: DataFrame) -> list[Rule]:
         precision, support = _precisions(left, [rule])[0]
         if precision >= MIN_PRECISION and support >= MIN_SUPPORT:
             rules.append(rule)
-            left, growing = left.where(~_covered(rule)), growing.where(~_covered(rule))
+            left, growing = left.without(rule), growing.without(rule)
         else:
-            growing = growing.where(~_covered(grown))
+            growing = growing.without(grown)
 
 
 def rule_of(rules: list[Rule]) -> Column:
     """The first rule that rejects a text, as text; null where none does."""
-    fires = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        fires = F.when(_holds(rule), F.lit(" and ".join(map(str, rule)))).otherwise(fires)
-    return fires
+    if not rules:
+        return F.lit(None).cast("string")
+    # One flat CASE: nested ones are as deep as there are rules.
+    return reduce(lambda fires, rule: fires.when(_holds(rule), F.lit(" and ".join(map(str, rule)))), rules, F)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -142,6 +142,35 @@ def labelled(n, seed):
     return texts, marks
 
 
+def jobs_of(spark, run):
+    """How many jobs `run()` starts."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_repeats_with_digests_that_collide(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["u v w " * 40]
+    docs = odd_rows.documents(spark, texts)
+    # Two bits of each digest; then digests whole but places that do not fit; then as it is.
+    for bits in (62, 3, Q.PLACE_BITS):
+        monkeypatch.setattr(Q, "PLACE_BITS", bits)
+        found = {r.id: r.n_repeat_words for r in Q.measured(docs).collect()}
+        assert found == {i: counts(text)[4] for i, text in enumerate(texts)}, bits
+
+
+def test_words_of_a_text_are_listed_once(spark):
+    """Texts are split, and each pattern is applied to them, once; no step is worked out again for the next."""
+    plan = Q.measured(odd_rows.documents(spark, ["a"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.count("array_distinct(windows") + plan.count("array_distinct(w#") == 1
+    assert len(re.findall(r"regexp_replace\(text#", plan)) == 1 and len(re.findall(r"split\(text#", plan)) == 2
+
+
 def test_rules_part_good_from_bad(spark):
     texts, marks = labelled(500, 1)
     docs = odd_rows.documents(spark, texts)
@@ -205,6 +234,44 @@ def test_as_many_rules_as_kinds_and_as_many_conditions_as_needed(spark):
     assert {c.feature for c in rule} == set(first)
 
 
+def test_bad_texts_like_good_ones_end_the_search(spark, monkeypatch):
+    """No condition parts them; one that all texts fulfil is no condition to go on with."""
+    alike, pure = ({}, 20, 0, 0), ({"digit_share": 14}, 50, 0, 0)
+    assert Q.learn(kinds_in_cells(spark, [alike])) == []
+    assert [[c.feature for c in rule] for rule in Q.learn(kinds_in_cells(spark, [alike, pure]))] == [["digit_share"]]
+    monkeypatch.setattr(Q, "HELD_CELLS", 0)
+    assert Q.learn(kinds_in_cells(spark, [alike])) == []
+
+
+def noisy_cells(spark):
+    rng = random.Random(8)
+    rows = [
+        (*(rng.randint(0, len(t)) for t in Q.GRID.values()), rng.random() < 0.4, rng.choice([0, 0, 0, 2, 9]), rng.choice([0, 1, 4]))
+        for _ in range(400)
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{f} int" for f in Q.GRID) + ", prune boolean, bad bigint, good bigint")
+
+
+def test_learning_takes_as_many_jobs_for_any_number_of_candidates(spark):
+    cells = noisy_cells(spark).checkpoint()
+    assert jobs_of(spark, lambda: Q.learn(cells)) <= 6
+
+
+def test_the_same_rules_from_cells_held_and_from_a_table(spark, monkeypatch):
+    noisy, pure = ({"symbol_share": 14}, 60, 0, 10), ({"digit_share": 14, "word_length": 0}, 50, 0, 0)
+    cells = kinds_in_cells(spark, [noisy, pure])
+    held = Q.learn(cells)
+    monkeypatch.setattr(Q, "HELD_CELLS", 3)
+    assert len(held) == 1 and Q.learn(cells) == held
+
+
+def test_a_list_of_very_many_rules(spark):
+    thresholds = [i / 400 for i in range(399, 0, -1)]
+    rules = [(Q.Condition("digit_share", True, t),) for t in thresholds]
+    rows = spark.createDataFrame([(0.001,), (0.701,), (0.003,)], "digit_share double").select(Q.rule_of(rules).alias("rule"))
+    assert [r.rule for r in rows.collect()] == [None, "digit_share > 0.7", "digit_share > 0.0025"]
+
+
 def test_quality_rules_on_odd_rows(spark):
     docs = odd_rows.odd(spark, "w " * 30_000)
     rows = Q.judged(docs, odd_rows.labels(spark, [])).collect()
