@@ -1,8 +1,8 @@
 """Quality rules: a decision list of threshold conjunctions, learnt from labelled statistics.
 
-Texts are measured and judged by Spark's own functions only. Every text is measured once. The measurements of the
-labelled texts that pass the base rules are put into a fixed grid of cells, with
-the number of good and bad texts in each. Sequential covering works on counts of
+Texts are measured and judged by Spark's own functions only, and measured once. The
+measurements of the labelled texts that pass the base rules are put into a fixed grid of
+cells, with the number of good and bad texts in each. Sequential covering works on counts of
 these cells alone: a rule grows by the condition with the highest gain on one
 part of the texts, is pruned on the other part, and is kept if it still is
 precise there; the cells it covers are set aside before the next rule. The cells of a
